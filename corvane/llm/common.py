@@ -74,7 +74,7 @@ def strip_space(text: Column) -> Column:
 def word_array(text: Column) -> Column:
     """The words of text; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def crc_mod(key: Column, n: int) -> Column:

@@ -29,12 +29,13 @@ from .common import bind, strip_space, table, uniform_order, word_array
 TRAIN_ROWS = 20_000
 #: Precision that a rule must reach on the pruning rows and on all rows, and the rows it must cover there.
 MIN_PRECISION, MIN_COVER = 0.9, 4
+FEW = 24
 MAX_CONDITIONS, MAX_RULES, CUTS = 3, 12, 48
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 NO_SYMBOLS = r"[^#*$%&|<>]"
 #: What rules may test; all are ratios or small numbers, so that thresholds carry over to other lengths.
-FEATURES = ("symbol_ratio", "mean_word", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "distinct_ratio", "words_a_line")
+FEATURES = ("symbol_ratio", "mean_word", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "words_a_line")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -43,22 +44,28 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words covered by windows of three that occur at least twice.  Only a text with such a window sorts its windows."""
+    """Words covered by windows of three that occur at least twice.
 
-    def covered(grams: Column) -> Column:
-        # sort (hash, place); a window repeats if a neighbour in that order has its hash
-        ranked = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    Most texts have no or few distinct windows of that kind: then one pass marks their places.  Where there are more than
+    FEW, (window, place) pairs are sorted and neighbours compared, so long repetitive texts stay at n log n.
+    """
+
+    def union(p: Column) -> Column:
+        # each window adds three words, less what the one before it has covered
+        return F.aggregate(F.transform(p, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(p, k - 1)))), F.lit(0), lambda a, x: a + x)
 
-        def places(r: Column) -> Column:
-            n = F.size(r)
-            same = F.filter(r, lambda x, k: ((k > 0) & (F.get(r, k - 1)["g"] == x["g"])) | ((k < n - 1) & (F.get(r, k + 1)["g"] == x["g"])))
-            return F.sort_array(F.transform(same, lambda x: x["i"]))
+    def marked(grams: Column, twice: Column) -> Column:
+        return F.array_remove(F.transform(grams, lambda g, i: F.when(F.array_contains(twice, g), i).otherwise(F.lit(-1))), -1)
 
-        def union(p: Column) -> Column:
-            # each window adds three words, less what the one before it has covered
-            return F.aggregate(F.transform(p, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(p, k - 1)))), F.lit(0), lambda a, x: a + x)
+    def ranked(r: Column) -> Column:
+        n = F.size(r)
+        same = F.filter(r, lambda x, k: ((k > 0) & (F.get(r, k - 1)["g"] == x["g"])) | ((k < n - 1) & (F.get(r, k + 1)["g"] == x["g"])))
+        return F.sort_array(F.transform(same, lambda x: x["i"]))
 
-        return bind(bind(ranked, places), union)
+    def covered(grams: Column) -> Column:
+        pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        twice = bind(F.sort_array(grams), lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (F.get(s, k - 1) == x))))
+        return bind(twice, lambda t: bind(F.when(F.size(t) <= FEW, marked(grams, t)).otherwise(bind(pairs, ranked)), union))
 
     n = F.size(words)
     grams = F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
@@ -70,22 +77,24 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one struct column ``stats``: the contract's counts and FEATURES."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(strip_space(x)) > 0)
-    from_words = bind(word_array(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), _repeat_words(w).alias("n_repeat_words")))
+    from_words = bind(word_array(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
     from_lines = bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    raw = docs.withColumn("stats", F.struct(from_words.alias("w"), from_lines.alias("l"), F.length(strip_space(t)).cast("long").alias("word_chars"), _count(t, NO_SYMBOLS + "+").alias("n_symbols"),
-                                            _count(t, r"[^\p{Lu}]+").alias("n_upper"), _count(t, "[^0-9]+").alias("n_digits"), _count(t, "[^!?]+").alias("n_marks")))
+    # one pass leaves the characters that are counted, and each class is counted in what is left
+    few = bind(F.regexp_replace(t, r"[^\p{Lu}0-9!?#*$%&|<>]+", ""), lambda x: F.struct(_count(x, NO_SYMBOLS + "+").alias("n_symbols"), _count(x, r"[^\p{Lu}]+").alias("n_upper"), _count(x, "[^0-9]+").alias("n_digits"), _count(x, "[^!?]+").alias("n_marks")))
+    raw = docs.withColumn("stats", F.struct(from_words.alias("w"), from_lines.alias("l"), few.alias("c")))
 
     def expand(s: Column) -> Column:
         part = lambda a, b: a / F.greatest(b, F.lit(1)).cast("double")
-        n, c = s["w"]["n_words"], s["word_chars"]
+        n, c, k = s["w"]["n_words"], s["w"]["word_chars"], s["c"]
         return F.struct(
-            n.alias("n_words"), c.alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["l"]["n_dup_lines"].alias("n_dup_lines"), s["w"]["n_repeat_words"].alias("n_repeat_words"),
-            part(s["n_symbols"], c).alias("symbol_ratio"), part(c, n).alias("mean_word"), part(s["l"]["n_dup_lines"], s["l"]["n_lines"]).alias("dup_line_ratio"),
-            part(s["w"]["n_repeat_words"], n).alias("repeat_ratio"), part(s["n_upper"], c).alias("upper_ratio"), part(s["n_digits"], c).alias("digit_ratio"),
-            part(s["n_marks"], c).alias("mark_ratio"), part(s["w"]["n_distinct"], n).alias("distinct_ratio"), part(n, s["l"]["n_lines"]).alias("words_a_line"),
+            n.alias("n_words"), c.alias("word_chars"), k["n_symbols"].alias("n_symbols"), s["l"]["n_dup_lines"].alias("n_dup_lines"), s["w"]["n_repeat_words"].alias("n_repeat_words"),
+            part(k["n_symbols"], c).alias("symbol_ratio"), part(c, n).alias("mean_word"), part(s["l"]["n_dup_lines"], s["l"]["n_lines"]).alias("dup_line_ratio"),
+            part(s["w"]["n_repeat_words"], n).alias("repeat_ratio"), part(k["n_upper"], c).alias("upper_ratio"), part(k["n_digits"], c).alias("digit_ratio"),
+            part(k["n_marks"], c).alias("mark_ratio"), part(n, s["l"]["n_lines"]).alias("words_a_line"),
         )
 
-    return raw.withColumn("stats", bind(F.col("stats"), expand))
+    # a generator of one row: filters on stats can't move below it and compute the statistics again for each mention
+    return raw.withColumn("stats", F.explode(F.array(bind(F.col("stats"), expand))))
 
 
 def base_failed(s: Column) -> Column:
