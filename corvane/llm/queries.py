@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import op5_dedup, op6_quality
+from . import op1_mix, op4_bpe, op5_dedup, op6_quality, op9_language
 
 QUERIES = {
+    "op1_mix": op1_mix.op1_mix,
+    "op4_bpe": op4_bpe.op4_bpe,
     "op5_exact_dedup": op5_dedup.op5_exact_dedup,
     "op6_quality_rules": op6_quality.op6_quality_rules,
+    "op9_language": op9_language.op9_language,
 }
 ORACLES = {
     "op5_exact_dedup": op5_dedup.ORACLE,
