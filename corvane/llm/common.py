@@ -8,6 +8,7 @@ cannot matter: inputs are projected to the columns an operator needs first.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the step's shuffle files go now, not when the driver happens to collect garbage
     return spark.read.schema(df.schema).parquet(path)
 
 
