@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import op1_mix, op4_bpe, op5_dedup, op6_quality, op9_language
+from . import op1_mix, op3_jaccard, op4_bpe, op5_dedup, op6_quality, op9_language, op10_repeats
 
 QUERIES = {
     "op1_mix": op1_mix.op1_mix,
+    "op3_jaccard_join": op3_jaccard.op3_jaccard_join,
     "op4_bpe": op4_bpe.op4_bpe,
     "op5_exact_dedup": op5_dedup.op5_exact_dedup,
     "op6_quality_rules": op6_quality.op6_quality_rules,
     "op9_language": op9_language.op9_language,
+    "op10_repeats": op10_repeats.op10_repeats,
 }
 ORACLES = {
+    "op3_jaccard_join": op3_jaccard.ORACLE,
     "op5_exact_dedup": op5_dedup.ORACLE,
 }
