@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_mix, op3_jaccard, op4_bpe, op5_dedup, op6_quality, op9_language, op10_repeats
+from . import op1_mix, op3_jaccard, op4_bpe, op5_dedup, op6_quality, op7_pii, op8_secrets, op9_language, op10_repeats
 
 QUERIES = {
     "op1_mix": op1_mix.op1_mix,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_bpe": op4_bpe.op4_bpe,
     "op5_exact_dedup": op5_dedup.op5_exact_dedup,
     "op6_quality_rules": op6_quality.op6_quality_rules,
+    "op7_pii": op7_pii.op7_pii,
+    "op8_secrets": op8_secrets.op8_secrets,
     "op9_language": op9_language.op9_language,
     "op10_repeats": op10_repeats.op10_repeats,
 }
