@@ -64,10 +64,13 @@ def prefix_hash(data: np.ndarray, powers: Powers) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, bounds: np.ndarray, powers: Powers, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of consecutive texts (bounds from 0): the 64-bit hash of each word and the row that it is in.  fold: A-Z count as a-z."""
+def words(data: np.ndarray, bounds: np.ndarray, powers: Powers, fold: bool, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive texts (bounds from 0): the 64-bit hash of each word and the row that it is in.  fold: A-Z count as a-z.
+
+    With prefixes, a row of hashes a word: its own and those of its first so many bytes (its own where it is no longer).
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(0, np.int64)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     if fold:
         data = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
@@ -78,13 +81,15 @@ def words(data: np.ndarray, bounds: np.ndarray, powers: Powers, fold: bool) -> t
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     sums = prefix_hash(data, powers)
     down = powers.upto(len(data) + 1)[1]
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(bounds, start, "right") - 1
+    row = np.searchsorted(bounds, start, "right") - 1
+    stretch = lambda to: mix((sums[to] - sums[start]) * down[start] + (to - start).astype(np.uint64))
+    return np.stack([stretch(end), *(stretch(np.minimum(end, start + n)) for n in prefixes)], 1) if prefixes else stretch(end), row
 
 
-def word_chunks(column: pa.Array, powers: Powers, fold: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_chunks(column: pa.Array, powers: Powers, fold: bool, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, word hashes, row of each word from the first) of each run of rows."""
     data, bounds = buffers(column)
     for a, b in chunks(bounds):
         own = bounds[a : b + 1]
-        h, row = words(data[own[0] : own[-1]], own - own[0], powers, fold)
+        h, row = words(data[own[0] : own[-1]], own - own[0], powers, fold, prefixes)
         yield a, b, h, row

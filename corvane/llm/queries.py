@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_mix, op3_jaccard, op4_bpe, op5_dedup, op6_quality, op7_pii, op8_secrets, op9_language, op10_repeats
+from . import op1_mix, op2_toxicity, op3_jaccard, op4_bpe, op5_dedup, op6_quality, op7_pii, op8_secrets, op9_language, op10_repeats
 
 QUERIES = {
     "op1_mix": op1_mix.op1_mix,
+    "op2_toxicity": op2_toxicity.op2_toxicity,
     "op3_jaccard_join": op3_jaccard.op3_jaccard_join,
     "op4_bpe": op4_bpe.op4_bpe,
     "op5_exact_dedup": op5_dedup.op5_exact_dedup,
