@@ -39,9 +39,9 @@ from .hashing import Powers, buffers, chunks, mix, prefix_hash
 
 WINDOW, GRAM = 100, 16
 #: Phrases that a task gathers before it sends them; phrases of a bucket; bytes of dictionary text of a bucket.
-FLUSH, BUCKET_PHRASES, BUCKET_BYTES = 400_000, 120_000, 3 << 20
+FLUSH, BUCKET_PHRASES, BUCKET_BYTES = 400_000, 120_000, 2 << 20
 #: Distinct phrases of a trigger from which on its windows are grouped one by one: in a task's share, in all.
-TASK_HOT, HOT = 256, 4096
+TASK_HOT, HOT = 2048, 20_000
 DUP, DETAIL, HOT_DETAIL = 0, 1, 2
 _LAST_ID = 2**63 - 1
 
@@ -198,8 +198,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of dictionary entries; of hot triggers, a row a window with 128 bits of hash."""
     for batch in batches:
         out: list[tuple] = []
-        for dk, tag, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = (text or "").encode()
+        for dk, tag, packed, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = zlib.decompress(packed)
             for m in marks:
                 if m["kind"] == DETAIL:
                     out.append((dk, tag, m["low"], m["h"], raw[m["low"] : m["high"] + WINDOW], None, None))
@@ -265,6 +265,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("dk"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"), text.alias("text"), F.col("doc_id"))
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """keyed with its texts compressed: they are shuffled twice, and shuffles compress text to little less than its size."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["dk", "tag", "doc_id", "packed"])
+
+    return keyed.select("dk", "tag", "doc_id", "text").mapInArrow(run, f"dk long, tag int, doc_id {kind}, packed binary")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """dk, tag, low, high: runs of window starts in docs whose windows occur earlier."""
     keyed = _keyed(docs)
@@ -273,7 +285,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     shares = keyed.select("dk", "tag", "text").mapInArrow(_of_task(buckets), "bucket int, share binary")
     flags = materialize(shares.groupBy("bucket").applyInPandas(_of_bucket, _FLAGS), "flags")
     detail = flags.where(F.col("kind") != DUP).groupBy("dk", "tag").agg(F.collect_set(F.struct("low", "high", "kind", "h")).alias("marks"))
-    texts = materialize(keyed.select("dk", "tag", "text").join(detail, ["dk", "tag"]).select("dk", "tag", "text", "marks").mapInArrow(_texts, _TEXTS), "phrases")
+    texts = materialize(_packed(keyed).join(detail, ["dk", "tag"]).select("dk", "tag", "packed", "marks").mapInArrow(_texts, _TEXTS), "phrases")
     entries = texts.where("data IS NOT NULL")
     held = entries.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts = max(1, math.ceil(held / BUCKET_BYTES))
@@ -289,8 +301,8 @@ def _cut(with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, spans = (text or "").encode(), []
+            for doc_id, packed, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw, spans = zlib.decompress(packed), []
                 for low, high in sorted((r["low"], r["high"] + WINDOW) for r in runs or ()):
                     if spans and low <= spans[-1][1]:
                         spans[-1][1] = max(high, spans[-1][1])
@@ -314,7 +326,7 @@ def _cut(with_kept: bool):
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """Sizes and digest of what stays of every row; with_kept: also the removed spans (start, end, start, end...) and the bytes that stay."""
     runs = repeats(docs).groupBy("dk", "tag").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    joined = _keyed(docs).join(runs, ["dk", "tag"], "left").select("doc_id", "text", "runs")
+    joined = _packed(_keyed(docs)).join(runs, ["dk", "tag"], "left").select("doc_id", "packed", "runs")
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", spans array<long>, kept binary" if with_kept else ""
     return joined.mapInArrow(_cut(with_kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
