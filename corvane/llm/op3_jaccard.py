@@ -9,9 +9,10 @@
 4. Heavy and light.  Small (light) sets enumerate all subsets of two shingles of their prefix as keys; large (heavy) sets
    use single shingles, that is they scan inverted lists, which light sets enter too.  The boundary is the size at which
    the summed cost (subsets made against list entries read) is least, from a histogram by size.
-5. Lists are not expanded into pairs.  In each round every set is verified against one pivot of its lists (least of a
-   hash order that changes by round) in another component; a group of near copies of any size collapses in a few rounds
-   of one verification a set.  Then all pairs of lists that still span components are verified, so no link is lost.
+5. Lists are not expanded into pairs.  In each round every set is verified against a few pivots of its lists in other
+   components: first the most typical one (whose shingles most sets hold), later the least of hash orders that change by
+   round.  A group of near copies of any size collapses in a few verifications a set; lists within one component go.
+   Then all pairs of lists that still span components are verified, each at its first common shingle, so no link is lost.
 
 Edge cases: no words or null text: an empty set, n_shingles 0, a component of its own; with fewer words than a shingle
 has, the whole sequence is the one shingle; rows that share a doc_id are one node (a link of either is a link of both);
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .hashing import Powers, mix, word_chunks
 
-#: Rounds of pivots at most; the exact pass over what is left follows in any case.
-ROUNDS = 5
+#: Pivots of a set in each round; rounds end early without links, and the exact pass over what is left follows in any case.
+PIVOTS = (1, 1, 2, 4, 8, 8)
 _NULL_ID = 2**63 - 1
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -137,19 +138,20 @@ def boundary(costs: list[tuple[int, float, float]]) -> int:
 
 
 def _keys(shared: DataFrame) -> DataFrame:
-    """key, node, n, rem (shared shingles from the key's on), heavy of every list entry."""
+    """key, node, n, typical, rem (shared shingles from the key's on), at (those before it), heavy and single of every list entry."""
     q = F.size("shared") - F.col("least")
     step = F.floor(F.log2(F.col("n").cast("double")) * 4)
     costs = shared.select("n", step.alias("step"), ((q + 2) * (q + 1) / 2).alias("light"), F.aggregate(F.slice("shared", 1, q + 1), F.lit(0.0), lambda a, x: a + x["c"]).alias("heavy"))
     rows = costs.groupBy("step").agg(F.max("n").alias("n"), F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).collect()  # a few rows an octave of sizes
     light_to = boundary([(r["n"], r["light"], r["heavy"]) for r in rows])
-    tagged = shared.withColumn("heavy", F.col("n") > light_to)
+    typical = F.aggregate("shared", F.lit(0.0), lambda a, x: a + x["c"]) / F.col("n")
+    tagged = shared.withColumn("heavy", F.col("n") > light_to).withColumn("typical", typical)
     rem = F.size("shared")
-    single = tagged.select("node", "n", "heavy", rem.alias("r"), F.posexplode(F.slice("shared", 1, q + 1)).alias("i", "x"))
-    single = single.select(F.xxhash64(F.lit("one"), F.col("x.h")).alias("key"), "node", "n", (F.col("r") - F.col("i")).cast("int").alias("rem"), "heavy", F.lit(True).alias("single"))
+    single = tagged.select("node", "n", "heavy", "typical", rem.alias("r"), F.posexplode(F.slice("shared", 1, q + 1)).alias("i", "x"))
+    single = single.select(F.xxhash64(F.lit("one"), F.col("x.h")).alias("key"), "node", "n", "typical", (F.col("r") - F.col("i")).cast("int").alias("rem"), F.col("i").alias("at"), "heavy", F.lit(True).alias("single"))
     pairs = F.expr("flatten(transform(slice(shared, 1, size(shared) - least + 2), (x, i) -> transform(slice(shared, i + 2, greatest(size(shared) - least + 1 - i, 0)), y -> named_struct('a', x.h, 'b', y.h))))")
-    double = tagged.where("NOT heavy AND least >= 2").select("node", "n", "heavy", rem.alias("rem"), F.explode(pairs).alias("x"))
-    double = double.select(F.xxhash64(F.lit("two"), F.least("x.a", "x.b"), F.greatest("x.a", "x.b")).alias("key"), "node", "n", F.col("rem").cast("int").alias("rem"), "heavy", F.lit(False).alias("single"))
+    double = tagged.where("NOT heavy AND least >= 2").select("node", "n", "heavy", "typical", rem.alias("rem"), F.explode(pairs).alias("x"))
+    double = double.select(F.xxhash64(F.lit("two"), F.least("x.a", "x.b"), F.greatest("x.a", "x.b")).alias("key"), "node", "n", "typical", F.col("rem").cast("int").alias("rem"), F.lit(0).alias("at"), "heavy", F.lit(False).alias("single"))
     return single.unionByName(double)
 
 
@@ -186,26 +188,31 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def link(shared: DataFrame, percent: int) -> DataFrame:
     """node, c (least node of its component) of every set of shared."""
-    keys = materialize(_keys(shared), "keys")
+    entries = materialize(_keys(shared), "keys")
     labels = materialize(shared.select("node", F.col("node").alias("c")).distinct(), "labels")
-    for r in range(ROUNDS):
-        listed = keys.join(labels, "node")
-        order = F.struct(F.xxhash64(F.lit(r), "node").alias("p"), F.col("node").alias("node"), F.col("c").alias("c"))
-        heads = listed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(order).alias("pivot")).where("low < high").select("key", "pivot")
-        chosen = listed.join(heads, "key").where(F.col("c") != F.col("pivot.c")).groupBy("node").agg(F.min("pivot").alias("pivot"))
-        links = materialize(verified(chosen.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")), shared, percent), "links")
+    for r, many in enumerate(PIVOTS):
+        listed = entries.join(labels, "node")
+        orders = [F.struct((F.xxhash64(F.lit(r), F.lit(j), "node") if r else -F.col("typical")).alias("p"), F.col("node").alias("node"), F.col("c").alias("c")) for j in range(many)]
+        heads = listed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *[F.min(o).alias(f"p{j}") for j, o in enumerate(orders)]).where("low < high").drop("low", "high")
+        spanning = materialize(listed.join(heads, "key"), "lists")
+        chosen = spanning.groupBy("node").agg(*[F.min(F.when(F.col("c") != F.col(f"p{j}.c"), F.col(f"p{j}"))).alias(f"p{j}") for j in range(many)])
+        pivots = F.array_distinct(F.array_compact(F.array(*[F.col(f"p{j}.node") for j in range(many)])))
+        links = materialize(verified(chosen.select(F.col("node").alias("a"), F.explode(pivots).alias("b")), shared, percent), "links")
+        entries = spanning.drop("c", *[f"p{j}" for j in range(many)])
         if not links.limit(1).count():
             break
         labels = _merge(labels, links)
-    listed = keys.join(labels, "node")
+    listed = entries.join(labels, "node")
     span = listed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = materialize(listed.join(span, "key", "left_semi"), "open")
+    prefix = shared.select("node", F.col("n").alias("n_"), F.transform(F.slice("shared", 1, F.size("shared") - F.col("least") + 1), lambda x: x["h"]).alias("hs"))
+    left = listed.join(span, "key", "left_semi").join(prefix, "node").where("n = n_").withColumn("before", F.slice("hs", 1, F.col("at"))).drop("hs", "n_", "typical")
+    left = materialize(left, "open")
     x, y = left.alias("x"), left.alias("y")
     some = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
     fits = 100 * F.col("x.n") >= percent * F.col("y.n")
     enough = (100 + percent) * F.least("x.rem", "y.rem") >= percent * (F.col("x.n") + F.col("y.n"))  # rem bounds the overlap where the key is the first common one
-    kinds = F.col("x.heavy") | F.col("y.heavy") | ~F.col("x.single")
-    pairs = x.join(y, some & fits & kinds & (enough | ~F.col("x.single"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    first = (F.col("x.heavy") | F.col("y.heavy")) & enough & ~F.arrays_overlap("x.before", "y.before")
+    pairs = x.join(y, some & fits & (first | ~F.col("x.single"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = materialize(verified(pairs, shared, percent), "links")
     return _merge(labels, links) if links.limit(1).count() else labels
 
