@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that never become taste.
 STOPWORDS = tuple("""
@@ -99,7 +100,7 @@ def slug(title: Column, cap: int = 40) -> Column:
     return F.btrim(F.substring(F.btrim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), F.lit("-")), 1, cap), F.lit("-"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(names: pd.Series) -> pd.Series:
     """STR-10: compatibility decomposition without combining marks (Spark has no such function)."""
     return names.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
