@@ -85,6 +85,8 @@ LOOK_ALIKES = dict(zip("аеорсухіјѕԁһӏԛԝАВЕКМНОРСТХІЈ
 DIGIT_WORDS = {w: str(d) for d, row in enumerate((
     "zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre",
     "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in row.split()}
+#: Endings of a plainly spelled address; without brackets, "at" and "dot" are ordinary words too.
+ENDINGS = "com org net edu gov int mil info biz dev app io ai co me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it mx ar br cl pl cz se no dk fi ru jp cn in kr za test example invalid local".split()
 AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "point")
 
 _ODD = re.compile("[" + "".join(LOOK_ALIKES) + "！-～٠-٩​‌‍⁠­]")
@@ -92,7 +94,7 @@ _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)\b(?:{_WORDS})(?:[ .,-]{{1,3}}(?:{_WORDS})\b){{3,}}")
 _WORD = re.compile(rf"(?i)\b(?:{_WORDS})\b")
 _BRACKET = re.compile(rf"(?i)[ \t]*[\[({{<][ \t]*(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))[ \t]*[\])}}>][ \t]*")
-_PLAIN = re.compile(rf"(?i)[a-z0-9._%+-]+([ \t]+(?:at|arroba|arobase)[ \t]+)(?:[a-z0-9-]+(?:[ \t]+(?:{'|'.join(DOT_WORDS)})[ \t]+|\.))+[a-z0-9-]+")
+_PLAIN = re.compile(rf"(?i)[a-z0-9._%+-]+([ \t]+(?:at|arroba|arobase)[ \t]+)(?:[a-z0-9-]+(?:[ \t]+(?:{'|'.join(DOT_WORDS)})[ \t]+|\.))+(?:{'|'.join(ENDINGS)})\b")
 _DOT = re.compile(rf"(?i)[ \t]+(?:{'|'.join(DOT_WORDS)})[ \t]+")
 _AROUND = 96
 
