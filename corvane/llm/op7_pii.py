@@ -29,6 +29,7 @@ Span = tuple[int, int, int]  # kind, start, end
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_DOTTED = re.compile(r"[0-9]\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LONG_ENOUGH = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
@@ -69,7 +70,8 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "@" in text:
         out += [(0, a, b) for a, b in emails(text)]
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m.group().split("."))]
+    if _DOTTED.search(text):  # else long runs of digits would be tried from each digit on
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m.group().split("."))]
     if _LONG_ENOUGH.search(text):
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -93,9 +95,9 @@ _ODD = re.compile("[" + "".join(LOOK_ALIKES) + "！-～٠-٩​‌‍⁠­]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)\b(?:{_WORDS})(?:[ .,-]{{1,3}}(?:{_WORDS})\b){{3,}}")
 _WORD = re.compile(rf"(?i)\b(?:{_WORDS})\b")
-_BRACKET = re.compile(rf"(?i)[ \t]*[\[({{<][ \t]*(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))[ \t]*[\])}}>][ \t]*")
-_PLAIN = re.compile(rf"(?i)[a-z0-9._%+-]+([ \t]+(?:at|arroba|arobase)[ \t]+)(?:[a-z0-9-]+(?:[ \t]+(?:{'|'.join(DOT_WORDS)})[ \t]+|\.))+(?:{'|'.join(ENDINGS)})\b")
-_DOT = re.compile(rf"(?i)[ \t]+(?:{'|'.join(DOT_WORDS)})[ \t]+")
+_BRACKET = re.compile(rf"(?i)[ \t]{{0,8}}[\[({{<][ \t]{{0,8}}(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))[ \t]{{0,8}}[\])}}>][ \t]{{0,8}}")
+_PLAIN = re.compile(rf"(?i)(?<=[a-z0-9._%+-])([ \t]{{1,8}}(?:at|arroba|arobase)[ \t]{{1,8}})(?:[a-z0-9-]{{1,63}}(?:[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}|\.))+(?:{'|'.join(ENDINGS)})\b")
+_DOT = re.compile(rf"(?i)[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}")
 _AROUND = 96
 
 
