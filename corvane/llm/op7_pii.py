@@ -98,6 +98,7 @@ _WORD = re.compile(rf"(?i)\b(?:{_WORDS})\b")
 _BRACKET = re.compile(rf"(?i)[ \t]{{0,8}}[\[({{<][ \t]{{0,8}}(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))[ \t]{{0,8}}[\])}}>][ \t]{{0,8}}")
 _PLAIN = re.compile(rf"(?i)(?<=[a-z0-9._%+-])([ \t]{{1,8}}(?:at|arroba|arobase)[ \t]{{1,8}})(?:[a-z0-9-]{{1,63}}(?:[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}|\.))+(?:{'|'.join(ENDINGS)})\b")
 _DOT = re.compile(rf"(?i)[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}")
+_BETWEEN = re.compile(rf"(?i)(?<=[0-9])[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}(?=[0-9])")
 _AROUND = 96
 
 
@@ -121,6 +122,8 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
         signs = [(m.start(1), m.end(1), "@"), *((d.start(), d.end(), ".") for d in _DOT.finditer(text, m.end(1), m.end()))]
         if len(signs) > 1:
             found += signs
+    if any(w in text or w.upper() in text or w.title() in text for w in DOT_WORDS):
+        found += [(m.start(), m.end(), ".") for m in _BETWEEN.finditer(text)]
     found.sort()
     out: list[tuple[int, int, str]] = []
     for x in found:

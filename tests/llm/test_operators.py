@@ -187,6 +187,7 @@ def test_quality_learns_a_threshold():
 @pytest.mark.parametrize("text, kind, shown", [
     ("write bob (at) example (dot) com now", "email", "bob (at) example (dot) com"), ("mail bob at example dot com ok", "email", "bob at example dot com"), ("x ｂｏｂ@ｅｘａｍｐｌｅ.com y", "email", "ｂｏｂ@ｅｘａｍｐｌｅ.com"),
     ("call +four nine one five one two three four five six seven x", "phone", "+four nine one five one two three four five six seven"), ("see аdmin@exаmple.com", "email", "аdmin@exаmple.com"),
+    ("at 10 dot 0 dot 0 dot 1 now", "ip", "10 dot 0 dot 0 dot 1"),
 ])
 def test_pii_deobfuscation(text, kind, shown):
     base, full = op7_pii.find(text)
