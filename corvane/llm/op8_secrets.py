@@ -140,8 +140,9 @@ def _key() -> Column:
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """key, trigram: the inverted index of docs (doc_id, text), for these trigrams."""
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    found = docs.select(_key().alias("key"), low.alias("low")).select("key", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("t"))
-    return found.select("key", F.explode("t").alias("trigram"))
+    found = docs.select(_key().alias("key"), low.alias("low"))
+    # an array of expressions: for other arrays Spark adds a filter on their size, which would look for every trigram once more
+    return found.select("key", F.explode(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])).alias("trigram")).where("trigram IS NOT NULL")
 
 
 def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
