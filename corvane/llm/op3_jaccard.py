@@ -138,7 +138,7 @@ def boundary(costs: list[tuple[int, float, float]]) -> int:
 
 
 def _keys(shared: DataFrame) -> DataFrame:
-    """key, node, n, typical, rem (shared shingles from the key's on), at (those before it), heavy and single of every list entry."""
+    """key, node, n, typical, rem (most that a pair can share that meets here first), at (shingles before the key's last), heavy and single of every list entry."""
     q = F.size("shared") - F.col("least")
     step = F.floor(F.log2(F.col("n").cast("double")) * 4)
     costs = shared.select("n", step.alias("step"), ((q + 2) * (q + 1) / 2).alias("light"), F.aggregate(F.slice("shared", 1, q + 1), F.lit(0.0), lambda a, x: a + x["c"]).alias("heavy"))
@@ -149,9 +149,10 @@ def _keys(shared: DataFrame) -> DataFrame:
     rem = F.size("shared")
     single = tagged.select("node", "n", "heavy", "typical", rem.alias("r"), F.posexplode(F.slice("shared", 1, q + 1)).alias("i", "x"))
     single = single.select(F.xxhash64(F.lit("one"), F.col("x.h")).alias("key"), "node", "n", "typical", (F.col("r") - F.col("i")).cast("int").alias("rem"), F.col("i").alias("at"), "heavy", F.lit(True).alias("single"))
-    pairs = F.expr("flatten(transform(slice(shared, 1, size(shared) - least + 2), (x, i) -> transform(slice(shared, i + 2, greatest(size(shared) - least + 1 - i, 0)), y -> named_struct('a', x.h, 'b', y.h))))")
+    pairs = F.expr("flatten(transform(slice(shared, 1, size(shared) - least + 2), (x, i) -> transform(slice(shared, i + 2, greatest(size(shared) - least + 1 - i, 0)), (y, j) -> named_struct('a', x.h, 'b', y.h, 'at', i + 1 + j))))")
     double = tagged.where("NOT heavy AND least >= 2").select("node", "n", "heavy", "typical", rem.alias("rem"), F.explode(pairs).alias("x"))
-    double = double.select(F.xxhash64(F.lit("two"), F.least("x.a", "x.b"), F.greatest("x.a", "x.b")).alias("key"), "node", "n", "typical", F.col("rem").cast("int").alias("rem"), F.lit(0).alias("at"), "heavy", F.lit(False).alias("single"))
+    key = F.xxhash64(F.lit("two"), F.least("x.a", "x.b"), F.greatest("x.a", "x.b")).alias("key")
+    double = double.select(key, "node", "n", "typical", (F.col("rem") - F.col("x.at") + 1).cast("int").alias("rem"), F.col("x.at").alias("at"), "heavy", F.lit(False).alias("single"))
     return single.unionByName(double)
 
 
@@ -186,33 +187,53 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(roots, "c", "left").select("node", F.coalesce("root", "c").alias("c")), "labels")
 
 
+def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after two steps to the least label of linked sets: enough for a star around a pivot, and never wrong.
+
+    What longer chains leave apart costs further verifications only; the components of all links are taken at the end.
+    """
+    to = lambda side: labels.select(F.col("node").alias(side), F.col("c").alias(f"c{side}"))
+    graph = links.join(to("a"), "a").join(to("b"), "b").where("ca <> cb").select(F.explode(F.array(F.struct(F.col("ca").alias("a"), F.col("cb").alias("b")), F.struct(F.col("cb").alias("a"), F.col("ca").alias("b")))).alias("e")).select("e.*").distinct()
+    one = graph.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("l"))
+    two = graph.join(one, graph["b"] == one["n"]).groupBy("a").agg(F.min("l").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("root"))
+    return materialize(labels.join(two, "c", "left").select("node", F.coalesce("root", "c").alias("c")), "labels")
+
+
 def link(shared: DataFrame, percent: int) -> DataFrame:
     """node, c (least node of its component) of every set of shared."""
     entries = materialize(_keys(shared), "keys")
-    labels = materialize(shared.select("node", F.col("node").alias("c")).distinct(), "labels")
+    alone = materialize(shared.select("node", F.col("node").alias("c")).distinct(), "labels")
+    labels, found = alone, None
     for r, many in enumerate(PIVOTS):
         listed = entries.join(labels, "node")
         orders = [F.struct((F.xxhash64(F.lit(r), F.lit(j), "node") if r else -F.col("typical")).alias("p"), F.col("node").alias("node"), F.col("c").alias("c")) for j in range(many)]
         heads = listed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *[F.min(o).alias(f"p{j}") for j, o in enumerate(orders)]).where("low < high").drop("low", "high")
         spanning = materialize(listed.join(heads, "key"), "lists")
+        if not spanning.limit(1).count():
+            return _merge(alone, found) if found is not None else labels
         chosen = spanning.groupBy("node").agg(*[F.min(F.when(F.col("c") != F.col(f"p{j}.c"), F.col(f"p{j}"))).alias(f"p{j}") for j in range(many)])
         pivots = F.array_distinct(F.array_compact(F.array(*[F.col(f"p{j}.node") for j in range(many)])))
         links = materialize(verified(chosen.select(F.col("node").alias("a"), F.explode(pivots).alias("b")), shared, percent), "links")
         entries = spanning.drop("c", *[f"p{j}" for j in range(many)])
         if not links.limit(1).count():
             break
-        labels = _merge(labels, links)
+        found = links if found is None else found.unionByName(links)
+        labels = _hooked(labels, links)
+    if found is not None:
+        labels = _merge(alone, found)
     listed = entries.join(labels, "node")
     span = listed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    prefix = shared.select("node", F.col("n").alias("n_"), F.transform(F.slice("shared", 1, F.size("shared") - F.col("least") + 1), lambda x: x["h"]).alias("hs"))
+    prefix = shared.select("node", F.col("n").alias("n_"), F.transform(F.slice("shared", 1, F.size("shared") - F.col("least") + 2), lambda x: x["h"]).alias("hs"))
     left = listed.join(span, "key", "left_semi").join(prefix, "node").where("n = n_").withColumn("before", F.slice("hs", 1, F.col("at"))).drop("hs", "n_", "typical")
     left = materialize(left, "open")
     x, y = left.alias("x"), left.alias("y")
     some = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
     fits = 100 * F.col("x.n") >= percent * F.col("y.n")
-    enough = (100 + percent) * F.least("x.rem", "y.rem") >= percent * (F.col("x.n") + F.col("y.n"))  # rem bounds the overlap where the key is the first common one
-    first = (F.col("x.heavy") | F.col("y.heavy")) & enough & ~F.arrays_overlap("x.before", "y.before")
-    pairs = x.join(y, some & fits & (first | ~F.col("x.single"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    enough = (100 + percent) * F.least("x.rem", "y.rem") >= percent * (F.col("x.n") + F.col("y.n"))
+    # a pair meets at every key that it shares, but counts at its first one only: no common shingle before a single one, one before a pair's second
+    first = F.size(F.array_intersect("x.before", "y.before")) == F.when(F.col("x.single"), 0).otherwise(1)
+    kinds = F.col("x.heavy") | F.col("y.heavy") | ~F.col("x.single")
+    pairs = x.join(y, some & fits & kinds & enough & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = materialize(verified(pairs, shared, percent), "links")
     return _merge(labels, links) if links.limit(1).count() else labels
 
