@@ -3,7 +3,7 @@
 FEED_ITEM = "source string, id string, title string, abstract string, authors array<string>, feed string, feed_pos int, item_pos int"
 NOTE = "file string, basename string, title string, identity string, arxiv string, read_date date, rating string, why string, tags array<string>, status string, body string, touched boolean, inlinks int, seed string"
 DIRECTIVES = "body string, labs array<string>, companies array<string>, topics array<string>, authors array<string>"
-CANDIDATE = "struct<arxiv:string,pool:string,lexical_score:double,terms:array<string>,jev:struct<primitive:string,confidence:double,top:string,fail_reason:string>,posted:boolean,rescued:string,title:string,authors:array<string>,slack_ts:string>"
+CANDIDATE = "struct<arxiv:string,pool:string,lexical_score:double,terms:array<string>,model:struct<primitive:string,confidence:double,top:string,fail_reason:string>,posted:boolean,rescued:string,title:string,authors:array<string>,slack_ts:string>"
 JOURNAL = f"lane string, run_id string, ts timestamp, feed string, mode string, seed string, slack_channel string, ranking string, candidates array<{CANDIDATE}>"
 RECEIPT = "lane string, candidate_arxiv string, run_id string, ts timestamp, primitive string, state_bytes int, distribution string, confidence double, latency_ms int, model_version string"
 LEDGER = "lane string, arxiv_id string, label_type string, source string, ts timestamp"

@@ -161,7 +161,7 @@ class Config:
     probe_k: int = 20
     half_life_days: float = 180.0
     min_confidence: float = 0.6
-    ranking: str = "jev-first"
+    ranking: str = "model-first"
     state_policy: str = "fixed-15"
     taste_budget_bytes: int = 2500
     candidate_content: bool = False
