@@ -296,3 +296,21 @@ def test_long_text_in_parts_counts_alike(monkeypatch):
     whole = op9_language.gram_counts(LONG)
     monkeypatch.setattr(op9_language, "PART", 1000)
     assert (op9_language.gram_counts(LONG) == whole).all()
+
+
+def test_toxicity_thresholds_keep_the_tables_shares(spark, monkeypatch):
+    """A sample cut to equal shares doesn't lower the thresholds: where scores overlap, clean documents stay clean."""
+    monkeypatch.setattr(op2_toxicity, "TRAIN_ROWS", 200)
+    rng, rows = random.Random(5), []
+    for k in range(2000):
+        bad = k % 10 == 0
+        words = [f"plain{rng.randrange(40)}" for _ in range(12)] + ["foulish"] * (bad or rng.random() < 0.25) + ["vileness"] * (bad and k % 20 == 0)
+        rows.append((k, " ".join(words), "en", "a", int(bad)))
+    docs = frame(spark, [x[:4] for x in rows])
+    known = spark.createDataFrame([(x[0], x[4]) for x in rows], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["score"] for r in op2_toxicity.score(docs, op2_toxicity.train(docs, known, F.lit(True))).collect()}
+    clean = [score[x[0]] >= 0.5 for x in rows if not x[4]]
+    assert sum(clean) / len(clean) < 0.08
+    assert sum(score[x[0]] >= 0.5 for x in rows if x[4]) >= 60
+    y, z, w = np.array([1, 0, 1, 0, 0, 1.0]), np.array([6, 5, 4, 3, 2, 1.0]), np.array([1, 9, 1, 9, 9, 1.0])
+    assert op2_toxicity._cut(z, y, w) == op2_toxicity._cut(np.repeat(z, w.astype(int)), np.repeat(y, w.astype(int)), np.ones(30))
