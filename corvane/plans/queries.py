@@ -808,10 +808,12 @@ def _(s, d):
 
 @query("er_02_cited_by")
 def _(s, d):
-    o = table(s, d, "orders").limit(0).select(F.lit("x").alias("title"))
-    l = table(s, d, "lineitem").where("l_orderkey <= 400").select(F.col("l_orderkey").cast("string").alias("citer"), F.concat(F.lit("part "), "l_partkey").alias("title"), F.lit(None).cast("string").alias("arxiv"), F.concat(F.lit("10.1/"), F.col("l_partkey").cast("string")).alias("doi"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"))
-    own = l.select(F.col("citer").alias("title")).distinct().unionByName(o)
-    return resolve.cited_by(own, l, s.createDataFrame([], "key string")).select("root", "title", F.array_join("citers", ",").alias("citers"))
+    """Every order as an own paper, every line as a reference to a part, every seventh part as a work that the vault has."""
+    own = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("title"))
+    # an order's line numbers repeat, so a reference is order, line and part; its place orders the citers too
+    l = table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("citer"), F.concat(F.lit("part "), "l_partkey").alias("title"), F.lit(None).cast("string").alias("arxiv"), F.concat(F.lit("10.1/"), F.col("l_partkey").cast("string")).alias("doi"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("row"))
+    known = table(s, d, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("doi:10.1/"), F.col("p_partkey").cast("string")).alias("key"))
+    return resolve.cited_by(own, l, known).select("root", "title", F.array_join("citers", ",").alias("citers"))
 
 
 @query("snk_09_staged_notes", "SELECT count(*) AS n, count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN doc_id END) AS even FROM documents WHERE doc_id % 5 <> 0")

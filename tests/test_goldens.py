@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import numbers, parsers, text
 from corvane.operators import calibrate, labels, pack, profile, rank, resolve, review, scorer
+from corvane.plans import queries
 from corvane.sources import connectors, files, sinks
 
 
@@ -108,6 +110,21 @@ def test_resolution(spark):
     assert {tuple(r["citers"]) for r in resolve.resolved(w).collect()} == {("x", "y", "z"), ("x", "y")}
 
 
+def test_cited_by_query_is_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [(rng.randrange(380, 460), rng.randrange(1, 4), rng.randrange(1, 40)) for _ in range(300)]
+    orders = [k for k in range(380, 460) if k % 9]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in orders], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 40)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    want: dict[int, list[int]] = {}
+    for order, _, part in sorted(lines):
+        if order in orders and part % 7 and order not in want.setdefault(part, []):
+            want[part].append(order)
+    got = queries.QUERIES["er_02_cited_by"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((f"doi:10.1/{p}", f"part {p}", ",".join(map(str, c))) for p, c in want.items() if c)
+
+
 def test_parsers():
     assert parsers.latex(r"$\sqrt{\text{iSWAP}}$ gates with \(\alpha_2\) and \beta") == "√(iSWAP) gates with α₂ and β"
     page = "Title\nA. One, B. Two\n1 Department of Physics, University of X,\nBerlin, 12345 Germany\n2 RIKEN, Wako, Japan and\nAbstract\nUniversity of Nowhere"
