@@ -19,13 +19,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, needs: str = "") -> Callable[[Query], Query]:
-    """Registers a query; sql is what DuckDB runs over the named views."""
+def query(name: str, sql: str | None = None, needs: str = "", whole: bool = False) -> Callable[[Query], Query]:
+    """Registers a query; sql is what DuckDB runs over the named views; whole: once more over whole texts, as name_whole."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = with_views(needs, sql)
+        if whole:
+            QUERIES[f"{name}_whole"] = lambda s, d: f(s, d, views.whole_items)
+            if sql is not None:
+                ORACLES[f"{name}_whole"] = with_views(needs, sql, True)
         return f
 
     return add
@@ -41,12 +45,12 @@ def _terms(s: SparkSession, d: str) -> DataFrame:
     return top.select("term", F.round("weight", 6).alias("weight"))
 
 
-def _scored(s: SparkSession, d: str) -> DataFrame:
-    return rank.scored(views.items(s, d), _terms(s, d))
+def _scored(s: SparkSession, d: str, items: Query = views.items) -> DataFrame:
+    return rank.scored(items(s, d), _terms(s, d))
 
 
-def _pooled(s: SparkSession, d: str) -> DataFrame:
-    return rank.pools(_scored(s, d), "seed").withColumn("mass", scorer.mass_of(F.col("id")))
+def _pooled(s: SparkSession, d: str, items: Query = views.items) -> DataFrame:
+    return rank.pools(_scored(s, d, items), "seed").withColumn("mass", scorer.mass_of(F.col("id")))
 
 
 def _graded(s: SparkSession, d: str) -> DataFrame:
@@ -56,9 +60,9 @@ def _graded(s: SparkSession, d: str) -> DataFrame:
 # --- flagship, profile ------------------------------------------------------------------------------------------------
 
 
-@query("rank_01_digest", "SELECT id, score, n_terms FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 20", "sc")
-def _(s, d):
-    return rank.survivors(_scored(s, d), 20).select("id", "score", F.size("terms").cast("long").alias("n_terms"))
+@query("rank_01_digest", "SELECT id, score, n_terms FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 20", "sc", whole=True)
+def _(s, d, items=views.items):
+    return rank.survivors(_scored(s, d, items), 20).select("id", "score", F.size("terms").cast("long").alias("n_terms"))
 
 
 @query("agg_01_document_frequency", "SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY 1", "tok")
@@ -162,9 +166,9 @@ def _(s, d):
 # --- ranking ----------------------------------------------------------------------------------------------------------
 
 
-@query("join_01_term_matches", "SELECT id, term, in_title, in_abstract FROM hits WHERE in_title + in_abstract > 0", "hits")
-def _(s, d):
-    return rank.matches(views.items(s, d), _terms(s, d)).select("id", "term", F.col("in_title").cast("long").alias("in_title"), F.col("in_abstract").cast("long").alias("in_abstract"))
+@query("join_01_term_matches", "SELECT id, term, in_title, in_abstract FROM hits WHERE in_title + in_abstract > 0", "hits", whole=True)
+def _(s, d, items=views.items):
+    return rank.matches(items(s, d), _terms(s, d)).select("id", "term", F.col("in_title").cast("long").alias("in_title"), F.col("in_abstract").cast("long").alias("in_abstract"))
 
 
 @query("join_02_author_matches", "SELECT c_custkey AS id, s_name AS name FROM customer JOIN supplier ON split_part(s_name, '#', 2) = lpad(CAST(c_custkey % 97 AS VARCHAR), 9, '0')")
@@ -203,24 +207,24 @@ def _(s, d):
     return rank.union_feeds([x.where("item_pos % 2 = 0"), x.where("item_pos % 2 = 1")]).select("source", "id", F.col("item_pos").alias("first"))
 
 
-@query("agg_04_score", "SELECT id, score FROM sc", "sc")
-def _(s, d):
-    return _scored(s, d).select("id", "score")
+@query("agg_04_score", "SELECT id, score FROM sc", "sc", whole=True)
+def _(s, d, items=views.items):
+    return _scored(s, d, items).select("id", "score")
 
 
-@query("agg_05_terms", "SELECT id, terms FROM sc WHERE n_terms > 0", "sc")
-def _(s, d):
-    return _scored(s, d).where(F.size("terms") > 0).select("id", F.array_join("terms", ",").alias("terms"))
+@query("agg_05_terms", "SELECT id, terms FROM sc WHERE n_terms > 0", "sc", whole=True)
+def _(s, d, items=views.items):
+    return _scored(s, d, items).where(F.size("terms") > 0).select("id", F.array_join("terms", ",").alias("terms"))
 
 
-@query("srt_01_survivors", "SELECT id FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 40", "sc")
-def _(s, d):
-    return rank.survivors(_scored(s, d)).select("id")
+@query("srt_01_survivors", "SELECT id FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 40", "sc", whole=True)
+def _(s, d, items=views.items):
+    return rank.survivors(_scored(s, d, items)).select("id")
 
 
-@query("srt_02_pools", "SELECT id, pool FROM pooled", "pooled")
-def _(s, d):
-    return _pooled(s, d).select("id", "pool")
+@query("srt_02_pools", "SELECT id, pool FROM pooled", "pooled", whole=True)
+def _(s, d, items=views.items):
+    return _pooled(s, d, items).select("id", "pool")
 
 
 @query("srt_03_probe", "SELECT pos FROM (SELECT event_id AS pos FROM events WHERE value < 1) ORDER BY sha256('seed:' || pos), pos LIMIT 20")
@@ -229,9 +233,9 @@ def _(s, d):
     return rank.probe(e, "seed").select(F.col("id").alias("pos"))
 
 
-@query("srt_04_picks", "SELECT id, round(mass, 6) AS mass FROM pooled ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled")
-def _(s, d):
-    return rank.picks(_pooled(s, d)).select("id", F.round("mass", 6).alias("mass"))
+@query("srt_04_picks", "SELECT id, round(mass, 6) AS mass FROM pooled ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled", whole=True)
+def _(s, d, items=views.items):
+    return rank.picks(_pooled(s, d, items)).select("id", F.round("mass", 6).alias("mass"))
 
 
 @query("srt_05_term_order", "SELECT term, round(weight, 4) AS weight FROM terms", "terms")
@@ -239,19 +243,19 @@ def _(s, d):
     return _terms(s, d).select("term", F.round("weight", 4).alias("weight"))
 
 
-@query("set_04_pools_disjoint", "SELECT pool, count(*) AS n FROM pooled GROUP BY 1", "pooled")
-def _(s, d):
-    return _pooled(s, d).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
+@query("set_04_pools_disjoint", "SELECT pool, count(*) AS n FROM pooled GROUP BY 1", "pooled", whole=True)
+def _(s, d, items=views.items):
+    return _pooled(s, d, items).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prj_13_pool_lexical", "SELECT id, CASE WHEN score > 0 AND n_terms > 1 THEN 'survivor' WHEN score > 0 THEN 'near-miss' ELSE 'probe' END AS pool FROM sc", "sc")
-def _(s, d):
-    return _scored(s, d).select("id", rank.pool_lexical(F.col("score"), F.col("terms")).alias("pool"))
+@query("prj_13_pool_lexical", "SELECT id, CASE WHEN score > 0 AND n_terms > 1 THEN 'survivor' WHEN score > 0 THEN 'near-miss' ELSE 'probe' END AS pool FROM sc", "sc", whole=True)
+def _(s, d, items=views.items):
+    return _scored(s, d, items).select("id", rank.pool_lexical(F.col("score"), F.col("terms")).alias("pool"))
 
 
-@query("prj_07_canonical_picks", "SELECT id AS arxiv, score, terms FROM pooled WHERE terms IS NOT NULL ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled")
-def _(s, d):
-    p = rank.picks(_pooled(s, d).where(F.size("terms") > 0)).withColumn("rescued", F.lit(None).cast("string"))
+@query("prj_07_canonical_picks", "SELECT id AS arxiv, score, terms FROM pooled WHERE terms IS NOT NULL ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled", whole=True)
+def _(s, d, items=views.items):
+    p = rank.picks(_pooled(s, d, items).where(F.size("terms") > 0)).withColumn("rescued", F.lit(None).cast("string"))
     return rank.canonical(p).select("arxiv", "score", F.array_join("terms", ",").alias("terms"))
 
 
@@ -260,9 +264,9 @@ def _(s, d):
     return _docs(s, d).select("doc_id", rank.run_id(F.col("lang"), F.col("source")).alias("run_id"), F.substring(F.sha2("text", 256), 1, 16).alias("print"))
 
 
-@query("prj_14_fingerprint")
-def _(s, d):
-    return rank.fingerprint(rank.picks(_pooled(s, d)).withColumn("rescued", F.lit(None).cast("string")))
+@query("prj_14_fingerprint", whole=True)
+def _(s, d, items=views.items):
+    return rank.fingerprint(rank.picks(_pooled(s, d, items)).withColumn("rescued", F.lit(None).cast("string")))
 
 
 @query("win_09_finalists", "SELECT run::VARCHAR AS run, id, place FROM (SELECT run, pos AS id, row_number() OVER (PARTITION BY run ORDER BY conf DESC, lexical DESC, pos) AS place FROM journal) WHERE place <= 10", "journal")
@@ -274,14 +278,14 @@ def _(s, d):
 # --- model layer ------------------------------------------------------------------------------------------------------
 
 
-@query("mdl_05_model_first", "SELECT id, round(coalesce(m, 0), 6) AS mass FROM (SELECT *, CASE WHEN id % 3 > 0 THEN mass END AS m FROM pooled) WHERE m IS NOT NULL OR score > 0 ORDER BY coalesce(m, 0) DESC, score DESC, id LIMIT 5", "pooled")
-def _(s, d):
-    return scorer.model_first(_pooled(s, d).withColumn("mass", F.when(F.col("id") % 3 > 0, F.col("mass")))).select("id", F.round("mass", 6).alias("mass"))
+@query("mdl_05_model_first", "SELECT id, round(coalesce(m, 0), 6) AS mass FROM (SELECT *, CASE WHEN id % 3 > 0 THEN mass END AS m FROM pooled) WHERE m IS NOT NULL OR score > 0 ORDER BY coalesce(m, 0) DESC, score DESC, id LIMIT 5", "pooled", whole=True)
+def _(s, d, items=views.items):
+    return scorer.model_first(_pooled(s, d, items).withColumn("mass", F.when(F.col("id") % 3 > 0, F.col("mass")))).select("id", F.round("mass", 6).alias("mass"))
 
 
-@query("mdl_06_lexical_first", "SELECT id, CASE WHEN pool <> 'survivor' THEN pool END AS rescued FROM pooled WHERE pool = 'survivor' OR (pool IN ('near-miss', 'probe') AND mass >= 0.6) ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled")
-def _(s, d):
-    return scorer.lexical_first(_pooled(s, d)).select("id", "rescued")
+@query("mdl_06_lexical_first", "SELECT id, CASE WHEN pool <> 'survivor' THEN pool END AS rescued FROM pooled WHERE pool = 'survivor' OR (pool IN ('near-miss', 'probe') AND mass >= 0.6) ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled", whole=True)
+def _(s, d, items=views.items):
+    return scorer.lexical_first(_pooled(s, d, items)).select("id", "rescued")
 
 
 @query("mdl_07_two_pass", "SELECT id, round(CASE WHEN id % 2 = 0 THEN conf / 2 ELSE conf END, 6) AS mass FROM (SELECT run, pos AS id, conf, row_number() OVER (PARTITION BY run ORDER BY conf DESC, lexical DESC, pos) AS place FROM journal) WHERE place <= 10", "journal")
@@ -824,9 +828,9 @@ def _(s, d):
     return notes.agg(F.count_distinct("file").alias("n"), F.count_if(even).alias("even"))
 
 
-@query("snk_05_vault_note")
-def _(s, d):
-    p = rank.picks(_pooled(s, d)).select("id", "title", F.array_join("terms", ",").alias("why"), F.row_number().over(Window.orderBy(F.desc("mass"))).alias("place"))
+@query("snk_05_vault_note", whole=True)
+def _(s, d, items=views.items):
+    p = rank.picks(_pooled(s, d, items)).select("id", "title", F.array_join("terms", ",").alias("why"), F.row_number().over(Window.orderBy(F.desc("mass"))).alias("place"))
     return sinks.vault_note(p.withColumn("id", F.col("id").cast("string")), "2026-10-01", "quant-ph", "mode: model, full")
 
 

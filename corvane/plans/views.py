@@ -20,6 +20,12 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 2000).alias("abstract"))
 
 
+def whole_items(spark: SparkSession, d: str) -> DataFrame:
+    """items with all that follows the title as the abstract; the 2000 characters are a limit of the feed parser only."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return docs.select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("abstract"))
+
+
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """Documents of good quality as notes: id, text, source, lang, rating, age_days, staged, tags, inlinks, toxic."""
     got = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1"), "doc_id")
@@ -88,12 +94,15 @@ SQL = {
         ('0x' || substr(md5('mass:' || id), 1, 7))::BIGINT / 268435456.0::DOUBLE AS mass
         FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r, row_number() OVER (PARTITION BY score <= 0 ORDER BY sha256('seed:' || id), id) AS z FROM sc) s""",
 }
+#: items of the queries whose names end in _whole.
+WHOLE_ITEMS = "SELECT doc_id AS id, source, lang, substr(text, 1, 80) AS title, substr(text, 81) AS abstract FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 _NEEDS = {"receipts": ["journal"], "label_rows": ["journal"], "ledger": ["label_rows"], "outcomes": ["ledger"], "latest": ["receipts"], "graded": ["latest", "outcomes"],
           "tok": ["notes"], "prof": ["tok", "notes"], "terms": ["prof"], "hits": ["items", "terms"], "sc": ["items", "hits"], "pooled": ["sc"]}
 
 
-def with_views(names: str, select: str) -> str:
-    """select with the named views (and those that they need) as common table expressions."""
+def with_views(names: str, select: str, whole: bool = False) -> str:
+    """select with the named views (and those that they need) as common table expressions; whole: items aren't cut."""
+    sql = SQL | {"items": WHOLE_ITEMS} if whole else SQL
     order: list[str] = []
 
     def need(n: str) -> None:
@@ -104,4 +113,4 @@ def with_views(names: str, select: str) -> str:
 
     for n in names.split():
         need(n)
-    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in order) + " " if order else "") + select
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({sql[n]})" for n in order) + " " if order else "") + select

@@ -8,7 +8,9 @@ import os
 import duckdb
 import pytest
 
+from corvane.operators import rank
 from corvane.plans import queries as q
+from corvane.plans import views
 
 #: A spread of operators; the driver compares all of them.
 NAMES = ("rank_01_digest", "agg_03_saturation_cap", "agg_07_brier", "agg_08_reliability", "agg_09_precision5", "win_04_divergence_hot", "win_05_buried", "join_11_arrival", "snk_03_ledger", "pck_02_greedy", "er_01_components", "str_02_tokens", "srt_02_pools")
@@ -25,3 +27,19 @@ def test_oracle(spark, data, name):
     for f in glob.glob(f"{data}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     assert rows(q.QUERIES[name](spark, data).toPandas()) == rows(con.sql(q.ORACLES[name]).df())
+
+
+#: Queries over whole texts, beside those over prefixes.
+WHOLE = ("rank_01_digest_whole", "join_01_term_matches_whole", "srt_02_pools_whole")
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_oracle(spark, data, name):
+    test_oracle(spark, data, name)
+
+
+def test_items_keep_what_stands_late(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 3000 + " latecomer", "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    terms = spark.createDataFrame([("latecomer", 1.0)], "term string, weight double")
+    assert [(r["id"], r["in_abstract"]) for r in rank.matches(views.whole_items(spark, str(tmp_path)), terms).collect()] == [(1, 1)]
