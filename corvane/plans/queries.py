@@ -710,6 +710,12 @@ def _(s, d):
     return a.join(b, "t").where("a = b").select("a", "b")
 
 
+@query("flt_16_title_classes", "SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g')) AS first FROM documents")
+def _(s, d):
+    x = _docs(s, d).select("doc_id", F.sha2(text.normalize_title(F.coalesce("text", F.lit(""))), 256).alias("t"))
+    return x.join(x.groupBy("t").agg(F.min("doc_id").alias("first")), "t").select("doc_id", "first")
+
+
 @query("math_01_decay", "SELECT doc_id, round(pow(0.5, (doc_id % 400) / 180.0::DOUBLE), 6) AS w FROM documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", F.round(numbers.decay(F.col("doc_id") % 400), 6).alias("w"))

@@ -30,7 +30,7 @@ def test_oracle(spark, data, name):
 
 
 #: Queries over whole texts, beside those over prefixes.
-WHOLE = ("rank_01_digest_whole", "join_01_term_matches_whole", "srt_02_pools_whole")
+WHOLE = ("rank_01_digest_whole", "join_01_term_matches_whole", "srt_02_pools_whole", "flt_16_title_classes")
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -43,3 +43,9 @@ def test_items_keep_what_stands_late(spark, tmp_path):
     spark.createDataFrame([], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
     terms = spark.createDataFrame([("latecomer", 1.0)], "term string, weight double")
     assert [(r["id"], r["in_abstract"]) for r in rank.matches(views.whole_items(spark, str(tmp_path)), terms).collect()] == [(1, 1)]
+
+
+def test_equal_titles_meet_across_languages(spark, tmp_path):
+    rows = [(5, "A: Title " + "t" * 90, "de"), (2, "a title " + "T" * 90, "en"), (7, "A title " + "t" * 89 + "u", "en"), (9, None, "fr"), (8, "", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, q.QUERIES["flt_16_title_classes"](spark, str(tmp_path)).collect())) == [(2, 2), (5, 2), (7, 7), (8, 8), (9, 8)]
