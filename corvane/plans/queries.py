@@ -140,6 +140,13 @@ def _(s, d):
     return profile.cards(n, c).limit(50).select(F.col("title").cast("long").alias("id"), F.col("why").alias("rating"), "abstract")
 
 
+@query("prj_17_cards_whole", "SELECT n.id, n.rating, b.text AS abstract FROM notes n LEFT JOIN benchmark b ON b.item_id = n.id", "notes")
+def _(s, d):
+    n = views.notes(s, d).select(F.col("id").cast("string").alias("arxiv"), F.lpad(F.col("id").cast("string"), 12, "0").alias("title"), F.col("rating").alias("why"), F.lit(1.0).alias("weight"), F.lit(None).cast("date").alias("read"))
+    c = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("arxiv"), F.col("text").alias("abstract"), F.lit(None).cast("string").alias("conclusions"))
+    return profile.cards(n, c).select(F.col("title").cast("long").alias("id"), F.col("why").alias("rating"), "abstract")
+
+
 @query("prj_19_worklist", "SELECT id, id || ' | ' || lang || ' | ' || CASE WHEN toxic = 1 THEN 't' ELSE '-' END || ' | ' || CASE WHEN toxic = 1 THEN 'cli' ELSE '-' END AS line FROM notes WHERE staged", "notes")
 def _(s, d):
     n = views.notes(s, d).where("staged").select(F.col("id").cast("string").alias("identity"), F.col("lang").alias("title"), "toxic")
@@ -614,6 +621,27 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.fold_accents(F.regexp_replace(F.substring("text", 1, 200), "[^a-zA-ZÀ-ÿ ]", "")).alias("folded"))
 
 
+@query("str_08_norm_title_whole", "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS title FROM documents")
+def _(s, d):
+    return _docs(s, d).select("doc_id", F.md5(text.normalize_title(F.col("text"))).alias("title"))
+
+
+@query("str_09_slug_whole", "SELECT doc_id, trim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') AS slug FROM documents")
+def _(s, d):
+    return _docs(s, d).select("doc_id", text.slug(F.col("text")).alias("slug"))
+
+
+@query("str_10_fold_accents_whole", "SELECT doc_id, md5(strip_accents(regexp_replace(text, '[^a-zA-ZÀ-ÿ ]', '', 'g'))) AS folded FROM documents")
+def _(s, d):
+    return _docs(s, d).select("doc_id", F.md5(text.fold_accents(F.regexp_replace("text", "[^a-zA-ZÀ-ÿ ]", ""))).alias("folded"))
+
+
+@query("str_15_abstract_section_whole")
+def _(s, d):
+    t = F.concat(F.lit("Title\nAbstract\n"), "text", F.lit("\n1. Introduction\nrest"))
+    return _docs(s, d).select("doc_id", text.abstract_section(t).alias("abstract")).where("abstract IS NOT NULL")
+
+
 @query("str_11_split_group", "SELECT doc_id, lang AS name, CASE WHEN doc_id % 2 = 0 THEN source END AS grp FROM documents")
 def _(s, d):
     n, g = text.split_group(F.concat("lang", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" — "), "source")).otherwise("")))
@@ -643,13 +671,13 @@ def _(s, d):
 
 @query("str_16_conclusions_section")
 def _(s, d):
-    t = F.concat(F.lit("Intro\nSummary\nshort\nReferences\n5. Conclusions\n"), F.substring("text", 1, 300), F.lit("\nReferences\n[1] x"))
+    t = F.concat(F.lit("Intro\nSummary\nshort\nReferences\n5. Conclusions\n"), "text", F.lit("\nReferences\n[1] x"))
     return _docs(s, d).select("doc_id", text.conclusions_section(t).alias("conclusions"))
 
 
 @query("str_17_affiliations")
 def _(s, d):
-    return _docs(s, d).select("doc_id", parsers.parse_affiliations(F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "source", F.lit(", Germany\nAbstract\n"), F.substring("text", 1, 100))).alias("a"))
+    return _docs(s, d).select("doc_id", parsers.parse_affiliations(F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "source", F.lit(", Germany\nAbstract\n"), "text")).alias("a"))
 
 
 @query("str_18_bibtex")

@@ -30,7 +30,7 @@ def test_oracle(spark, data, name):
 
 
 #: Queries over whole texts, beside those over prefixes.
-WHOLE = ("rank_01_digest_whole", "join_01_term_matches_whole", "srt_02_pools_whole", "flt_16_title_classes")
+WHOLE = ("rank_01_digest_whole", "join_01_term_matches_whole", "srt_02_pools_whole", "flt_16_title_classes", "str_08_norm_title_whole", "str_09_slug_whole", "str_10_fold_accents_whole", "prj_17_cards_whole")
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -49,3 +49,10 @@ def test_equal_titles_meet_across_languages(spark, tmp_path):
     rows = [(5, "A: Title " + "t" * 90, "de"), (2, "a title " + "T" * 90, "en"), (7, "A title " + "t" * 89 + "u", "en"), (9, None, "fr"), (8, "", "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, q.QUERIES["flt_16_title_classes"](spark, str(tmp_path)).collect())) == [(2, 2), (5, 2), (7, 7), (8, 8), (9, 8)]
+
+
+def test_section_queries_read_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "word " * 70 + "\nReferences\nx", "src"), (2, "word " * 70 + "and an end", "src")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r[0]: r[1] for r in q.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("str_15_abstract_section_whole", "str_16_conclusions_section")}
+    assert got["str_15_abstract_section_whole"] == {1: "word " * 70 + "References x", 2: "word " * 70 + "and an end"}
+    assert got["str_16_conclusions_section"] == {1: ("word " * 70).strip(), 2: "word " * 70 + "and an end"}
