@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +18,38 @@ def work_keys(works: DataFrame) -> DataFrame:
     return works.select("row", F.explode(keys).alias("key"))
 
 
-def components(keys: DataFrame, rounds: int = 50) -> DataFrame:
+def _least(links: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root of every node of a link (a, b): the least node of its component.
+
+    Each round a node and its parent take the least grandparent of the node's neighbours, and each node its own; until
+    nothing changes, so a chain of any length is whole in about the logarithm of its length.
+    """
+    both = save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        jump = now.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        top = save(now.join(jump, "root").select("node", "root", "top"))
+        near = both.join(top.select(F.col("node").alias("b"), F.col("top").alias("low")), "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
+        got = top.join(near, "node").select("node", "root", F.least("top", "low").alias("low"))
+        hooked = got.select("node", "low").unionByName(got.select(F.col("root").alias("node"), "low"))
+        nxt = save(hooked.groupBy("node").agg(F.min("low").alias("low")).join(now, "node").select("node", F.least("low", "root").alias("root"), F.col("root").alias("was")))
+        if not nxt.where("root <> was").limit(1).count():
+            return nxt.select("node", "root")
+        now = nxt.select("node", "root")
+
+
+def components(keys: DataFrame) -> DataFrame:
     """ER-1: row, root: rows that share a key, or a chain of keys, get the least key of all.
 
-    The least key spreads from rows to keys and back until nothing changes; each round is two aggregates over the pairs,
-    summed before they are shuffled, and is checkpointed, so neither plan nor lineage grows.
+    A row links its keys with its least one; only linked keys take part in the rounds, each of which is checkpointed, so
+    neither plan nor lineage grows.
     """
-    sc = keys.sparkSession.sparkContext
-    save = (lambda d: d.checkpoint()) if sc.getCheckpointDir() else (lambda d: d.cache())
+    save = (lambda d: d.checkpoint()) if keys.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
     pairs = keys.distinct()
-    now = save(pairs.groupBy("row").agg(F.min("key").alias("root")))
-    for _ in range(rounds):
-        by_key = pairs.join(now, "row").groupBy("key").agg(F.min("root").alias("low"))
-        nxt = save(pairs.join(by_key, "key").groupBy("row").agg(F.min("low").alias("root")))
-        if not nxt.join(now.withColumnRenamed("root", "was"), "row").where("root <> was").limit(1).count():
-            return nxt
-        now = nxt
-    return now
+    first = pairs.groupBy("row").agg(F.min("key").alias("first"))
+    links = pairs.join(first, "row").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    roots = _least(links, save).select(F.col("node").alias("first"), "root")
+    return first.join(roots, "first", "left").select("row", F.coalesce("root", "first").alias("root"))
 
 
 def resolved(works: DataFrame) -> DataFrame:

@@ -823,6 +823,17 @@ def _(s, d):
     return got.select(F.col("row").alias("node"), "root")
 
 
+@query("er_01_chains", "SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_custkey // 300) AS root FROM customer")
+def _(s, d):
+    """Chains of 300 customers: each shares a key with the next one."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("row"))
+    link = lambda k: F.lit(10**12) + k
+    ahead = c.where("(row + 1) % 300 <> 0").select("row", link(F.col("row")).alias("key"))
+    back = c.where("row % 300 <> 0").select("row", link(F.col("row") - 1).alias("key"))
+    got = resolve.components(ahead.unionByName(back).unionByName(c.select("row", F.col("row").alias("key"))))
+    return got.select(F.col("row").alias("node"), "root")
+
+
 @query("er_01_dups", "SELECT doc_id AS row, min(doc_id) OVER (PARTITION BY text) AS root FROM documents")
 def _(s, d):
     k = _docs(s, d).select(F.col("doc_id").alias("row"), F.md5("text").alias("h"))

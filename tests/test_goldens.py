@@ -110,6 +110,14 @@ def test_resolution(spark):
     assert {tuple(r["citers"]) for r in resolve.resolved(w).collect()} == {("x", "y", "z"), ("x", "y")}
 
 
+def test_long_chains_have_one_root(spark):
+    order = random.Random(8).sample(range(400), 400)
+    links = [(f"r{i}", f"k{order[i]:03}") for i in range(400)] + [(f"r{i}", f"k{order[i + 1]:03}") for i in range(399)]
+    alone = [("z1", "x"), ("z2", "x"), ("z2", "y"), ("w", "q")]
+    got = dict(map(tuple, resolve.components(spark.createDataFrame(links + alone, "row string, key string")).collect()))
+    assert got == {f"r{i}": "k000" for i in range(400)} | {"z1": "x", "z2": "x", "w": "q"}
+
+
 def test_cited_by_query_is_brute_force(spark, tmp_path):
     rng = random.Random(3)
     lines = [(rng.randrange(380, 460), rng.randrange(1, 4), rng.randrange(1, 40)) for _ in range(300)]

@@ -30,7 +30,7 @@ def test_oracle(spark, data, name):
 
 
 #: Queries over whole texts, beside those over prefixes.
-WHOLE = ("rank_01_digest_whole", "join_01_term_matches_whole", "srt_02_pools_whole", "flt_16_title_classes", "str_08_norm_title_whole", "str_09_slug_whole", "str_10_fold_accents_whole", "prj_17_cards_whole")
+WHOLE = ("rank_01_digest_whole", "join_01_term_matches_whole", "srt_02_pools_whole", "flt_16_title_classes", "str_08_norm_title_whole", "str_09_slug_whole", "str_10_fold_accents_whole", "prj_17_cards_whole", "er_01_chains")
 
 
 @pytest.mark.parametrize("name", WHOLE)
