@@ -88,13 +88,19 @@ DIGIT_WORDS = {w: str(d) for d, row in enumerate((
     "zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre",
     "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in row.split()}
 #: Endings of a plainly spelled address; without brackets, "at" and "dot" are ordinary words too.
-ENDINGS = "com org net edu gov int mil info biz dev app io ai co me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it mx ar br cl pl cz se no dk fi ru jp cn in kr za test example invalid local".split()
+ENDINGS = "com org net edu gov int mil info biz dev app io ai co me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it mx ar br cl pl cz se no dk fi ru jp cn in kr za test example invalid local "
+ENDINGS += "shop online xyz site store tech blog cloud club live page work email news space website top pro name jobs museum ro tr hu ua bg hr rs si sk gr ee lv lt is al ba mk md by kz ge am az il ae sa eg ma tn ng ke gh tw hk sg my th vn ph id pk bd lk np cy mt ve uy py bo ec cr do cu eus cat gal asia"
+ENDINGS = ENDINGS.split()
 AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "point")
 
 _ODD = re.compile("[" + "".join(LOOK_ALIKES) + "！-～٠-٩​‌‍⁠­]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)\b(?:{_WORDS})(?:[ .,-]{{1,3}}(?:{_WORDS})\b){{3,}}")
-_WORD = re.compile(rf"(?i)\b(?:{_WORDS})\b")
+_GAP = rf"[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}|[ .,-]{{1,3}}"
+#: Digit words with the digits and signs among and after them; digits before them; one part or gap of such a stretch.
+_SPELLED = re.compile(rf"(?i)\b(?:{_WORDS})\b(?:(?:{_GAP})(?:(?:{_WORDS})\b|[0-9]{{1,19}}(?![0-9A-Za-z])))*")
+_BEFORE = re.compile(rf"(?i)(?:(?<![0-9A-Za-z])[0-9]{{1,3}}(?:{_GAP}))+\Z")
+_PART = re.compile(rf"(?i)\b(?:{_WORDS})\b|[0-9]+|{_GAP}")
+_BESIDE = re.compile(r"(?:[0-9][ .,-]{0,3}|\+[ .,-]{0,3})\Z")
 _BRACKET = re.compile(rf"(?i)[ \t]{{0,8}}[\[({{<][ \t]{{0,8}}(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))[ \t]{{0,8}}[\])}}>][ \t]{{0,8}}")
 _PLAIN = re.compile(rf"(?i)(?<=[a-z0-9._%+-])([ \t]{{1,8}}(?:at|arroba|arobase)[ \t]{{1,8}})(?:[a-z0-9-]{{1,63}}(?:[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}|\.))+(?:{'|'.join(ENDINGS)})\b")
 _DOT = re.compile(rf"(?i)[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}")
@@ -102,6 +108,52 @@ _BETWEEN = re.compile(rf"(?i)(?<=[0-9])[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t
 _AROUND = 96
 
 
+def _is_dot(gap: str) -> bool:
+    return gap.strip().lower() in (".", *DOT_WORDS)
+
+
+def _octets(parts: list[tuple[int, int, str]]) -> list[tuple[int, int, str]] | None:
+    """Rewrites of a stretch that is four octets with dots between them, else None."""
+    values, out = [""], []
+    for a, b, x in parts:
+        if x.isdigit():
+            values[-1] += x
+        elif (word := DIGIT_WORDS.get(x.lower())) is not None:
+            values[-1] += word
+            out.append((a, b, word))
+        elif _is_dot(x):
+            values.append("")
+            if x != ".":
+                out.append((a, b, "."))
+        else:
+            out.append((a, b, ""))
+    return out if len(values) == 4 and all(v and len(v) <= 3 and int(v) <= 255 for v in values) else None
+
+
+def _digits(text: str, m: re.Match[str]) -> list[tuple[int, int, str]]:
+    """Rewrites of one stretch of digit words: dots stay between octets, else the signs between two words go with the first."""
+    before = _BEFORE.search(text[max(0, m.start() - 48) : m.start()])
+    low = m.start() - len(before.group()) if before else m.start()
+    parts = [(p.start(), p.end(), p.group()) for p in _PART.finditer(text, low, m.end())]
+    pieces: list[list[tuple[int, int, str]]] = [[]]
+    for p in parts:  # a sentence may end within the stretch
+        pieces.append([]) if p[2] == ". " else pieces[-1].append(p)
+    for tried in ([parts], pieces):
+        if got := [x for piece in tried for x in _octets(piece) or ()]:
+            return got
+    out, run = [], []
+    for p in [*(p for p in parts if p[0] >= m.start()), (m.end(), m.end(), "")]:
+        if p[2].lower() in DIGIT_WORDS:
+            run.append(p)
+        elif run and (p[2] == "" or p[2].isdigit() or p[2].strip().lower() in DOT_WORDS):
+            after = p[2].isdigit() or text[run[-1][1] : run[-1][1] + 1].isdigit()
+            if len(run) >= 4 or after or _BESIDE.search(text[max(0, run[0][0] - 4) : run[0][0]]):
+                ends = [*(w[0] for w in run[1:]), run[-1][1]]
+                out += [(w[0], end, DIGIT_WORDS[w[2].lower()]) for w, end in zip(run, ends, strict=True)]
+            run = []
+    return out
+
+
 def rewrites(text: str) -> list[tuple[int, int, str]]:
     """Source stretches (start, end) and what stands for them, in order, without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -111,11 +163,7 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
             o = ord(c)
             found.append((m.start(), m.end(), LOOK_ALIKES.get(c) or (chr(o - 0xFEE0) if 0xFF01 <= o <= 0xFF5E else chr(o - 0x660 + 48) if 0x660 <= o <= 0x669 else "")))
     for m in _SPELLED.finditer(text):
-        low, words = m.start(), list(_WORD.finditer(text, m.start(), m.end()))
-        for k, w in enumerate(words):  # the signs between two digit words go with the first
-            end = words[k + 1].start() if k + 1 < len(words) else w.end()
-            found.append((low, end, DIGIT_WORDS[w.group().lower()]))
-            low = end
+        found += _digits(text, m)
     for m in _BRACKET.finditer(text) if any(c in text for c in "[({<") else ():
         found.append((m.start(), m.end(), "@" if m.group(1) else "."))
     for m in _PLAIN.finditer(text) if any(w in text or w.upper() in text or w.title() in text for w in DOT_WORDS) or " at " in text else ():

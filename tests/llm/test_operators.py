@@ -314,3 +314,16 @@ def test_toxicity_thresholds_keep_the_tables_shares(spark, monkeypatch):
     assert sum(score[x[0]] >= 0.5 for x in rows if x[4]) >= 60
     y, z, w = np.array([1, 0, 1, 0, 0, 1.0]), np.array([6, 5, 4, 3, 2, 1.0]), np.array([1, 9, 1, 9, 9, 1.0])
     assert op2_toxicity._cut(z, y, w) == op2_toxicity._cut(np.repeat(z, w.astype(int)), np.repeat(y, w.astype(int)), np.ones(30))
+
+
+def test_pii_short_runs_of_digit_words():
+    of = lambda t: [(op7_pii.KINDS[k], t[a:b]) for k, a, b in op7_pii.find(t)[1]]
+    spelled = "one nine two dot one six eight dot one dot five"
+    assert of(f"host {spelled} here") == [("ip", spelled)]
+    assert of(f"host {spelled}. One more") == [("ip", spelled)]
+    assert of("host one nine two.one six eight.one.five here") == [("ip", "one nine two.one six eight.one.five")]
+    assert of("host 192 dot one six eight dot 1 dot five here") == [("ip", "192 dot one six eight dot 1 dot five")]
+    assert of("call +1 415 five five five 0100 now") == [("phone", "+1 415 five five five 0100")]
+    assert of("one dot nine nine nine dot one dot two, and one dot two") == []
+    assert of("jane at example dot shop or joe at example dot ro") == [("email", "jane at example dot shop"), ("email", "joe at example dot ro")]
+    assert of("look at example.com") == []
