@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from corvane.llm import op6_quality
+from corvane.llm import op4_bpe, op6_quality
 from corvane.llm.common import materialize
 
 
@@ -26,3 +26,19 @@ def test_stages(spark, data):
     assert set(text["exact_dedup"]) == {v[1] for v in best.values()}
     assert set(text["near_dedup"]) <= set(text["exact_dedup"]) and set(text["source_mix"]) <= set(text["near_dedup"])
     assert frames["bpe_tokens"].count() == frames["source_mix"].count()
+
+
+def test_near_dedup_and_tokens_are_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    words = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] for i, t in text.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for i, w in words.items()}
+    root = {i: i for i in text}
+    linked = [(a, b) for a in text for b in text if a < b and sets[a] and 10 * len(both := sets[a] & sets[b]) >= 8 * (len(sets[a]) + len(sets[b]) - len(both))]
+    while any(root[a] != root[b] for a, b in linked):
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert linked
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, data).select("doc_id").collect()) == sorted(i for i in text if root[i] == i)
+    got = op4_bpe.decode(corpus_pipeline.tokens(spark, docs, data), op4_bpe.default_tokenizer()).select("doc_id", "decoded", "n_tokens").collect()
+    assert {r["doc_id"]: r["decoded"] for r in got} == text and all(r["n_tokens"] > 0 or not text[r["doc_id"]] for r in got)
