@@ -8,10 +8,11 @@ cannot matter: inputs are projected to the columns an operator needs first.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+_kept: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,26 +37,69 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: a later loss of executors recomputes nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the step's shuffle files go now, not when the driver happens to collect garbage
+def _remove(path: str) -> None:
+    """Deletes a folder; where Arrow doesn't know its file system, Spark replaces what it holds by an empty table."""
+    try:
+        fs, at = pafs.FileSystem.from_uri(path)
+        if fs.get_file_info(at).type != pafs.FileType.NotFound:
+            fs.delete_dir(at)
+    except (OSError, pa.ArrowException):
+        if (spark := SparkSession.getActiveSession()) is not None:
+            spark.createDataFrame([], "x int").write.mode("overwrite").parquet(path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """df, written once as Parquet and read again; the job's shuffle files go as soon as it has ended."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended before this process; the folder is the cluster's to clear
-            return
+class Steps:
+    """An operator's intermediate tables: ``with Steps(spark) as step: small = step(df, "small")``.
+
+    Each is written once in the shared folder, so a later loss of executors recomputes nothing; all are deleted when the
+    operator has its result, which it writes with ``materialize`` because nothing may read a step from then on.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.root, self.n = f"{shared_dir(spark)}/corvane-steps-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.root}/{self.n}-{name}")
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.n:
+            _remove(self.root)
+
+
+def materialize(df: DataFrame, name: str = "result") -> DataFrame:
+    """df, written once in the shared folder and read again; it stays until the process ends or ``discard`` is called."""
+    if not _kept:
+        atexit.register(discard)
+    _kept.append(f"{shared_dir(df.sparkSession)}/corvane-{name}-{uuid.uuid4().hex}")
+    return _written(df, _kept[-1])
+
+
+def discard(but: tuple[str, ...] = ()) -> None:
+    """Deletes what ``materialize`` has written, except the paths in but."""
+    for path in [p for p in _kept if p not in but]:
+        _remove(path)
+        _kept.remove(path)
+
+
+def kept() -> tuple[str, ...]:
+    """The paths that ``materialize`` has written and that are still there."""
+    return tuple(_kept)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -103,10 +103,12 @@ def _components(docs, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("pivots", [(1, 1, 2), ()])
-def test_jaccard_equals_brute_force(spark, monkeypatch, pivots):
-    """Near copies around several bases of all sizes, a passage that many share, tiny texts; with pivots and by the exact pass alone."""
-    monkeypatch.setattr(op3_jaccard, "PIVOTS", pivots)
+@pytest.mark.parametrize("rounds, reads", [(None, 6), (0, 6), (None, 10**6), (2, 0)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, rounds, reads):
+    """Near copies around several bases of all sizes, a passage that many share, tiny texts; with pivots and by the exact pass alone, with more and no light sets."""
+    linked = op3_jaccard.link
+    monkeypatch.setattr(op3_jaccard, "link", lambda shared, percent, step: linked(shared, percent, step, rounds))
+    monkeypatch.setattr(op3_jaccard, "READS", reads)
     rng, docs = random.Random(5), []
     vocabulary = [f"v{k}" for k in range(3000)]
     common = [rng.choice(vocabulary) for _ in range(60)]
