@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import op1_mix, op3_jaccard, op4_bpe, op5_dedup, op6_quality
-from corvane.llm.common import materialize, table
+from corvane.llm.common import discard, kept, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage; what a stage and the operators in it have written goes when its result is there."""
+    docs, others = table(spark, sf_dir, "documents"), kept()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(but=(*others, kept()[-1]))
     return docs
