@@ -3,10 +3,14 @@
 Four detectors run over every whole text (the contract's base).  Then transducers rewrite what hides an identifier, each
 output character keeping the source stretch that it came from: look-alike letters and wide forms to ASCII, spelled digits
 to digits, "(at)" / "[dot]" and plain "at ... dot" to signs.  The same detectors run on the rewritten text around the
-rewrites, and a match that holds at least one rewrite is mapped back to source characters and added, unless it would
-overlap a span of its kind.  Texts without a trigger aren't rewritten at all.
+rewrites, as far as an identifier's characters go, and a match that holds at least one rewrite is mapped back to source
+characters and added, unless it would overlap a span of its kind.  Texts without a trigger aren't rewritten at all.
 
-One narrow pass without a shuffle; memory follows a batch of texts.
+What counts as a disguise: white space of any length around a word for a sign; a label of a spelled address has up to 63
+letters, as host names do; "at" and "dot" without brackets need a known ending (ENDINGS); digit words count beside
+digits, "+" and dots, or four in a row.
+
+One narrow pass without a shuffle, linear in the text; memory follows a batch of texts.
 
 Edge cases: null text is empty; no spans give an empty list and the digest of an empty string; repeated rows are
 scanned one by one; matches that fail a check (octets, Luhn, number of digits) are dropped and not tried again.
@@ -14,6 +18,7 @@ scanned one by one; matches that fail a check (octets, Luhn, number of digits) a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,7 +33,8 @@ Span = tuple[int, int, int]  # kind, start, end
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can only start where a run of digits does, and no run is given back in part.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DOTTED = re.compile(r"[0-9]\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -95,17 +101,23 @@ AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "po
 
 _ODD = re.compile("[" + "".join(LOOK_ALIKES) + "！-～٠-٩​‌‍⁠­]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_GAP = rf"[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}|[ .,-]{{1,3}}"
-#: Digit words with the digits and signs among and after them; digits before them; one part or gap of such a stretch.
-_SPELLED = re.compile(rf"(?i)\b(?:{_WORDS})\b(?:(?:{_GAP})(?:(?:{_WORDS})\b|[0-9]{{1,19}}(?![0-9A-Za-z])))*")
-_BEFORE = re.compile(rf"(?i)(?:(?<![0-9A-Za-z])[0-9]{{1,3}}(?:{_GAP}))+\Z")
+_DOTS = "|".join(DOT_WORDS)
+_GAP = rf"[ \t]++(?:{_DOTS})[ \t]++|[ .,-]{{1,3}}"
+#: Up to three numbers, then digit words with the digits and signs among and after them; one part or gap of such a stretch.
+_SPELLED = re.compile(rf"(?i)(?:(?<![0-9A-Za-z])(?:[0-9]{{1,3}}(?:{_GAP})){{1,3}})?\b(?:{_WORDS})\b(?:(?:{_GAP})(?:(?:{_WORDS})\b|[0-9]{{1,19}}(?![0-9A-Za-z])))*")
 _PART = re.compile(rf"(?i)\b(?:{_WORDS})\b|[0-9]+|{_GAP}")
 _BESIDE = re.compile(r"(?:[0-9][ .,-]{0,3}|\+[ .,-]{0,3})\Z")
-_BRACKET = re.compile(rf"(?i)[ \t]{{0,8}}[\[({{<][ \t]{{0,8}}(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))[ \t]{{0,8}}[\])}}>][ \t]{{0,8}}")
-_PLAIN = re.compile(rf"(?i)(?<=[a-z0-9._%+-])([ \t]{{1,8}}(?:at|arroba|arobase)[ \t]{{1,8}})(?:[a-z0-9-]{{1,63}}(?:[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}|\.))+(?:{'|'.join(ENDINGS)})\b")
-_DOT = re.compile(rf"(?i)[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}")
-_BETWEEN = re.compile(rf"(?i)(?<=[0-9])[ \t]{{1,8}}(?:{'|'.join(DOT_WORDS)})[ \t]{{1,8}}(?=[0-9])")
-_AROUND = 96
+_BRACKET = re.compile(rf"(?i)(?<![ \t])[ \t]*+[\[({{<][ \t]*+(?:({'|'.join(AT_WORDS)}|@)|({_DOTS}|\.))[ \t]*+[\])}}>][ \t]*+")
+_PLAIN = re.compile(rf"(?i)(?<=[a-z0-9._%+-])([ \t]++(?:at|arroba|arobase)[ \t]++)(?:[a-z0-9-]{{1,63}}(?:[ \t]++(?:{_DOTS})[ \t]++|\.))+(?:{'|'.join(ENDINGS)})\b")
+_DOT = re.compile(rf"(?i)(?<![ \t])[ \t]++(?:{_DOTS})[ \t]++")
+_BETWEEN = re.compile(rf"(?i)(?<=[0-9])[ \t]++(?:{_DOTS})[ \t]++(?=[0-9])")
+#: What an address, and what a number, may hold beside a rewrite.
+_BESIDES = tuple((re.compile(rf"{c}+"), re.compile(rf"{c}+\Z")) for c in (r"[A-Za-z0-9._%+@-]", r"[\x20().0-9+-]"))
+
+
+def _digit(word: str) -> str | None:
+    """The digit that a word stands for; letters that only match without regard to case (long s, Turkish i) are folded."""
+    return DIGIT_WORDS.get(word.replace("\u017f", "s").replace("\u0130", "i").replace("\u0131", "i").lower())
 
 
 def _is_dot(gap: str) -> bool:
@@ -118,7 +130,7 @@ def _octets(parts: list[tuple[int, int, str]]) -> list[tuple[int, int, str]] | N
     for a, b, x in parts:
         if x.isdigit():
             values[-1] += x
-        elif (word := DIGIT_WORDS.get(x.lower())) is not None:
+        elif (word := _digit(x)) is not None:
             values[-1] += word
             out.append((a, b, word))
         elif _is_dot(x):
@@ -132,9 +144,7 @@ def _octets(parts: list[tuple[int, int, str]]) -> list[tuple[int, int, str]] | N
 
 def _digits(text: str, m: re.Match[str]) -> list[tuple[int, int, str]]:
     """Rewrites of one stretch of digit words: dots stay between octets, else the signs between two words go with the first."""
-    before = _BEFORE.search(text[max(0, m.start() - 48) : m.start()])
-    low = m.start() - len(before.group()) if before else m.start()
-    parts = [(p.start(), p.end(), p.group()) for p in _PART.finditer(text, low, m.end())]
+    parts = [(p.start(), p.end(), p.group()) for p in _PART.finditer(text, m.start(), m.end())]
     pieces: list[list[tuple[int, int, str]]] = [[]]
     for p in parts:  # a sentence may end within the stretch
         pieces.append([]) if p[2] == ". " else pieces[-1].append(p)
@@ -142,14 +152,14 @@ def _digits(text: str, m: re.Match[str]) -> list[tuple[int, int, str]]:
         if got := [x for piece in tried for x in _octets(piece) or ()]:
             return got
     out, run = [], []
-    for p in [*(p for p in parts if p[0] >= m.start()), (m.end(), m.end(), "")]:
-        if p[2].lower() in DIGIT_WORDS:
+    for p in [*parts, (m.end(), m.end(), "")]:
+        if _digit(p[2]) is not None:
             run.append(p)
         elif run and (p[2] == "" or p[2].isdigit() or p[2].strip().lower() in DOT_WORDS):
             after = p[2].isdigit() or text[run[-1][1] : run[-1][1] + 1].isdigit()
             if len(run) >= 4 or after or _BESIDE.search(text[max(0, run[0][0] - 4) : run[0][0]]):
                 ends = [*(w[0] for w in run[1:]), run[-1][1]]
-                out += [(w[0], end, DIGIT_WORDS[w[2].lower()]) for w, end in zip(run, ends, strict=True)]
+                out += [(w[0], end, _digit(w[2]) or "") for w, end in zip(run, ends, strict=True)]
             run = []
     return out
 
@@ -180,17 +190,50 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _back(text: str, at: int, floor: int) -> int:
+    """The first place of the runs of identifier characters that end at a place, not before floor."""
+    out = at
+    for _, ending in _BESIDES:
+        low = at
+        while low > floor:  # in steps, so that a long text isn't copied
+            step = max(floor, low - 64)
+            m = ending.search(text[step:low])
+            if m is None:
+                break
+            low -= len(m.group())
+            if low > step:
+                break
+        out = min(out, low)
+    return out
+
+
+def _stretches(text: str, changes: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]]:
+    """(low, high, rewrites): the rewrites that one match may hold, with the identifier characters around them."""
+    low, high, own, ends = 0, 0, [], [0] * len(_BESIDES)
+    for x in changes:
+        start = _back(text, x[0], high) if x[0] > high or not own else x[0]
+        if own and start > high:
+            yield low, high, own
+            own = []
+        if not own:
+            low = start
+        own.append(x)
+        for k, (run, _) in enumerate(_BESIDES):
+            if x[1] >= ends[k]:  # else the run that was found before goes on
+                m = run.match(text, x[1])
+                ends[k] = m.end() if m else x[1]
+        high = max(high, *ends)
+    if own:
+        yield low, high, own
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows."""
-    changes, out = rewrites(text), []
-    first = 0
-    while first < len(changes):  # rewrites that stand close together are looked at as one stretch
-        last = first
-        while last + 1 < len(changes) and changes[last + 1][0] - changes[last][1] <= _AROUND:
-            last += 1
-        low, high = max(0, changes[first][0] - _AROUND), min(len(text), changes[last][1] + _AROUND)
+    taken = [[s[1:] for s in base if s[0] == k] for k in range(len(KINDS))]
+    last, out = [0] * len(KINDS), []
+    for low, high, own in _stretches(text, rewrites(text)):
         letters, starts, ends, changed, at = [], [], [], [], low
-        for a, b, new in [*changes[first : last + 1], (high, high, "")]:
+        for a, b, new in [*own, (high, high, "")]:
             letters.append(text[at:a])
             starts += range(at, a)
             ends += range(at + 1, a + 1)
@@ -201,13 +244,14 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
                 ends.append(b)
                 changed.append(True)
             at = b
-        first = last + 1
         for kind, a, b in base_spans("".join(letters)):
             span = (kind, starts[a], ends[b - 1])
-            # a match at the stretch's border may be a piece of something longer
-            cut = (a == 0 and low > 0) or (b == len(starts) and high < len(text))
-            if not cut and (any(changed[a:b]) or span[2] - span[1] != b - a) and not any(k == kind and s < span[2] and span[1] < e for k, s, e in [*base, *out]):
+            if not any(changed[a:b]) and span[2] - span[1] == b - a:
+                continue
+            k = bisect.bisect_left(taken[kind], span[2], key=lambda s: s[0])  # of the spans that start before this one's end, the last
+            if span[1] >= last[kind] and (k == 0 or taken[kind][k - 1][1] <= span[1]):
                 out.append(span)
+                last[kind] = span[2]
     return out
 
 
