@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, strip_space, table
+from .common import crc_mod, materialize, strip_space, table
 
 #: Digests that one bucket of the index holds on average.
 BUCKET_DIGESTS = 20_000
@@ -150,9 +150,9 @@ def look_up(index: DataFrame, arriving: DataFrame, buckets: int) -> DataFrame:
 
 def dedup(docs: DataFrame, historical: Column) -> DataFrame:
     """Every row with its group's winner.  historical: true on rows of the history (what earlier runs took in)."""
-    prints = fingerprint(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    prints = materialize(fingerprint(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "prints")  # texts are read and hashed once
     tagged = prints.withColumn("old", F.coalesce(historical, F.lit(False)))
-    buckets = max(1, math.ceil(docs.count() / BUCKET_DIGESTS))
+    buckets = max(1, math.ceil(prints.count() / BUCKET_DIGESTS))
     index = build_index(tagged.where("old"), buckets)
     found = look_up(index, tagged.where(~F.col("old")), buckets)
     return prints.join(found, "digest").select(
@@ -174,10 +174,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     The join key holds the digest and the id, so no key is hot, and the last step reuses the join's partitioning.
     """
-    kept = dedup(docs, crc_mod(F.col("doc_id"), 2) == 0).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("__winner"))
+    kept = dedup(docs, crc_mod(F.col("doc_id"), 2) == 0).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__row", _row_key(F.col("doc_id"), F.sha2(strip_space(text), 256)))
-    return keyed.join(kept, keyed["__row"] == kept["__winner"], "left_semi").dropDuplicates(["__row"]).drop("__row")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _row_key(F.col("doc_id"), F.sha2(strip_space(text), 256)).alias("key"))
+    return held.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 ORACLE = r"""
