@@ -6,7 +6,8 @@
    no window reaches out of its phrase.
 2. Parse and dictionary.  A phrase is known by a hash of its text and place of trigger.  Of each distinct phrase the first
    occurrence (doc_id, start) enters the dictionary; every later one is removed whole.  Tasks keep the first of their own
-   before anything is shuffled, so a passage in a third of all documents arrives as one entry a task.
+   before anything is shuffled, so a passage in a third of all documents arrives as one entry a task; what a task has
+   already removed is dealt by document, not by phrase.
 3. Of the dictionary, only phrases whose trigger also stands in another distinct phrase can share a window.  Their texts
    meet by trigger; the suffixes of all of them are sorted by their first WINDOW bytes (prefix doubling: 8, 16, 32, 64,
    then WINDOW), which with the entries' positions gives the order of equal windows in the corpus.  All but the first of
@@ -16,8 +17,9 @@
 5. Spans join back to the texts.
 
 Edge cases: null text is empty; texts shorter than WINDOW have no windows; a null doc_id comes after all others; rows
-that repeat a doc_id and text are one document, given back as often as they came; equal doc_ids with other texts are
-documents of their own, ordered by a hash of the text.  Phrases are compared by 64-bit hashes of text and place.
+that repeat a doc_id and text are one document, given back as often as they came; equal (or no) doc_ids with other texts
+are documents of their own, told apart and ordered by a 64-bit hash of the text; an empty table gives no rows; other
+columns are ignored.  Phrases are compared by 64-bit hashes of text and place, windows of hot triggers by 128 bits.
 """
 
 from __future__ import annotations
@@ -31,15 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Steps, materialize, table
 from .hashing import Powers, buffers, chunks, mix, prefix_hash
 
 WINDOW, GRAM = 100, 16
 #: Phrases that a task gathers before it sends them; phrases of a bucket; bytes of dictionary text of a bucket.
-FLUSH, BUCKET_PHRASES, BUCKET_BYTES = 400_000, 120_000, 2 << 20
+FLUSH, BUCKET_PHRASES, BUCKET_BYTES = 300_000, 120_000, 1 << 20
 #: Distinct phrases of a trigger from which on its windows are grouped one by one: in a task's share, in all.
 TASK_HOT, HOT = 2048, 20_000
 DUP, DETAIL, HOT_DETAIL = 0, 1, 2
@@ -88,8 +90,8 @@ def phrases(data: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[np.nd
 
 def _pack(h: np.ndarray, k: np.ndarray, doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray, dup: tuple, hot: np.ndarray, known: bool) -> bytes:
     """One task's share of a bucket: entries (hashes raw, places compressed), removed phrases and hot triggers."""
-    small = zlib.compress(np.diff(doc, prepend=0).tobytes() + tag.astype(np.uint16).tobytes() + low.astype(np.int32).tobytes() + (high - low).astype(np.uint8).tobytes()
-                          + np.diff(dup[0], prepend=0).tobytes() + dup[1].astype(np.uint16).tobytes() + dup[2].astype(np.int32).tobytes() + (dup[3] - dup[2]).astype(np.uint8).tobytes(), 1)
+    small = zlib.compress(np.diff(doc, prepend=0).tobytes() + tag.astype(np.int64).tobytes() + low.astype(np.int32).tobytes() + (high - low).astype(np.uint8).tobytes()
+                          + np.diff(dup[0], prepend=0).tobytes() + dup[1].astype(np.int64).tobytes() + dup[2].astype(np.int32).tobytes() + (dup[3] - dup[2]).astype(np.uint8).tobytes(), 1)
     return struct.pack("<IIII", len(h), len(dup[0]), len(hot), known) + h.tobytes() + k.tobytes() + hot.tobytes() + small
 
 
@@ -101,11 +103,11 @@ def _unpack(blob: bytes) -> tuple:
     small, at, out = zlib.decompress(blob[16 + 16 * n + 8 * q :]), 0, []
     for count in (n, m):
         doc = np.cumsum(np.frombuffer(small, np.int64, count, at))
-        tag = np.frombuffer(small, np.uint16, count, at + 8 * count)
-        low = np.frombuffer(small, np.int32, count, at + 10 * count)
-        size = np.frombuffer(small, np.uint8, count, at + 14 * count)
+        tag = np.frombuffer(small, np.int64, count, at + 8 * count)
+        low = np.frombuffer(small, np.int32, count, at + 16 * count)
+        size = np.frombuffer(small, np.uint8, count, at + 20 * count)
         out.append((doc, tag, low, low + size))
-        at += 15 * count
+        at += 21 * count
     return h, k, hot, bool(known), *out
 
 
@@ -131,17 +133,21 @@ def _of_task(buckets: int):
         is_hot = np.isin(h, hot)
         # entries of triggers that are hot here are dealt by phrase; a mark of the trigger goes where its other entries go
         to = (np.where(is_hot, mix(k), h) % np.uint64(buckets)).astype(np.int64)
-        group = to * 2 + is_hot
+        group = np.where(first, to * 2 + is_hot, 2 * buckets)  # what is removed already isn't dealt by phrase
         hot_to = (hot % np.uint64(buckets)).astype(np.int64)
         o = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[o], np.arange(2 * buckets + 1))
+        gone = o[cuts[-1] :]
+        gone_to = (mix(doc[gone].view(np.uint64) ^ tag[gone].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        gone = gone[np.argsort(gone_to, kind="stable")]
+        gone_cuts = np.searchsorted(np.sort(gone_to), np.arange(buckets + 1))
         names, blobs = [], []
         for g in range(2 * buckets):
-            own = o[cuts[g] : cuts[g + 1]]
+            a = o[cuts[g] : cuts[g + 1]]
             marks = hot[hot_to == g // 2] if g % 2 == 0 and len(hot) else hot[:0]
-            if not len(own) and not len(marks):
+            b = gone[gone_cuts[g // 2] : gone_cuts[g // 2 + 1]] if g % 2 == 0 else gone[:0]
+            if not len(a) and not len(marks) and not len(b):
                 continue
-            a, b = own[first[own]], own[~first[own]]
             names.append(g // 2)
             blobs.append(_pack(h[a], k[a], doc[a], tag[a], low[a], high[a], (doc[b], tag[b], low[b], high[b]), marks, g % 2 == 1))
         for at in range(0, len(names), 64):
@@ -166,7 +172,7 @@ def _of_task(buckets: int):
     return run
 
 
-_FLAGS = "dk long, tag int, low int, high int, kind int, h long"
+_FLAGS = "dk long, tag long, low int, high int, kind int, h long"
 
 
 def _of_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,25 +193,42 @@ def _of_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     kind[first & known] = HOT_DETAIL
     keep = kind >= 0
     zero = np.zeros(len(gone[0]), np.int64)
-    return pd.DataFrame({"dk": np.concatenate((doc[keep], gone[0])), "tag": np.concatenate((tag[keep], gone[1])).astype(np.int32), "low": np.concatenate((low[keep], gone[2])).astype(np.int32),
+    return pd.DataFrame({"dk": np.concatenate((doc[keep], gone[0])), "tag": np.concatenate((tag[keep], gone[1])).astype(np.int64), "low": np.concatenate((low[keep], gone[2])).astype(np.int32),
                          "high": np.concatenate((high[keep], gone[3])).astype(np.int32), "kind": np.concatenate((kind[keep], zero)).astype(np.int32), "h": np.concatenate((h[keep].view(np.int64), zero))})
 
 
-_TEXTS = "dk long, tag int, low int, h long, data binary, w1 long, w2 long"
+_TEXTS = "dk long, tag long, low int, h long, data binary, w1 long, w2 long"
+
+
+#: Two hashes of a byte, far from linear in it: of the windows of hot triggers.
+_BYTES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+
+def _window_hashes(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each window of a text."""
+    up, down = powers.upto(len(raw) + 1)
+    out = []
+    for t in _BYTES:
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(t[raw] * up[: len(raw)], out=sums[1:])
+        out.append(mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(raw) - WINDOW + 1]).view(np.int64))
+    return out[0], out[1]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of dictionary entries; of hot triggers, a row a window with 128 bits of hash."""
+    powers = Powers()
     for batch in batches:
         out: list[tuple] = []
         for dk, tag, packed, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = zlib.decompress(packed)
             for m in marks:
+                data = raw[m["low"] : m["high"] + WINDOW]
                 if m["kind"] == DETAIL:
-                    out.append((dk, tag, m["low"], m["h"], raw[m["low"] : m["high"] + WINDOW], None, None))
+                    out.append((dk, tag, m["low"], m["h"], data, None, None))
                     continue
-                for w in range(m["low"], m["high"] + 1):
-                    out.append((dk, tag, w, m["h"], None, *struct.unpack("<qq", hashlib.blake2b(raw[w : w + WINDOW], digest_size=16).digest())))
+                w1, w2 = _window_hashes(np.frombuffer(data, np.uint8), powers)
+                out += [(dk, tag, m["low"] + i, m["h"], None, x, y) for i, (x, y) in enumerate(zip(w1.tolist(), w2.tolist(), strict=True))]
             if len(out) > 20_000:
                 yield _rows(out)
                 out = []
@@ -214,7 +237,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["dk", "tag", "low", "h", "data", "w1", "w2"])
 
 
@@ -238,18 +261,28 @@ def _short(rank: np.ndarray, n: int, jump: int) -> np.ndarray:
 
 
 def _sorted_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of dictionary entries that an earlier entry has, as runs of starts."""
+    """Windows of dictionary entries that an earlier entry has, as runs of starts.
+
+    Entries are laid out in the order of the corpus (a window is in one entry of its text), so the first of equal windows
+    is the one with the least place.
+    """
+    pdf = pdf.drop_duplicates(["dk", "tag", "low"]).sort_values(["dk", "tag", "low"], ignore_index=True)
     lengths = np.fromiter(map(len, pdf["data"]), np.int64, len(pdf))
     text = np.frombuffer(b"".join(pdf["data"]), np.uint8)
-    starts = np.cumsum(lengths) - lengths
-    windows = lengths - WINDOW + 1
-    entry = np.repeat(np.arange(len(pdf)), windows)
-    offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    of = window_classes(text)[starts[entry] + offset]
+    ends = np.cumsum(lengths)
+    whole = np.ones(len(text), bool)
+    whole[(ends[:, None] - np.arange(1, WINDOW)).ravel()] = False  # windows don't reach out of their entry
+    at = np.flatnonzero(whole)
+    of = window_classes(text)[at]
+    o = np.argsort(of, kind="stable")
+    first = np.ones(len(o), bool)
+    first[1:] = of[o[1:]] != of[o[:-1]]
+    later = np.ones(len(o), bool)
+    later[o[first]] = False
+    at = at[later]
+    entry = np.searchsorted(ends, at, "right")
     doc, tag, low = (pdf[c].to_numpy()[entry] for c in ("dk", "tag", "low"))
-    w = low + offset
-    later = ~_firsts(of, doc, tag, w)
-    return _runs(entry[later], doc[later], tag[later], w[later])
+    return _runs(entry, doc, tag, low + (at - (ends - lengths)[entry]))
 
 
 def _runs(entry: np.ndarray, doc: np.ndarray, tag: np.ndarray, w: np.ndarray) -> pd.DataFrame:
@@ -257,12 +290,25 @@ def _runs(entry: np.ndarray, doc: np.ndarray, tag: np.ndarray, w: np.ndarray) ->
     new[1:] = (entry[1:] != entry[:-1]) | (w[1:] != w[:-1] + 1)
     low = np.flatnonzero(new)
     high = np.append(low[1:] - 1, len(w) - 1) if len(low) else low
-    return pd.DataFrame({"dk": doc[low].astype(np.int64), "tag": tag[low].astype(np.int32), "low": w[low].astype(np.int32), "high": w[high].astype(np.int32)})
+    return pd.DataFrame({"dk": doc[low].astype(np.int64), "tag": tag[low].astype(np.int64), "low": w[low].astype(np.int32), "high": w[high].astype(np.int32)})
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
+
+
+def _keyed(docs: DataFrame, apart: bool) -> DataFrame:
+    """dk, tag, text, doc_id; apart: some texts share an id, so all rows are told apart by text too."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(_id().alias("dk"), (F.xxhash64(text) if apart else F.lit(0).cast("long")).alias("tag"), text.alias("text"), F.col("doc_id"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _measured(docs: DataFrame) -> tuple[int, bool]:
+    """Bytes of all texts, and whether texts that differ share an id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("dk"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"), text.alias("text"), F.col("doc_id"))
+    by = docs.select(_id().alias("dk"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n")).groupBy("dk").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.sum("n").alias("n"))
+    total, shared = by.agg(F.sum("n"), F.count_if(F.col("low") != F.col("high"))).first()
+    return total or 0, bool(shared)
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -274,27 +320,27 @@ def _packed(keyed: DataFrame) -> DataFrame:
             packed = pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["dk", "tag", "doc_id", "packed"])
 
-    return keyed.select("dk", "tag", "doc_id", "text").mapInArrow(run, f"dk long, tag int, doc_id {kind}, packed binary")
+    return keyed.select("dk", "tag", "doc_id", "text").mapInArrow(run, f"dk long, tag long, doc_id {kind}, packed binary")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """dk, tag, low, high: runs of window starts in docs whose windows occur earlier."""
-    keyed = _keyed(docs)
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def repeats(docs: DataFrame, step: Steps) -> tuple[DataFrame, bool]:
+    """dk, tag, low, high: runs of window starts in docs whose windows occur earlier; and whether tags tell texts apart."""
+    total, apart = _measured(docs)
+    keyed = _keyed(docs, apart)
     buckets = max(1, math.ceil(total / 43 / BUCKET_PHRASES))
     shares = keyed.select("dk", "tag", "text").mapInArrow(_of_task(buckets), "bucket int, share binary")
-    flags = materialize(shares.groupBy("bucket").applyInPandas(_of_bucket, _FLAGS), "flags")
+    flags = step(shares.groupBy("bucket").applyInPandas(_of_bucket, _FLAGS), "flags")
     detail = flags.where(F.col("kind") != DUP).groupBy("dk", "tag").agg(F.collect_set(F.struct("low", "high", "kind", "h")).alias("marks"))
-    texts = materialize(_packed(keyed).join(detail, ["dk", "tag"]).select("dk", "tag", "packed", "marks").mapInArrow(_texts, _TEXTS), "phrases")
+    texts = step(_packed(keyed).join(detail, ["dk", "tag"]).select("dk", "tag", "packed", "marks").mapInArrow(_texts, _TEXTS), "phrases")
     entries = texts.where("data IS NOT NULL")
     held = entries.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts = max(1, math.ceil(held / BUCKET_BYTES))
     dealt = entries.select("dk", "tag", "low", "data", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int").alias("part"))
-    within = dealt.groupBy("part").applyInPandas(_sorted_suffixes, "dk long, tag int, low int, high int")
+    within = dealt.groupBy("part").applyInPandas(_sorted_suffixes, "dk long, tag long, low int, high int")
     hot = texts.where("data IS NULL")
     earliest = hot.groupBy("w1", "w2").agg(F.min(F.struct("dk", "tag", "low")).alias("e"))
     single = hot.join(earliest, ["w1", "w2"]).where(F.struct("dk", "tag", "low") > F.col("e")).select("dk", "tag", "low", F.col("low").alias("high"))
-    return flags.where(F.col("kind") == DUP).select("dk", "tag", "low", "high").unionByName(within).unionByName(single)
+    return flags.where(F.col("kind") == DUP).select("dk", "tag", "low", "high").unionByName(within).unionByName(single), apart
 
 
 def _cut(with_kept: bool):
@@ -325,8 +371,10 @@ def _cut(with_kept: bool):
 
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """Sizes and digest of what stays of every row; with_kept: also the removed spans (start, end, start, end...) and the bytes that stay."""
-    runs = repeats(docs).groupBy("dk", "tag").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    joined = _packed(_keyed(docs)).join(runs, ["dk", "tag"], "left").select("doc_id", "packed", "runs")
+    with Steps(docs.sparkSession) as step:
+        found, apart = repeats(docs, step)
+        runs = materialize(found.groupBy("dk", "tag").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "runs")
+    joined = _packed(_keyed(docs, apart)).join(runs, ["dk", "tag"], "left").select("doc_id", "packed", "runs")
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", spans array<long>, kept binary" if with_kept else ""
     return joined.mapInArrow(_cut(with_kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
