@@ -5,16 +5,20 @@ the driver.  The index holds postings (trigram, document) for the trigrams that
 postings are intersected by counting its trigrams per document; documents of any conjunction are candidates of the rule
 and are verified with the regular expression itself.  A rule without mandatory trigrams scans all texts.
 
+Postings hold ids and trigrams only.  For verification a text is shuffled to its candidate rules only if it holds all
+trigrams of some conjunction, which is tested in place; all other texts (nearly all) are scanned where they are.
+
 Matches keep their places by native means: splitting at the expression gives the gaps, extracting gives the matches, and
 prefix sums of their lengths (blocked, so many matches in one text stay cheap) give start and end in code points.
 
 Edge cases: null text is empty; a text without matches has an empty list and the digest of an empty string; rows that
-repeat a doc_id share candidates but each is verified on its own text; null doc_ids are looked up like any other.
+repeat a doc_id share candidates but each is verified on its own text; rows without a doc_id are told apart by a hash of
+their text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 import re._parser as parser
 from dataclasses import dataclass
 
@@ -134,7 +138,7 @@ def trigram_query(pattern: str) -> Query:
 
 
 def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")))
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -155,6 +159,14 @@ def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
+def possible(queries: dict[str, Query]) -> Column:
+    """Whether text (in place) holds all trigrams of a conjunction; a conjunction that contains another adds nothing."""
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    clauses = _simplest({c for q in queries.values() for c in q})
+    held = [functools.reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in sorted(c)]) for c in sorted(clauses, key=sorted)]
+    return functools.reduce(lambda a, b: a | b, held, F.lit(False))
+
+
 _BLOCK = 64
 
 
@@ -190,15 +202,18 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text and ``found``: the sorted array of (start, number of the rule, end) of every row."""
     queries = {r.name: trigram_query(r.pattern) for r in rules}
     indexed = {n: q for n, q in queries.items() if q != _ANY}
-    wanted = candidates(docs, indexed)
-    joined = docs.select(_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "key", "left")
+    held = docs.select(_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), possible(indexed).alias("possible"))
     none = F.array().cast("array<struct<start:int,number:int,end:int>>")
-    each = []
-    for k, r in enumerate(rules):
-        own = spans(F.col("text"), r, k)
-        each.append(F.when(F.array_contains(F.coalesce("rules", F.array().cast("array<string>")), r.name), own).otherwise(none) if r.name in indexed else own)
-    # a generator of one row: what stands above mentions the matches often, but they are found once
-    return joined.select("doc_id", "text", F.explode(F.array(F.sort_array(F.flatten(F.array(*each))))).alias("found"))
+
+    def verified(rows: DataFrame, names: Column | None) -> DataFrame:
+        each = [spans(F.col("text"), r, k) if r.name not in indexed else F.when(F.array_contains(names, r.name), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules) if names is not None or r.name not in indexed]
+        # a generator of one row: what stands above mentions the matches often, but they are found once
+        return rows.select("doc_id", "text", F.explode(F.array(F.sort_array(F.flatten(F.array(none, *each))))).alias("found"))
+
+    if not indexed:
+        return verified(held, None)
+    joined = held.where("possible").join(candidates(docs, indexed), "key", "left")
+    return verified(held.where("NOT possible"), None).unionByName(verified(joined, F.coalesce("rules", F.array().cast("array<string>"))))
 
 
 def _joined(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -220,12 +235,3 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
-
-
-def brute_force(text: str | None) -> list[tuple[int, int, int]]:
-    """The base kinds' spans by Python's regular expressions, for tests."""
-    out = []
-    shapes = ((r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, re.I | re.A), (r"AKIA[A-Z0-9]+", 0, 18, 0), (r"[0-9a-f]+", 0, 16, 0))
-    for k, (p, g, least, flags) in enumerate(shapes):
-        out += [(m.start(), k, m.end()) for m in re.finditer(p, text or "", flags) if len(m.group(g)) >= least]
-    return sorted(out)
