@@ -138,7 +138,8 @@ def train(docs: DataFrame, allowed: Column) -> Model:
     """A model from at most TRAIN_ROWS of the rows where allowed is true; ids of the sample (bounded) are broadcast."""
     ids = (docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
            .orderBy(uniform_order(F.col("doc_id"), "lang"), "doc_id").limit(TRAIN_ROWS))
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    sample = known.groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("text")).alias("r")).select("doc_id", "r.*")  # of texts that share an id, always the same
     rows = sorted(((r["doc_id"], r["lang"], np.array(r["at"], np.int64), np.array(r["n"], np.float32)) for r in counted(sample).collect()), key=lambda r: r[0])
     return fit(rows)
 
