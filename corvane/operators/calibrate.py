@@ -65,12 +65,19 @@ def precision_at_5(journal: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def probe_lift(journal: DataFrame, ledger: DataFrame, k: int = 5) -> DataFrame:
-    """AGG-10: keep rate of posted rescues against the first k posted survivors of the window."""
-    kept = ledger.where("label_type = 'keep'").select("paper").distinct().withColumn("kept", F.lit(1))
+    """AGG-10: share with a positive label of posted probe rescues, and of the first k posted survivors of the window.
+
+    journal: posted, pos, paper, pool, rescued, ranking.  A window with a run that ranked by model first has no band to
+    lift from: its rates are null (n/a).  An arm without rows has n 0 and a null rate.
+    """
+    kept = ledger.where(F.col("label_type").isin("keep", "read-later")).select("paper").distinct().withColumn("kept", F.lit(1))
     posted = journal.where("posted")
-    first = posted.where("rescued IS NULL").orderBy("pos").limit(k).withColumn("arm", F.lit("survivor"))
-    rows = posted.where("rescued = 'probe'").withColumn("arm", F.lit("rescue")).select("arm", "paper").unionByName(first.select("arm", "paper")).join(kept, "paper", "left")
-    return rows.groupBy("arm").agg(F.round(_mean(F.coalesce("kept", F.lit(0))), 4).alias("keep_rate"), F.count(F.lit(1)).alias("n"))
+    first = posted.where("rescued IS NULL AND pool = 'survivor'").orderBy("pos").limit(k).select(F.lit("survivor").alias("arm"), "paper")
+    rows = posted.where("rescued = 'probe'").select(F.lit("rescue").alias("arm"), "paper").unionByName(first).join(kept, "paper", "left")
+    got = rows.groupBy("arm").agg(F.round(_mean(F.coalesce("kept", F.lit(0))), 4).alias("rate"), F.count(F.lit(1)).alias("n"))
+    mode = journal.agg(F.coalesce(F.bool_or(F.col("ranking") == "model-first"), F.lit(False)).alias("model"))  # one row
+    arms = journal.sparkSession.createDataFrame([("rescue",), ("survivor",)], "arm string").join(got, "arm", "left").join(F.broadcast(mode))
+    return arms.select("arm", F.when(~F.col("model"), F.col("rate")).alias("keep_rate"), F.when(F.col("model"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n"))
 
 
 def label_counts(ledger: DataFrame) -> DataFrame:

@@ -49,21 +49,25 @@ def first_posting(journal: DataFrame, fallback: DataFrame | None = None) -> Data
 def arrival(postings: DataFrame, vault: DataFrame, ledger: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """JOIN-11: distilled notes give saved-implicit, staged ones nothing yet, others a weak negative after so many days.
 
-    vault: paper, status.  Papers with an explicit positive label, or that have the label already, get none.
+    vault: paper, status.  Papers with an explicit positive label, distilled or not, or that have the label already, get none.
     """
     v = vault.groupBy("paper").agg(F.max(F.col("status") != "staged").alias("distilled"))
     said = ledger.groupBy("paper").agg(F.collect_set("label_type").alias("types"))
     got = postings.join(v, "paper", "left").join(said, "paper", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
     old = now >= F.col("ts") + F.make_dt_interval(F.lit(days))
     explicit = F.arrays_overlap("types", F.array(F.lit("keep"), F.lit("read-later"), F.lit("discussed")))
-    label = F.when(F.col("distilled"), "saved-implicit").when(F.col("distilled").isNull() & old & ~explicit, "unsaved-weak-negative")
+    label = F.when(F.col("distilled") & ~explicit, "saved-implicit").when(F.col("distilled").isNull() & old & ~explicit, "unsaved-weak-negative")
     return got.withColumn("label_type", label).where(F.col("label_type").isNotNull() & ~F.array_contains("types", F.col("label_type"))).select("paper", "label_type")
 
 
+#: The mark of a digest note, a ticked line's start, how such a line names its paper.
+DIGEST_MARK, TICKED, LINE_ID = "type: digest", "- [x]", r"\[arXiv:([0-9]{4}\.[0-9]{4,5}|[a-z-]+/[0-9]{7})\]"
+
+
 def checked_boxes(notes: DataFrame) -> DataFrame:
-    """FLT-12: ids of ticked lines of digest notes (content)."""
-    lines = notes.select(F.explode(F.split("content", "\n")).alias("line")).where(F.startswith(F.trim("line"), F.lit("- [x]")))
-    return lines.select(F.regexp_extract("line", r"(?i)arxiv:([0-9]{4}\.[0-9]{4,5}|[a-z-]+/[0-9]{7})", 1).alias("paper")).where("paper <> ''").distinct().withColumn("label_type", F.lit("keep"))
+    """FLT-12: ids in link brackets on ticked lines, which aren't indented, of digest notes (content); other notes have none."""
+    lines = notes.where(F.contains("content", F.lit(DIGEST_MARK))).select(F.explode(F.split("content", r"\r?\n")).alias("line")).where(F.startswith("line", F.lit(TICKED)))
+    return lines.select(F.regexp_extract("line", LINE_ID, 1).alias("paper")).where("paper <> ''").distinct().withColumn("label_type", F.lit("keep"))
 
 
 def human(messages: DataFrame) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import numbers, text
+from corvane.storage import saved
 
 #: Weight of a title match against one in the abstract, of a followed author; sizes of the pools.
 TITLE, AUTHOR, SCREEN, PROBE, TOP = 3, 3, 40, 20, 5
 
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """WIN-2: the first row of each key in a stated order (dropDuplicates would keep any)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """WIN-2: the first row of each key in a stated order (dropDuplicates would keep any); an aggregate, so hot keys are summed map-side."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
 def union_feeds(feeds: list[DataFrame]) -> DataFrame:
@@ -30,20 +33,60 @@ def dead_feeds(configured: DataFrame, parsed: DataFrame) -> DataFrame:
     return configured.join(parsed.select("feed").distinct(), "feed", "left_anti")
 
 
+#: Terms up to which a profile travels as literals; a larger one is joined.
+FEW_TERMS = 10_000
+#: A run of a-z, 0-9 and "-" with what repeats it after a single other sign.
+_CHAIN = r"(?<![a-z0-9-])([a-z0-9-]+)(?:[^a-z0-9-]\1(?![a-z0-9-]))*"
+
+
+def keys_of(items: DataFrame) -> list[str]:
+    """An item's identity: (source, id), or the id where a frame has no source."""
+    return [c for c in ("source", "id") if c in items.columns]
+
+
+def _run_counts(text_: Column, wanted: list[str]) -> Column:
+    """(run, n) of the wanted runs of a text: a match uses up the sign after it, so of a chain of n equal runs every other one counts."""
+    chains, runs = F.regexp_extract_all(text_, F.lit(_CHAIN), F.lit(0)), F.regexp_extract_all(text_, F.lit(_CHAIN), F.lit(1))
+    both = F.filter(F.arrays_zip(chains.alias("chain"), runs.alias("run")), lambda x: x["run"].isin(wanted))
+    length = lambda x: F.expr("0") + F.floor((F.length(x["chain"]) + 1) / (F.length(x["run"]) + 1))
+    return F.transform(both, lambda x: F.struct(x["run"].alias("term"), F.floor((length(x) + 1) / 2).cast("int").alias("n")))
+
+
 def matches(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """JOIN-1: id, term, weight, in_title, in_abstract of every term that an item contains.
+    """JOIN-1: identity, term, weight, in_title, in_abstract of every term that an item contains.
 
-    An equi-join of the items' distinct runs of letters with each term's first run finds the candidates, the exact count
-    then decides; terms without such a run (other scripts) are compared by containment.  Only (id, run) is joined to
-    terms, and texts come back for candidates, so the texts aren't copied for each run.
+    Terms that are one run of letters are counted inside the row, from its runs; others (several words, other scripts) are
+    looked for in the row and counted by their expression only where they stand.  No text is shuffled or copied.  Both
+    hold for a profile of at most FEW_TERMS terms, which is counted first; a larger one is joined by runs.
+    """
+    keys = keys_of(items)
+    low = items.select(*keys, F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("abstract", F.lit(""))).alias("a"))
+    few = terms.select("term", "weight").limit(FEW_TERMS + 1).collect()
+    if len(few) > FEW_TERMS:
+        return _joined_matches(low, terms, keys)
+    plain = [r["term"] for r in few if re.fullmatch("[a-z0-9-]+", r["term"])]
+    others = [r["term"] for r in few if r["term"] not in set(plain)]
+    none = F.array().cast("array<struct<term:string,in_title:int,in_abstract:int>>")
+    title = F.transform(_run_counts(F.col("t"), plain), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("in_title"), F.lit(0).alias("in_abstract")))
+    abstract = F.transform(_run_counts(F.col("a"), plain), lambda x: F.struct(x["term"].alias("term"), F.lit(0).alias("in_title"), x["n"].alias("in_abstract")))
+    held = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<string>"), lambda x: F.contains("t", x) | F.contains("a", x))
+    more = F.transform(held, lambda x: F.struct(x.alias("term"), text.count_matches(F.col("t"), x).alias("in_title"), text.count_matches(F.col("a"), x).alias("in_abstract")))
+    parts = [*([title, abstract] if plain else []), *([more] if others else [])]
+    found = low.select(*keys, F.explode(F.concat(none, *parts)).alias("x")).groupBy(*keys, F.col("x.term").alias("term")).agg(F.sum("x.in_title").alias("in_title"), F.sum("x.in_abstract").alias("in_abstract"))
+    weights = items.sparkSession.createDataFrame([tuple(r) for r in few], terms.select("term", "weight").schema)
+    return found.where("in_title + in_abstract > 0").join(F.broadcast(weights), "term").select(*keys, "term", "weight", "in_title", "in_abstract")  # at most FEW_TERMS rows
+
+
+def _joined_matches(low: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """matches for any number of terms: an equi-join of the items' distinct runs with each term's first run gives candidates, the exact count decides.
+
+    Terms without such a run (other scripts) meet texts by their first character.
     """
-    low = items.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("abstract", F.lit(""))).alias("a"))
-    keyed = terms.select("term", "weight", F.get(text.runs(F.col("term")), 0).alias("run"))
-    hits = low.select("id", F.explode(text.runs(F.concat_ws(" ", "t", "a"))).alias("run")).join(keyed.where("run IS NOT NULL"), "run").select("id", "term", "weight")
-    others = keyed.where("run IS NULL").agg(F.collect_list(F.struct("term", "weight")).alias("ts"))  # terms of other scripts only
-    more = low.join(F.broadcast(others)).select("id", F.explode(F.filter("ts", lambda x: F.contains(F.concat_ws(" ", "t", "a"), x["term"]))).alias("x")).select("id", "x.term", "x.weight")
-    got = hits.unionByName(more).join(low, "id")
-    counted = got.select("id", "term", "weight", text.count_matches(F.col("t"), F.col("term")).alias("in_title"), text.count_matches(F.col("a"), F.col("term")).alias("in_abstract"))
+    both = F.concat_ws(" ", "t", "a")
+    keyed = terms.select("term", "weight", F.coalesce(F.get(text.runs(F.col("term")), 0), F.concat(F.lit(" "), F.substring("term", 1, 1))).alias("run"))
+    signs = F.transform(F.array_distinct(F.regexp_extract_all(both, F.lit("[^a-z0-9-]"), F.lit(0))), lambda x: F.concat(F.lit(" "), x))
+    hits = low.select(*keys, F.explode(F.concat(text.runs(both), signs)).alias("run")).join(keyed, "run").select(*keys, "term", "weight").join(low, keys)
+    counted = hits.select(*keys, "term", "weight", text.count_matches(F.col("t"), F.col("term")).alias("in_title"), text.count_matches(F.col("a"), F.col("term")).alias("in_abstract"))
     return counted.where("in_title + in_abstract > 0")
 
 
@@ -59,12 +102,13 @@ def author_matches(items: DataFrame, roster: DataFrame) -> DataFrame:
 
 def scored(items: DataFrame, terms: DataFrame, authors: DataFrame | None = None) -> DataFrame:
     """AGG-4, AGG-5: id, score (cents, half even) and matched terms, the heaviest first; items without a match score 0."""
-    m = matches(items, terms).select("id", "term", "weight", (F.col("weight") * numbers.specificity(F.col("term")) * (TITLE * F.col("in_title") + F.col("in_abstract"))).alias("s"))
+    keys = keys_of(items)
+    m = matches(items, terms).select(*keys, "term", "weight", (F.col("weight") * numbers.specificity(F.col("term")) * (TITLE * F.col("in_title") + F.col("in_abstract"))).alias("s"))
     if authors is not None:
-        m = m.unionByName(authors.select("id", F.col("name").alias("term"), "weight", (AUTHOR * F.col("weight")).alias("s")))
-    got = m.groupBy("id").agg(F.sum(F.col("s").cast("decimal(38,10)")).cast("double").alias("raw"), F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))).alias("ts"))
-    got = got.select("id", numbers.half_even(F.col("raw"), 2).alias("score"), F.transform("ts", lambda x: x["term"]).alias("terms"))
-    return items.join(got, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+        m = m.unionByName((authors if set(keys) <= set(authors.columns) else authors.join(items.select(*keys), "id")).select(*keys, F.col("name").alias("term"), "weight", (AUTHOR * F.col("weight")).alias("s")))
+    got = m.groupBy(*keys).agg(F.sum(F.col("s").cast("decimal(38,10)")).cast("double").alias("raw"), F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))).alias("ts"))
+    got = got.select(*keys, numbers.half_even(F.col("raw"), 2).alias("score"), F.transform("ts", lambda x: x["term"]).alias("terms"))
+    return items.join(got, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
 def unseen(items: DataFrame, corpus: DataFrame, posted: DataFrame) -> DataFrame:
@@ -83,25 +127,24 @@ def skipped(items: DataFrame, corpus: DataFrame, posted: DataFrame) -> DataFrame
 
 def survivors(items: DataFrame, screen: int = SCREEN) -> DataFrame:
     """SRT-1."""
-    return items.where("score > 0").orderBy(F.desc("score"), "id").limit(screen)
+    return items.where("score > 0").orderBy(F.desc("score"), *keys_of(items)).limit(screen)
 
 
 def probe(items: DataFrame, seed: str, k: int = PROBE) -> DataFrame:
     """SRT-3: a sample of items without score, by a hash of seed and id: the same on every engine and run."""
-    return items.where("score <= 0").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256), "id").limit(k)
+    return items.where("score <= 0").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256), *keys_of(items)).limit(k)
 
 
 def pools(items: DataFrame, seed: str, screen: int = SCREEN, k: int = PROBE) -> DataFrame:
     """SRT-1 to 3, FLT-4, 5, SET-4: items with their pool: survivor, near-miss, probe or none (disjoint).
 
-    Two top-k selections mark survivors and probes; no window ranks all items.
+    Two top-k selections mark survivors and probes (which have no score, so the two can't meet); no window ranks all items.
+    Items are saved first, since they are read three times.
     """
-    top = survivors(items, screen).select("id").withColumn("pool", F.lit("survivor"))
-    rest = items.join(top, "id", "left_anti")
-    drawn = probe(rest, seed, k).select("id").withColumn("pool", F.lit("probe"))
-    marks = top.unionByName(drawn)
+    items, keys = saved(items), keys_of(items)
+    marks = survivors(items, screen).select(*keys, F.lit("survivor").alias("pool")).unionByName(probe(items, seed, k).select(*keys, F.lit("probe").alias("pool")))
     near = F.when((F.col("score") > 0) & (F.size("terms") == 1), "near-miss").otherwise("none")
-    return items.join(marks, "id", "left").withColumn("pool", F.coalesce("pool", near))
+    return items.join(F.broadcast(marks), keys, "left").withColumn("pool", F.coalesce("pool", near))  # marks: screen + k rows
 
 
 def pool_lexical(score: Column, terms: Column) -> Column:

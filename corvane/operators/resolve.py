@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text
+from corvane.storage import saved
 
 
 def work_keys(works: DataFrame) -> DataFrame:
@@ -44,11 +45,10 @@ def components(keys: DataFrame) -> DataFrame:
     A row links its keys with its least one; only linked keys take part in the rounds, each of which is checkpointed, so
     neither plan nor lineage grows.
     """
-    save = (lambda d: d.checkpoint()) if keys.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
     pairs = keys.distinct()
     first = pairs.groupBy("row").agg(F.min("key").alias("first"))
     links = pairs.join(first, "row").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    roots = _least(links, save).select(F.col("node").alias("first"), "root")
+    roots = _least(links, saved).select(F.col("node").alias("first"), "root")
     return first.join(roots, "first", "left").select("row", F.coalesce("root", "first").alias("root"))
 
 

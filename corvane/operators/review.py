@@ -33,13 +33,13 @@ def candidates(journal: DataFrame) -> DataFrame:
 
 
 def buried(rows: DataFrame, k: int = BURIED) -> DataFrame:
-    """WIN-5: relevant rows that weren't posted, the best of each paper (earliest on ties), the k best.
+    """WIN-5: relevant rows that weren't posted, the best of each paper (earliest on ties), the k best (by paper on ties).
 
     max_by keeps this a partial aggregate: no paper's rows are sorted.
     """
     order = F.struct(F.col("rel").alias("r"), (-F.col("pos")).alias("p"))
     best = rows.where("NOT posted AND relevant").groupBy("paper").agg(F.max(order).alias("o"))
-    return best.select("paper", F.col("o.r").alias("rel"), (-F.col("o.p")).alias("pos")).orderBy(F.desc("rel"), "pos").limit(k)
+    return best.select("paper", F.col("o.r").alias("rel"), (-F.col("o.p")).alias("pos")).orderBy(F.desc("rel"), "paper").limit(k)
 
 
 def buried_total(rows: DataFrame) -> DataFrame:
@@ -48,17 +48,20 @@ def buried_total(rows: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """WIN-3: places in the run by model relevance and by lexical score; a run is a day's screened list."""
-    model = Window.partitionBy("run").orderBy(F.desc("rel"), "pos")
-    lexical = Window.partitionBy("run").orderBy(F.desc("lexical"), "pos")
-    return rows.withColumn("model_rank", F.row_number().over(model)).withColumn("lexical_rank", F.row_number().over(lexical)).withColumn("gap", F.col("lexical_rank") - F.col("model_rank"))
+    """WIN-3: places in the run by model relevance and by lexical score, ties by paper; a run is a day's screened list.
+
+    Rows that the model gave no answer for (rel is null) have no place and go.
+    """
+    model = Window.partitionBy("run").orderBy(F.desc("rel"), "paper", "pos")
+    lexical = Window.partitionBy("run").orderBy(F.desc("lexical"), "paper", "pos")
+    return rows.where("rel IS NOT NULL").withColumn("model_rank", F.row_number().over(model)).withColumn("lexical_rank", F.row_number().over(lexical)).withColumn("gap", F.col("lexical_rank") - F.col("model_rank"))
 
 
 def divergences(rows: DataFrame, hot: bool = True, k: int = DIVERGENT) -> DataFrame:
     """WIN-4: papers that the model ranks far above the words (hot) or below, the widest gap of each (earliest on ties)."""
     sign = 1 if hot else -1
     best = ranked(rows).groupBy("paper").agg(F.max(F.struct((sign * F.col("gap")).alias("g"), (-F.col("pos")).alias("p"))).alias("o"))
-    return best.where("o.g > 0").select("paper", (sign * F.col("o.g")).alias("gap"), (-F.col("o.p")).alias("pos")).orderBy(F.desc(sign * F.col("gap")), "pos").limit(k)
+    return best.where("o.g > 0").select("paper", (sign * F.col("o.g")).alias("gap"), (-F.col("o.p")).alias("pos")).orderBy(F.desc(sign * F.col("gap")), "paper").limit(k)
 
 
 def seen(rows: DataFrame) -> DataFrame:
@@ -67,12 +70,13 @@ def seen(rows: DataFrame) -> DataFrame:
 
 
 def week_counts(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """AGG-14: posted rows, and distinct kept, skipped and labelled papers among them."""
+    """AGG-14: posted rows, distinct kept and skipped papers among them, and labelled: the sum of these two (other labels don't count)."""
     posted = rows.where("posted").select("paper")
     total = posted.agg(F.count(F.lit(1)).alias("posted"))
     own = ledger.join(posted.distinct(), "paper", "left_semi")
     d = lambda c, name: F.count_distinct(F.when(c, F.col("paper"))).alias(name)
-    return total.join(own.agg(d(F.col("label_type").isin("keep", "read-later"), "kept"), d(F.col("label_type") == "skip", "skipped"), d(F.lit(True), "labelled")))
+    counts = own.agg(d(F.col("label_type").isin("keep", "read-later"), "kept"), d(F.col("label_type") == "skip", "skipped"))
+    return total.join(counts.withColumn("labelled", F.col("kept") + F.col("skipped")))
 
 
 def by_rating(proposals: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def _graded(s: SparkSession, d: str) -> DataFrame:
 # --- flagship, profile ------------------------------------------------------------------------------------------------
 
 
-@query("rank_01_digest", "SELECT id, score, n_terms FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 20", "sc", whole=True)
+@query("rank_01_digest", "SELECT id, score, n_terms FROM sc WHERE score > 0 ORDER BY score DESC, source, id LIMIT 20", "sc", whole=True)
 def _(s, d, items=views.items):
     return rank.survivors(_scored(s, d, items), 20).select("id", "score", F.size("terms").cast("long").alias("n_terms"))
 
@@ -224,7 +224,7 @@ def _(s, d, items=views.items):
     return _scored(s, d, items).where(F.size("terms") > 0).select("id", F.array_join("terms", ",").alias("terms"))
 
 
-@query("srt_01_survivors", "SELECT id FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 40", "sc", whole=True)
+@query("srt_01_survivors", "SELECT id FROM sc WHERE score > 0 ORDER BY score DESC, source, id LIMIT 40", "sc", whole=True)
 def _(s, d, items=views.items):
     return rank.survivors(_scored(s, d, items)).select("id")
 
@@ -368,12 +368,13 @@ def _(s, d):
     return labels.posted_append(e.where("pos < 100"), e.where("pos >= 100"), 50).select("id")
 
 
-@query("join_11_arrival", """SELECT p.paper, CASE WHEN v.paper IS NOT NULL THEN 'saved-implicit' ELSE 'unsaved-weak-negative' END AS label_type FROM (SELECT paper, min(ts) AS ts FROM journal WHERE posted GROUP BY 1) p
-LEFT JOIN (SELECT DISTINCT paper FROM ledger WHERE label_type = 'keep') v USING (paper) LEFT JOIN (SELECT DISTINCT paper FROM ledger WHERE label_type IN ('keep', 'read-later', 'discussed')) e USING (paper)
-WHERE v.paper IS NOT NULL OR (e.paper IS NULL AND TIMESTAMP '2024-01-31' >= p.ts + INTERVAL 20 DAY)""", "journal ledger")
+@query("join_11_arrival", """SELECT p.paper, CASE WHEN v.status = 'read' THEN 'saved-implicit' ELSE 'unsaved-weak-negative' END AS label_type FROM (SELECT paper, min(ts) AS ts FROM journal WHERE posted GROUP BY 1) p
+LEFT JOIN (SELECT DISTINCT paper, CASE WHEN paper % 6 = 0 THEN 'staged' ELSE 'read' END AS status FROM journal WHERE paper % 3 = 0) v USING (paper)
+WHERE p.paper NOT IN (SELECT paper FROM ledger WHERE label_type IN ('keep', 'read-later', 'discussed')) AND (v.status = 'read' OR (v.status IS NULL AND TIMESTAMP '2024-01-31' >= p.ts + INTERVAL 20 DAY))""", "journal ledger")
 def _(s, d):
+    """Every third paper is in the vault, half of those staged, whatever its labels."""
     l = views.ledger(s, d)
-    vault = l.where("label_type = 'keep'").select("paper", F.lit("read").alias("status"))
+    vault = views.journal(s, d).where("paper % 3 = 0").select("paper", F.when(F.col("paper") % 6 == 0, "staged").otherwise("read").alias("status")).distinct()
     return labels.arrival(labels.first_posting(views.journal(s, d)), vault, l, F.expr("TIMESTAMP_NTZ '2024-01-31'"), 20)
 
 
@@ -398,11 +399,13 @@ def _(s, d):
     return labels.reaction_labels(e.select("channel", "ts", "paper"), r, keepers, emoji)
 
 
-@query("flt_12_checked_boxes", "SELECT DISTINCT '2601.' || lpad(CAST(doc_id % 900 + 1000 AS VARCHAR), 5, '0') AS paper, 'keep' AS label_type FROM documents WHERE doc_id % 2 = 0")
+@query("flt_12_checked_boxes", "SELECT DISTINCT '2601.' || lpad(CAST(doc_id % 900 + 1000 AS VARCHAR), 5, '0') AS paper, 'keep' AS label_type FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0")
 def _(s, d):
-    i = F.concat(F.lit("2601."), F.lpad((F.col("doc_id") % 900 + 1000).cast("string"), 5, "0"))
-    n = _docs(s, d).select(F.concat(F.lit("# digest\n- ["), F.when(F.col("doc_id") % 2 == 0, "x").otherwise(" "), F.lit("] t — [arXiv:"), i, F.lit("](https://arxiv.org/abs/"), i, F.lit(")\n")).alias("content"))
-    return labels.checked_boxes(n)
+    """Ticked or not, indented, without link brackets, in notes that aren't digests."""
+    k = F.col("doc_id")
+    i = F.concat(F.lit("2601."), F.lpad((k % 900 + 1000).cast("string"), 5, "0"))
+    line = F.concat(F.when(k % 3 == 0, "  ").otherwise(""), F.lit("- ["), F.when(k % 2 == 0, "x").otherwise(" "), F.lit("] t — "), F.when(k % 5 == 0, F.concat(F.lit("arXiv:"), i)).otherwise(F.concat(F.lit("[arXiv:"), i, F.lit("](https://arxiv.org/abs/"), i, F.lit(")"))))
+    return labels.checked_boxes(_docs(s, d).select(F.concat(F.when(k % 7 == 0, "---\ntype: paper\n---\n").otherwise("---\ntype: digest\n---\n"), line, F.lit("\n")).alias("content")))
 
 
 @query("set_09_all_labels", "SELECT paper, label_type FROM ledger UNION SELECT paper, 'posted' FROM journal WHERE posted", "ledger")
@@ -450,9 +453,17 @@ def _(s, d):
 
 
 @query("agg_10_probe_lift", """SELECT arm, round(avg(CASE WHEN l.paper IS NULL THEN 0.0 ELSE 1.0 END), 4) AS keep_rate, count(*) AS n FROM (SELECT 'rescue' AS arm, paper FROM journal WHERE posted AND pos % 3 = 0
-UNION ALL SELECT 'survivor', paper FROM (SELECT paper FROM journal WHERE posted AND pos % 3 <> 0 ORDER BY pos LIMIT 5)) a LEFT JOIN (SELECT DISTINCT paper FROM ledger WHERE label_type = 'keep') l USING (paper) GROUP BY 1""", "ledger")
+UNION ALL SELECT 'survivor', paper FROM (SELECT paper FROM journal WHERE posted AND pos % 3 <> 0 AND pos % 2 = 0 ORDER BY pos LIMIT 5)) a LEFT JOIN (SELECT DISTINCT paper FROM ledger WHERE label_type IN ('keep', 'read-later')) l USING (paper) GROUP BY 1""", "ledger")
+def _(s, d):
+    j = views.journal(s, d).withColumn("rescued", F.when(F.col("pos") % 3 == 0, "probe")).withColumn("pool", F.when(F.col("pos") % 2 == 0, "survivor").otherwise("near-miss"))
+    return calibrate.probe_lift(j.withColumn("ranking", F.lit("lexical-first")), views.ledger(s, d))
+
+
+@query("agg_10_probe_lift_na", "SELECT unnest(['rescue', 'survivor']) AS arm, NULL::DOUBLE AS keep_rate, 0::BIGINT AS n")
 def _(s, d):
-    return calibrate.probe_lift(views.journal(s, d).withColumn("rescued", F.when(F.col("pos") % 3 == 0, "probe")), views.ledger(s, d))
+    """One run ranked by model first."""
+    j = views.journal(s, d).withColumn("rescued", F.when(F.col("pos") % 3 == 0, "probe")).withColumn("pool", F.lit("survivor"))
+    return calibrate.probe_lift(j.withColumn("ranking", F.when(F.col("run") == F.lit("2024-01-05").cast("date"), "model-first").otherwise("lexical-first")), views.ledger(s, d))
 
 
 @query("agg_11_label_counts", "SELECT count(DISTINCT paper) FILTER (label_type IN ('keep', 'read-later')) AS positives, count(DISTINCT paper) FILTER (label_type = 'skip') AS skips, 0::BIGINT AS weak_negatives FROM ledger", "ledger")
@@ -517,30 +528,35 @@ def _(s, d):
     return views.journal(s, d).select("pos", F.round("rel", 6).alias("rel"))
 
 
-@query("win_03_ranks", "SELECT pos, row_number() OVER (PARTITION BY run ORDER BY rel DESC, pos) AS model_rank, row_number() OVER (PARTITION BY run ORDER BY lexical DESC, pos) AS lexical_rank FROM journal", "journal")
+def _answered(s: SparkSession, d: str) -> DataFrame:
+    """The journal with every seventh row unanswered by the model and lexical scores in tens, so that ties are many."""
+    return views.journal(s, d).withColumn("rel", F.when(F.col("pos") % 7 > 0, F.col("rel"))).withColumn("lexical", F.floor(F.col("lexical") / 10))
+
+
+@query("win_03_ranks", "SELECT pos, row_number() OVER (PARTITION BY run ORDER BY rel DESC, paper, pos) AS model_rank, row_number() OVER (PARTITION BY run ORDER BY floor(lexical / 10) DESC, paper, pos) AS lexical_rank FROM journal WHERE pos % 7 > 0", "journal")
 def _(s, d):
-    return review.ranked(views.journal(s, d)).select("pos", F.col("model_rank").cast("long").alias("model_rank"), F.col("lexical_rank").cast("long").alias("lexical_rank"))
+    return review.ranked(_answered(s, d)).select("pos", F.col("model_rank").cast("long").alias("model_rank"), F.col("lexical_rank").cast("long").alias("lexical_rank"))
 
 
-_GAPS = "(SELECT paper, pos, row_number() OVER (PARTITION BY run ORDER BY lexical DESC, pos) - row_number() OVER (PARTITION BY run ORDER BY rel DESC, pos) AS gap FROM journal)"
+_GAPS = "(SELECT paper, pos, row_number() OVER (PARTITION BY run ORDER BY floor(lexical / 10) DESC, paper, pos) - row_number() OVER (PARTITION BY run ORDER BY rel DESC, paper, pos) AS gap FROM journal WHERE pos % 7 > 0)"
 
 
-@query("win_04_divergence_hot", f"SELECT paper, gap, pos FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY gap DESC, pos) AS rn FROM {_GAPS}) WHERE rn = 1 AND gap > 0 ORDER BY gap DESC, pos LIMIT 5", "journal")
+@query("win_04_divergence_hot", f"SELECT paper, gap, pos FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY gap DESC, pos) AS rn FROM {_GAPS}) WHERE rn = 1 AND gap > 0 ORDER BY gap DESC, paper LIMIT 5", "journal")
 def _(s, d):
-    return review.divergences(views.journal(s, d)).select("paper", F.col("gap").cast("long").alias("gap"), "pos")
+    return review.divergences(_answered(s, d)).select("paper", F.col("gap").cast("long").alias("gap"), "pos")
 
 
-@query("win_04_divergence_cold", f"SELECT paper, gap, pos FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY gap, pos) AS rn FROM {_GAPS}) WHERE rn = 1 AND gap < 0 ORDER BY gap, pos LIMIT 5", "journal")
+@query("win_04_divergence_cold", f"SELECT paper, gap, pos FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY gap, pos) AS rn FROM {_GAPS}) WHERE rn = 1 AND gap < 0 ORDER BY gap, paper LIMIT 5", "journal")
 def _(s, d):
-    return review.divergences(views.journal(s, d), hot=False).select("paper", F.col("gap").cast("long").alias("gap"), "pos")
+    return review.divergences(_answered(s, d), hot=False).select("paper", F.col("gap").cast("long").alias("gap"), "pos")
 
 
-@query("win_05_buried", "SELECT paper, round(rel, 6) AS rel, pos FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY rel DESC, pos) AS rn FROM journal WHERE NOT posted AND relevant) WHERE rn = 1 ORDER BY rel DESC, pos LIMIT 10", "journal")
+@query("win_05_buried", "SELECT paper, round(rel, 6) AS rel, pos FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY rel DESC, pos) AS rn FROM journal WHERE NOT posted AND relevant) WHERE rn = 1 ORDER BY rel DESC, paper LIMIT 10", "journal")
 def _(s, d):
     return review.buried(views.journal(s, d)).select("paper", F.round("rel", 6).alias("rel"), "pos")
 
 
-@query("agg_14_week_counts", "SELECT (SELECT count(*) FROM journal WHERE posted) AS posted, count(DISTINCT paper) FILTER (label_type IN ('keep', 'read-later')) AS kept, count(DISTINCT paper) FILTER (label_type = 'skip') AS skipped, count(DISTINCT paper) AS labelled FROM ledger WHERE paper IN (SELECT paper FROM journal WHERE posted)", "ledger")
+@query("agg_14_week_counts", "SELECT (SELECT count(*) FROM journal WHERE posted) AS posted, count(DISTINCT paper) FILTER (label_type IN ('keep', 'read-later')) AS kept, count(DISTINCT paper) FILTER (label_type = 'skip') AS skipped, count(DISTINCT paper) FILTER (label_type IN ('keep', 'read-later')) + count(DISTINCT paper) FILTER (label_type = 'skip') AS labelled FROM ledger WHERE paper IN (SELECT paper FROM journal WHERE posted)", "ledger")
 def _(s, d):
     return review.week_counts(views.journal(s, d), views.ledger(s, d))
 

@@ -59,11 +59,31 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     return first_labels(label_rows(spark, d))
 
 
+#: Words of a benchmark item that documents are looked up by: the first whole ones.
+_KEY_WORDS = 4
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Links from benchmark items to documents that hold their text; the first 24 characters make it an equi-join."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("src"), F.col("text").alias("bt"))
+    """Links from benchmark items to documents that hold their text.
+
+    An item's second to fifth word stand in such a document as neighbours: an equi-join with the documents' runs of four
+    words finds candidates, containment decides.  Items too short for that are looked up by their middle word, and those
+    without one (two words or fewer) are compared one by one.
+    """
+    words = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+"), "")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("src"), F.col("text").alias("bt"), words(F.col("text")).alias("w"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(b), F.contains(docs["text"], b["bt"])).select("src", F.col("doc_id").cast("string").alias("target"))
+    long, n = F.size("w") >= _KEY_WORDS + 2, F.size("w")
+    keyed = b.select("src", "bt", F.when(long, F.array_join(F.slice("w", 2, _KEY_WORDS), " ")).when(n > 2, F.get("w", 1)).alias("key"), F.when(long, _KEY_WORDS).otherwise(1).alias("wide"))
+    grams = lambda w, k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+    found = []
+    for k in (_KEY_WORDS, 1):
+        own = keyed.where((F.col("wide") == k) & F.col("key").isNotNull()).select("src", "key")
+        shown = docs.withColumn("w", words(F.col("text"))).where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), k))).alias("key"))
+        found.append(shown.join(own, "key").select("doc_id", "src").distinct())
+    pairs = found[0].unionByName(found[1]).join(b.select("src", "bt"), "src").join(docs, "doc_id").where(F.contains("text", F.col("bt")))
+    tiny = docs.join(keyed.where("key IS NULL"), F.contains(docs["text"], F.col("bt")))
+    return pairs.select("src", F.col("doc_id").cast("string").alias("target")).unionByName(tiny.select("src", F.col("doc_id").cast("string").alias("target")))
 
 
 #: The same views in DuckDB's SQL.
@@ -86,13 +106,13 @@ SQL = {
     "prof": """SELECT term, df, CASE WHEN df >= 0.8 * n AND n >= 3 THEN 0 ELSE m * greatest(1.0::DOUBLE, ln(n / df) + 1) END AS weight
         FROM (SELECT term, count(*) AS df, sum(c * factor) AS m FROM (SELECT id, term, any_value(factor) AS factor, count(*) AS c FROM tok GROUP BY 1, 2) GROUP BY 1), (SELECT count(*)::DOUBLE AS n FROM notes)""",
     "terms": "SELECT term, round(weight, 6) AS weight FROM prof WHERE weight > 0 ORDER BY round(weight, 6) DESC, term LIMIT 200",
-    "hits": r"""SELECT id, term, weight, len(regexp_extract_all(t, '(^|[^a-z0-9-])' || term || '([^a-z0-9-]|$)')) AS in_title, len(regexp_extract_all(a, '(^|[^a-z0-9-])' || term || '([^a-z0-9-]|$)')) AS in_abstract
-        FROM (SELECT id, lower(title) AS t, lower(abstract) AS a FROM items) i, terms""",
+    "hits": r"""SELECT id, source, term, weight, len(regexp_extract_all(t, '(^|[^a-z0-9-])' || term || '([^a-z0-9-]|$)')) AS in_title, len(regexp_extract_all(a, '(^|[^a-z0-9-])' || term || '([^a-z0-9-]|$)')) AS in_abstract
+        FROM (SELECT id, source, lower(title) AS t, lower(abstract) AS a FROM items) i, terms""",
     "sc": """SELECT i.id, i.source, coalesce(round_even(s * 100, 0) / 100, 0.0::DOUBLE) AS score, coalesce(n, 0) AS n_terms, terms FROM items i LEFT JOIN
-        (SELECT id, sum(weight * (1 + least(1.0::DOUBLE, length(term) / 16)) * (3 * in_title + in_abstract)) AS s, count(*) AS n, string_agg(term, ',' ORDER BY weight DESC, term) AS terms FROM hits WHERE in_title + in_abstract > 0 GROUP BY 1) h ON h.id = i.id""",
+        (SELECT id, source, sum(weight * (1 + least(1.0::DOUBLE, length(term) / 16)) * (3 * in_title + in_abstract)) AS s, count(*) AS n, string_agg(term, ',' ORDER BY weight DESC, term) AS terms FROM hits WHERE in_title + in_abstract > 0 GROUP BY 1, 2) h ON h.id = i.id AND h.source = i.source""",
     "pooled": """SELECT s.*, CASE WHEN r <= 40 AND score > 0 THEN 'survivor' WHEN score > 0 AND n_terms = 1 THEN 'near-miss' WHEN score > 0 THEN 'none' WHEN z <= 20 THEN 'probe' ELSE 'none' END AS pool,
         ('0x' || substr(md5('mass:' || id), 1, 7))::BIGINT / 268435456.0::DOUBLE AS mass
-        FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r, row_number() OVER (PARTITION BY score <= 0 ORDER BY sha256('seed:' || id), id) AS z FROM sc) s""",
+        FROM (SELECT *, row_number() OVER (ORDER BY score DESC, source, id) AS r, row_number() OVER (PARTITION BY score <= 0 ORDER BY sha256('seed:' || id), source, id) AS z FROM sc) s""",
 }
 #: items of the queries whose names end in _whole.
 WHOLE_ITEMS = "SELECT doc_id AS id, source, lang, substr(text, 1, 80) AS title, substr(text, 81) AS abstract FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"

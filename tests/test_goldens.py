@@ -45,6 +45,36 @@ def test_match_join_equals_nested_loop(spark):
     assert {(r["id"], r["term"]) for r in rank.matches(items, terms).collect()} == {(1, "magnon"), (1, "two-word term"), (1, "caf"), (2, "пример")}
 
 
+def test_counts_in_the_row_equal_the_expression(spark):
+    rng = random.Random(4)
+    texts = [(k, "s", "".join(rng.choice(["foo", "foo-bar", " ", " ", ", ", "é", "FOO", "x"]) for _ in range(rng.randint(0, 25))), "".join(rng.choice(["foo", " ", "  ", "bar"]) for _ in range(12))) for k in range(400)]
+    items = spark.createDataFrame(texts, "id long, source string, title string, abstract string")
+    terms = spark.createDataFrame([("foo", 1.0), ("foo-bar", 2.0), ("foo foo", 1.0), ("é", 1.0), ("xé", 1.0)], "term string, weight double")
+    low = items.crossJoin(terms).select("id", "term", text.count_matches(F.lower("title"), F.col("term")).alias("t"), text.count_matches(F.lower("abstract"), F.col("term")).alias("a")).where("t + a > 0")
+    want = {tuple(r) for r in low.collect()}
+    assert {(r["id"], r["term"], r["in_title"], r["in_abstract"]) for r in rank.matches(items, terms).collect()} == want
+    joined = rank._joined_matches(items.select("source", "id", F.lower("title").alias("t"), F.lower("abstract").alias("a")), terms, ["source", "id"])
+    assert {(r["id"], r["term"], r["in_title"], r["in_abstract"]) for r in joined.collect()} == want
+
+
+def test_one_id_in_two_sources_stays_two_items(spark):
+    items = spark.createDataFrame([(1, "b", "magnon magnon", ""), (1, "a", "magnon", "x"), (2, "a", "none", "")], "id long, source string, title string, abstract string")
+    got = rank.scored(items, spark.createDataFrame([("magnon", 2.0)], "term string, weight double"))
+    assert got.count() == 3 and len({r["score"] for r in got.where("id = 1").collect()}) == 1
+    assert [(r["source"], r["id"]) for r in rank.survivors(got).collect()] == [("a", 1), ("b", 1)]
+    assert {(r["source"], r["id"]): r["pool"] for r in rank.pools(got, "s", 1, 5).collect()} == {("a", 1): "survivor", ("b", 1): "near-miss", ("a", 2): "probe"}
+
+
+def test_ranks_leave_unanswered_rows_out_and_break_ties_by_paper(spark):
+    rows = spark.createDataFrame([("r", 2, 1, 4.0, 9.0), ("r", 1, 2, 4.0, 9.0), ("r", 3, 3, None, 99.0)], "run string, paper int, pos int, rel double, lexical double")
+    assert {(r["paper"], r["model_rank"], r["lexical_rank"]) for r in review.ranked(rows).collect()} == {(1, 1, 1), (2, 2, 2)}
+    tied = spark.createDataFrame([(2, 4.0, 1, False, True), (1, 4.0, 2, False, True)], "paper int, rel double, pos int, posted boolean, relevant boolean")
+    assert [r["paper"] for r in review.buried(tied, 1).collect()] == [1]
+    posted = spark.createDataFrame([(1, True), (2, True), (3, True)], "paper int, posted boolean")
+    said = spark.createDataFrame([(1, "keep"), (2, "discussed"), (3, "skip")], "paper int, label_type string")
+    assert review.week_counts(posted, said).first().asDict() == {"posted": 3, "kept": 1, "skipped": 1, "labelled": 2}
+
+
 def test_saturation_cap(spark):
     rows = [(k, "quantum magnon" if k < 2 else "quantum", 0, "useful", 0, []) for k in range(5)]
     notes = spark.createDataFrame(rows, "id int, content string, age_days int, rating string, inlinks int, tags array<string>")
@@ -61,10 +91,11 @@ def test_calibration_goldens(spark):
 
 
 def test_precision_and_lift(spark):
-    j = spark.createDataFrame([("r", k, k, True, "probe" if k > 3 else None) for k in range(1, 6)], "run string, paper int, pos int, posted boolean, rescued string")
-    l = spark.createDataFrame([(1, "keep"), (2, "discussed"), (4, "keep")], "paper int, label_type string")
+    j = spark.createDataFrame([("r", k, k, True, "probe" if k > 3 else None, "near-miss" if k == 2 else "survivor", "lexical-first") for k in range(1, 6)], "run string, paper int, pos int, posted boolean, rescued string, pool string, ranking string")
+    l = spark.createDataFrame([(1, "read-later"), (2, "discussed"), (4, "keep")], "paper int, label_type string")
     assert tuple(calibrate.precision_at_5(j, l).first()) == (0.6, 5)
-    assert {r["arm"]: (r["keep_rate"], r["n"]) for r in calibrate.probe_lift(j, l).collect()} == {"rescue": (0.5, 2), "survivor": (0.3333, 3)}
+    assert {r["arm"]: (r["keep_rate"], r["n"]) for r in calibrate.probe_lift(j, l).collect()} == {"rescue": (0.5, 2), "survivor": (0.5, 2)}
+    assert {r["keep_rate"] for r in calibrate.probe_lift(j.withColumn("ranking", F.lit("model-first")), l).collect()} == {None}
 
 
 def test_buried_and_relevance(spark):
@@ -77,15 +108,16 @@ def test_buried_and_relevance(spark):
 
 def test_arrival_states(spark):
     now = dt.datetime(2026, 10, 1)
-    p = spark.createDataFrame([(k, now - dt.timedelta(days=d)) for k, d in ((1, 40), (2, 40), (3, 40), (4, 11), (5, 40))], "paper int, ts timestamp")
-    vault = spark.createDataFrame([(1, "read"), (2, "staged")], "paper int, status string")
-    ledger = spark.createDataFrame([(5, "keep")], "paper int, label_type string")
+    p = spark.createDataFrame([(k, now - dt.timedelta(days=d)) for k, d in ((1, 40), (2, 40), (3, 40), (4, 11), (5, 40), (6, 40))], "paper int, ts timestamp")
+    vault = spark.createDataFrame([(1, "read"), (2, "staged"), (6, "read")], "paper int, status string")
+    ledger = spark.createDataFrame([(5, "keep"), (6, "discussed")], "paper int, label_type string")
     got = {r["paper"]: r["label_type"] for r in labels.arrival(p, vault, ledger, F.lit(now)).collect()}
     assert got == {1: "saved-implicit", 3: "unsaved-weak-negative"}
 
 
 def test_checkbox_and_ledger_are_idempotent(spark):
-    n = spark.createDataFrame([("- [x] T — [arXiv:2601.01011](u)\n- [ ] U — [arXiv:2601.01012](u)",)], "content string")
+    lines = "- [x] T — [arXiv:2601.01011](u)\n- [ ] U — [arXiv:2601.01012](u)\n  - [x] V — [arXiv:2601.01013](u)\n- [x] W — arXiv:2601.01014"
+    n = spark.createDataFrame([("---\ntype: digest\n---\n" + lines,), ("- [x] X — [arXiv:2601.01015](u)",)], "content string")
     got = labels.checked_boxes(n).withColumn("pos", F.lit(1))
     assert [r["paper"] for r in got.collect()] == ["2601.01011"]
     assert labels.new_labels(got, got).count() == 0
