@@ -161,10 +161,12 @@ def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
 
 def possible(queries: dict[str, Query]) -> Column:
     """Whether text (in place) holds all trigrams of a conjunction; a conjunction that contains another adds nothing."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    clauses = _simplest({c for q in queries.values() for c in q})
-    held = [functools.reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in sorted(c)]) for c in sorted(clauses, key=sorted)]
-    return functools.reduce(lambda a, b: a | b, held, F.lit(False))
+    clauses = sorted(_simplest({c for q in queries.values() for c in q}), key=sorted)
+
+    def held(low: Column) -> Column:
+        return functools.reduce(lambda a, b: a | b, [functools.reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in sorted(c)]) for c in clauses])
+
+    return bind(F.lower(F.coalesce(F.col("text"), F.lit(""))), held)  # lower case once a text
 
 
 _BLOCK = 64
