@@ -691,9 +691,11 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.conclusions_section(t).alias("conclusions"))
 
 
-@query("str_17_affiliations")
+@query("str_17_affiliations", "SELECT doc_id, 'University of ' || source || '|RIKEN, Wako|Academy of ' || lang || '|CNRS' AS a, 1::BIGINT AS more FROM documents")
 def _(s, d):
-    return _docs(s, d).select("doc_id", parsers.parse_affiliations(F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "source", F.lit(", Germany\nAbstract\n"), "text")).alias("a"))
+    page = F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "source", F.lit(", Germany\n2 RIKEN,\nWako, Japan and\n* riken,  Wako\n3 Academy of "), "lang", F.lit("\n4 CNRS\n5 National Centre\nAbstract\n"), "text")
+    shown, more = parsers.shown_affiliations(parsers.affiliations(page))
+    return _docs(s, d).select("doc_id", F.array_join(shown, "|").alias("a"), more.cast("long").alias("more"))
 
 
 @query("str_18_bibtex")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -133,6 +134,27 @@ def test_packing(spark):
     assert pack.packed(items, ["k"], 30).first()["kept"] == ["small"]
     state, size, terms, whys = pack.fixed_state([(f"t{k}", 9.0 - k) for k in range(9)], ["w" * 900] * 30, [], None, {"abstract": "a" * 2500})
     assert size <= 4096 and terms == 9 and whys > 0 and state is not None
+    rng = random.Random(1)
+    for _ in range(300):
+        terms = [(f"t{k}é" * rng.randint(1, 40), rng.random() * 9) for k in range(rng.randint(0, 20))]
+        whys, titles, taste = ["w" * rng.randint(0, 300) for _ in range(rng.randint(0, 30))], ["T" * rng.randint(0, 300)] * 4, "d" * rng.randint(0, 900)
+        candidate = {"abstract": "a" * rng.randint(0, 4500)}
+        state, size, gone, lost = pack.fixed_state(terms, whys, titles, taste, candidate)
+        best, many = sorted(terms, key=lambda x: (-x[1], x[0]))[:15], len(terms[:15])
+        full = lambda m, r: {"researcher_taste": {"directives": taste[:800] or None, "terms": {t: round(w, 2) for t, w in best[:m]}, "why_lines": [w[:200] for w in whys][:r], "recent_titles": titles[:3]}, "candidate": candidate}  # noqa: B023, E731
+        bytes_of = lambda m, r: len(json.dumps(full(m, r), sort_keys=True).encode())  # noqa: B023, E731
+        while many > 3 and bytes_of(many, len(whys)) > 2500 + 750 + 128:
+            many = max(0, many - 5)
+        reasons = max((r for r in range(len(whys) + 1) if bytes_of(many, r) <= 4096), default=-1)
+        assert (gone, lost, size) == (len(best) - many, len(whys) - max(reasons, 0), bytes_of(many, max(reasons, 0)))
+        assert (state is None) == (reasons < 0) and (state is None or json.loads(state) == json.loads(json.dumps(full(many, reasons))))
+    ranked = pack.priorities([("a", 2.0), ("b", 1.0)], [(4.0, {"title": "C", "why": "w" * 900, "abstract": None})])
+    assert [(p, n) for p, n, _, _ in ranked] == [(1.0, "t:a"), (0.5, "t:b"), (1.0, "c:C")] and len(ranked[2][3]["why"]) == 200
+    state, size = pack.greedy_state(ranked, [], "d" * 900, {"x": 1}, 40, 6000)
+    assert json.loads(state)["researcher_taste"] == {"directives": "d" * 900, "terms": {"a": 2.0, "b": 1.0}, "cards": None, "recent_titles": []} and size == len(state)
+    whole = pack.greedy_state(ranked, [], None, {"x": 1}, 6000, 6000)
+    assert json.loads(whole[0])["researcher_taste"]["cards"] and json.loads(pack.greedy_state(ranked, [], None, {"x": 1}, 6000, whole[1] - 1)[0])["researcher_taste"]["cards"] is None
+    assert pack.greedy_state(ranked, [], None, {"x": "y" * 500}, 6000, 300)[0] is None
     assert one(spark, pack.json_bytes(F.lit('{"b":"é","a":1}'))) == len('{"a": 1, "b": "\\u00e9"}')
 
 
@@ -165,11 +187,14 @@ def test_cited_by_query_is_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((f"doi:10.1/{p}", f"part {p}", ",".join(map(str, c))) for p, c in want.items() if c)
 
 
-def test_parsers():
+def test_parsers(spark):
     assert parsers.latex(r"$\sqrt{\text{iSWAP}}$ gates with \(\alpha_2\) and \beta") == "√(iSWAP) gates with α₂ and β"
     page = "Title\nA. One, B. Two\n1 Department of Physics, University of X,\nBerlin, 12345 Germany\n2 RIKEN, Wako, Japan and\nAbstract\nUniversity of Nowhere"
-    assert parsers.affiliations(page) == ["University of X, Berlin", "RIKEN, Wako"]
-    assert parsers.affiliations("") == []
+    assert one(spark, parsers.affiliations(F.lit(page))) == ["University of X, Berlin", "RIKEN, Wako"]
+    assert one(spark, parsers.affiliations(F.lit(""))) == [] == one(spark, parsers.affiliations(F.lit(None).cast("string")))
+    many = "\n".join(f"{k} University of {c}" for k, c in enumerate("ABCDEF")) + "\nuniversity of  a\n" + "prose " * 20 + "\nInstitute of Nothing"
+    shown, more = parsers.shown_affiliations(parsers.affiliations(F.lit(many)))
+    assert one(spark, shown) == [f"University of {c}" for c in "ABCD"] and one(spark, more) == 2
     assert parsers.frontmatter("---\ntype: paper\n---\nbody")[1] == "body" and parsers.frontmatter("no")[0] is None
 
 
