@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import corpus_pipeline
 from corvane.llm import op4_bpe, op6_quality
-from corvane.llm.common import materialize
+from corvane.llm.common import kept, materialize
+
+LONG = " ".join(f"w{k % 977}x{k % 13}" for k in range(4000))
 
 
 def test_stages(spark, data):
@@ -42,3 +45,47 @@ def test_near_dedup_and_tokens_are_brute_force(spark, data):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, data).select("doc_id").collect()) == sorted(i for i in text if root[i] == i)
     got = op4_bpe.decode(corpus_pipeline.tokens(spark, docs, data), op4_bpe.default_tokenizer()).select("doc_id", "decoded", "n_tokens").collect()
     assert {r["doc_id"]: r["decoded"] for r in got} == text and all(r["n_tokens"] > 0 or not text[r["doc_id"]] for r in got)
+
+
+EDGE = [
+    (1, "The quick brown fox jumps over the lazy dog again and again", "en", "b"), (2, None, None, None), (3, "", "en", "a"), (4, " \n\t ", "de", "a"), (5, "The quick  brown fox jumps over the lazy dog again and again", "en", "b"),
+    (6, LONG, "en", "b"), (7, LONG + " x", "en", None), (7, LONG + " x", "en", None), (8, "é ß 中文 🙂", None, "c"), (None, "no id here at all", "en", "c"), (None, "another one without an id", "en", "c"),
+]
+CLASHING = "doc_id long, text string, lang string, source string, row string, key string, copies int, w string"
+
+
+def _edge(spark, rows=EDGE):
+    return spark.createDataFrame([(*r, "r", "k", 0, "w") for r in rows], CLASHING).repartition(3)
+
+
+def test_stages_on_edge_rows(spark, data):
+    """Nulls, blanks, a long text twice, rows without an id, columns whose names clash: what stays, whole."""
+    docs = _edge(spark)
+    ids = lambda d: sorted(str(r["doc_id"]) for r in d.collect())
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, data).columns == docs.columns
+    judged = ids(corpus_pipeline.quality_rules(spark, docs, data))
+    assert set(judged) <= {"6", "7"}  # all others have fewer than 50 words
+    assert ids(corpus_pipeline.exact_dedup(spark, docs, data)) == sorted(["4", "5", "6", "7", "8", "None", "None"])  # 4 is longer than 2 and 3
+    near = corpus_pipeline.near_dedup(spark, docs, data).collect()
+    assert sorted(str(r["doc_id"]) for r in near) == sorted(["1", "2", "3", "4", "6", "8", "None", "None"])
+    assert all(r["row"] == "r" and r["key"] == "k" and r["copies"] == 0 and r["w"] == "w" for r in near)
+    mixed = corpus_pipeline.source_mix(spark, docs, data).collect()
+    assert {r["doc_id"] for r in mixed} <= {1, 5, 6, 7, 8, None} and any(r["doc_id"] == 6 for r in mixed)
+    got = {(r["doc_id"], r["n_tokens"] > 0) for r in corpus_pipeline.tokens(spark, docs, data).collect()}
+    assert (2, False) in got and (3, False) in got and (6, True) in got
+
+
+def test_stages_on_an_empty_table(spark, data):
+    docs = _edge(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0
+
+
+def test_run_leaves_its_result_only(spark, data):
+    before = set(kept())
+    got = corpus_pipeline.run(spark, data)
+    mine = [p for p in kept() if p not in before]
+    assert len(mine) == 1 and got.count() > 0
+    folder = mine[0].removeprefix("file://")
+    assert not [p for p in os.listdir(os.path.dirname(folder)) if p.startswith("corvane-steps")]
