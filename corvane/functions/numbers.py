@@ -66,6 +66,16 @@ def short_date(ts: Column) -> Column:
     return F.date_format(ts, "MMM d")
 
 
+def iso_timestamp(value: Column) -> Column:
+    """DT-3: an ISO time stamp, with "Z" or an offset or in the session's time zone; null if it isn't one."""
+    return F.trim(value).try_cast("timestamp")
+
+
+def is_sunday(ts: Column) -> Column:
+    """DT-7: the weekly report's day."""
+    return F.weekday(ts) == 6
+
+
 def is_weekend(ts: Column) -> Column:
     """DT-7."""
     return F.weekday(ts) >= 5

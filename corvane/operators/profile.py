@@ -54,6 +54,21 @@ def inlinks(edges: DataFrame, notes: DataFrame) -> DataFrame:
     return notes.join(counts, notes["basename"] == counts["target"], "left").drop("target").withColumn("inlinks", F.coalesce("inlinks", F.lit(0)).cast("long"))
 
 
+def wikilink_edges(notes: DataFrame) -> DataFrame:
+    """JOIN-8: src, target of every link in the bodies of notes (id, body); a target counts once a note."""
+    return notes.select(F.col("id").alias("src"), F.explode(text.wikilinks(F.col("body"))).alias("target"))
+
+
+def note_content(title: Column, body: Column) -> Column:
+    """SET-6: what a note's tokens come from: its title and its body without citation and scaffold lines."""
+    return F.concat_ws("\n", title, text.clean_body(F.coalesce(body, F.lit(""))))
+
+
+def token_set(title: Column, body: Column, stop: tuple[str, ...] = text.STOPWORDS) -> Column:
+    """SET-6: the distinct tokens of title and cleaned body together."""
+    return F.array_union(text.tokens(F.coalesce(title, F.lit("")), stop), text.tokens(text.clean_body(F.coalesce(body, F.lit(""))), stop))
+
+
 def token_counts(notes: DataFrame, content: Column, stop: tuple[str, ...] = text.STOPWORDS) -> DataFrame:
     """id, term, n of every token of a note; counted per note before anything is joined."""
     return notes.select("id", F.explode(text.tokens(content, stop)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))

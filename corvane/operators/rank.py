@@ -182,3 +182,18 @@ def fingerprint(picked: DataFrame) -> DataFrame:
 def run_id(*parts: Column) -> Column:
     """PRJ-14: six hex digits of a run's parts."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 6)
+
+
+def with_authors(picked: DataFrame, items: DataFrame) -> DataFrame:
+    """JOIN-14: picks with their items' authors, by identity; none where the item is gone."""
+    return picked.join(items.select(*keys_of(items), "authors"), keys_of(items), "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+
+
+def mode_line(primary: Column, flag: Column, content: Column, warnings: Column) -> Column:
+    """PRJ-15: how a digest was made; content (null: not enriched) and warnings (an array) follow where there are any."""
+    return F.concat(F.lit("mode: "), primary, F.lit(", "), flag, F.coalesce(F.concat(F.lit(" · content: "), content), F.lit("")), F.when(F.size(warnings) > 0, F.concat(F.lit(" · fetch-warning: "), F.array_join(warnings, "; "))).otherwise(""))
+
+
+def seed(given: Column, feed: Column, day: Column) -> Column:
+    """PRJ-15: the probe's seed: the given one, or the feed's slot ("feeds" where none is named) and the day."""
+    return F.coalesce(F.nullif(given, F.lit("")), F.concat(F.coalesce(F.nullif(feed, F.lit("")), F.lit("feeds")), F.lit(":"), day.cast("string")))

@@ -78,3 +78,8 @@ def cited_by(own: DataFrame, references: DataFrame, known: DataFrame) -> DataFra
     """ER-2: own papers' references (citer, title, arxiv, doi, row) resolved, without what the vault has."""
     mine = references.join(own.select(F.col("title").alias("citer")).distinct(), "citer", "left_semi")
     return resolved(new_works(mine, known))
+
+
+def buckets(authored: DataFrame, cited: DataFrame) -> DataFrame:
+    """SET-7: both buckets of works as one, each row with its kind."""
+    return authored.withColumn("kind", F.lit("authored")).unionByName(cited.withColumn("kind", F.lit("cited")))

@@ -87,3 +87,13 @@ def by_rating(proposals: DataFrame) -> DataFrame:
 def roster_hits(picks: DataFrame) -> DataFrame:
     """AGG-21."""
     return picks.agg(F.count_if(F.size("hits") > 0).alias("hits"))
+
+
+def posted(rows: DataFrame, yes: bool = True) -> DataFrame:
+    """FLT-14: candidates that were posted, or weren't; a null counts as not posted."""
+    return rows.where(F.coalesce("posted", F.lit(False)) == yes)
+
+
+def rescued(rows: DataFrame) -> DataFrame:
+    """FLT-14: posted candidates that the model lifted from another pool."""
+    return posted(rows).where("rescued IS NOT NULL")

@@ -92,6 +92,13 @@ def with_content(items: DataFrame, cache: DataFrame) -> DataFrame:
     return got.withColumn("missed", F.col("conclusions").isNull())
 
 
+def bound(candidates: DataFrame, receipts: DataFrame) -> DataFrame:
+    """JOIN-15: candidates with the receipt of their call (run_id, id), the last where a call was repeated; none where it failed."""
+    rest = [c for c in receipts.columns if c not in ("run_id", "id")]
+    last = receipts.groupBy("run_id", "id").agg(F.max_by(F.struct(*rest), "pos").alias("receipt"))
+    return candidates.join(last, ["run_id", "id"], "left")
+
+
 def unrated(notes: DataFrame, proposals: DataFrame) -> DataFrame:
     """FLT-15, MDL-9: notes with an id, without a rating and without a proposal."""
     return notes.where("rating IS NULL AND arxiv IS NOT NULL").join(proposals.select("arxiv"), "arxiv", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import numbers, parsers, text
 from corvane.operators import calibrate, labels, pack, profile, rank, resolve, review, scorer
-from corvane.sources import files, sinks
+from corvane.sources import connectors, files, sinks
 
 from . import views
 from .views import table, with_views
@@ -604,9 +604,13 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.array_join(text.split_names(F.concat(F.lit("Ann Lee, "), "lang", F.lit(", and "), "source")), "|").alias("names"))
 
 
-@query("str_05_ids", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(html, 'href=')) AS links FROM pages")
+@query("str_05_ids", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2601.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN 'quant-ph/' || lpad(CAST(doc_id % 10000000 AS VARCHAR), 7, '0') WHEN 2 THEN '2602.' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') END AS id FROM documents")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.size(F.regexp_extract_all("html", F.lit("href="), F.lit(0))).cast("long").alias("links"))
+    """Ids after a mark or in a link, amid whole texts without digits; numbers alone are none."""
+    k, pad = F.col("doc_id"), lambda n: F.lpad((F.col("doc_id") % 10**n).cast("string"), n, "0")
+    said = F.when(k % 4 == 0, F.concat(F.lit(" arXiv:2601."), pad(5))).when(k % 4 == 1, F.concat(F.lit(" https://arxiv.org/abs/Quant-PH/"), pad(7), F.lit("v2"))).when(k % 4 == 2, F.concat(F.lit(" ARXIV 2602."), pad(4), F.lit(" arXiv:2603.00001"))).otherwise(F.concat(F.lit(" 2601."), pad(5)))
+    prose = F.regexp_replace(F.coalesce("text", F.lit("")), "(?i)[0-9]|arxiv|abs/", "x")
+    return _docs(s, d).select("doc_id", text.arxiv_in(F.concat(prose, said, F.lit(" "), prose)).alias("id"))
 
 
 @query("str_06_arxiv", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '2601.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') ELSE 'Other ' || doc_id END AS id FROM documents")
@@ -691,9 +695,9 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.conclusions_section(t).alias("conclusions"))
 
 
-@query("str_17_affiliations", "SELECT doc_id, 'University of ' || source || '|RIKEN, Wako|Academy of ' || lang || '|CNRS' AS a, 1::BIGINT AS more FROM documents")
+@query("str_17_affiliations", "SELECT doc_id, 'University of ' || lang || '|RIKEN, Wako|Academy of ' || lang || '|CNRS' AS a, 1::BIGINT AS more FROM documents")
 def _(s, d):
-    page = F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "source", F.lit(", Germany\n2 RIKEN,\nWako, Japan and\n* riken,  Wako\n3 Academy of "), "lang", F.lit("\n4 CNRS\n5 National Centre\nAbstract\n"), "text")
+    page = F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "lang", F.lit(", Germany\n2 RIKEN,\nWako, Japan and\n* riken,  Wako\n3 Academy of "), "lang", F.lit("\n4 CNRS\n5 National Centre\nAbstract\n"), "text")
     shown, more = parsers.shown_affiliations(parsers.affiliations(page))
     return _docs(s, d).select("doc_id", F.array_join(shown, "|").alias("a"), more.cast("long").alias("more"))
 
@@ -908,3 +912,110 @@ def _(s, d):
     x = _docs(s, d)
     n = x.select(F.col("doc_id").alias("arxiv"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("arXiv:"), F.col("doc_id").cast("string"))).otherwise("kept").alias("title"))
     return sinks.repaired_titles(n, x.select(F.col("doc_id").alias("arxiv"), F.col("lang").alias("title")))
+
+
+# --- remote pages, small joins ----------------------------------------------------------------------------------------
+
+
+def _page(body) -> list:
+    return [body.alias("body"), F.lit(None).cast("string").alias("error")]
+
+
+def _threads(s: SparkSession, d: str) -> DataFrame:
+    """A page a conversation: its turns as a thread's messages, the last one by a bot."""
+    c = table(s, d, "conversations").withColumn("ts", F.concat("conv_id", F.lit("."), "turn"))
+    m = F.struct("ts", F.col("role").alias("user"), F.when(F.col("role") == "system", "B").alias("bot_id"), "text", "turn")
+    return c.groupBy(F.col("conv_id").cast("string").alias("request")).agg(F.collect_list(m).alias("messages")).select("request", *_page(F.to_json(F.struct("messages"))))
+
+
+@query("src_18_messages", "SELECT conv_id::VARCHAR AS request, conv_id || '.' || turn AS ts, role AS user, CASE WHEN role = 'system' THEN 'B' END AS bot_id, md5(text) AS text FROM conversations")
+def _(s, d):
+    return connectors.messages(_threads(s, d)).select("request", "ts", "user", "bot_id", F.md5("text").alias("text"))
+
+
+@query("src_19_replies", "SELECT conv_id::VARCHAR AS parent, conv_id || '.' || turn AS ts FROM conversations WHERE turn <> 0")
+def _(s, d):
+    return connectors.replies(_threads(s, d), F.concat("request", F.lit(".0"))).select(F.col("request").alias("parent"), "ts")
+
+
+@query("src_19_reactions", "SELECT event_id::VARCHAR AS request, event_type AS name, user_id::VARCHAR AS user FROM events WHERE event_id % 3 > 0")
+def _(s, d):
+    """Every third message has no reactions, and every hundredth page came as an error."""
+    r = F.when(F.col("event_id") % 3 > 0, F.array(F.struct(F.col("event_type").alias("name"), F.array(F.col("user_id").cast("string")).alias("users"))))
+    pages = table(s, d, "events").select(F.col("event_id").cast("string").alias("request"), *_page(F.to_json(F.struct(F.struct(r.alias("reactions")).alias("message")))))
+    got = connectors.reactions(pages.unionByName(pages.limit(5).select("request", "body", F.lit("timeout").alias("error"))))
+    return got.select("request", F.explode("reactions").alias("r")).select("request", "r.name", F.explode("r.users").alias("user"))
+
+
+@query("src_20_metadata", "SELECT '2601.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS arxiv, lang || ' ' || source AS title, CASE WHEN doc_id % 3 > 0 THEN 'about ' || source END AS abstract FROM documents WHERE doc_id % 5 > 0")
+def _(s, d):
+    """Entries without a title have no row; a page that isn't XML has none."""
+    k = F.col("doc_id")
+    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2601."), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("v2</id><title>"), F.when(k % 5 > 0, F.concat("lang", F.lit("\n   "), "source")).otherwise(""), F.lit("</title><summary>"), F.when(k % 3 > 0, F.concat(F.lit(" about\n "), "source")).otherwise(" "), F.lit("</summary></entry>"))
+    pages = _docs(s, d).select(F.lit("r").alias("request"), *_page(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), entry, F.lit("</feed>"))))
+    return connectors.metadata(pages.unionByName(pages.limit(1).withColumn("body", F.lit("<feed"))))
+
+
+@query("src_21_works", "SELECT l_orderkey::VARCHAR AS request, 'part ' || l_partkey AS title, '10.1/' || l_partkey AS doi, 'S' || l_suppkey AS authors FROM lineitem")
+def _(s, d):
+    paper = F.struct(F.concat(F.lit("part "), "l_partkey").alias("title"), F.struct(F.concat(F.lit("10.1/"), "l_partkey").alias("DOI")).alias("externalIds"), F.array(F.struct(F.concat(F.lit("S"), "l_suppkey").alias("name"))).alias("authors"))
+    pages = table(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("request")).agg(F.collect_list(F.struct(paper.alias("citedPaper"))).alias("data"))
+    return connectors.works(pages.select("request", *_page(F.to_json(F.struct("data"))))).select("request", "title", "doi", F.array_join("authors", ",").alias("authors"))
+
+
+@query("join_14_pick_authors", "SELECT doc_id AS id, source, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS authors FROM documents WHERE doc_id % 3 = 0")
+def _(s, d):
+    i = _docs(s, d).select(F.col("doc_id").alias("id"), "source", F.array("lang").alias("authors"))
+    return rank.with_authors(i.where("id % 3 = 0").select("id", "source"), i.where("id % 2 = 0")).select("id", "source", F.array_join("authors", ",").alias("authors"))
+
+
+@query("join_15_bound_receipts", "SELECT j.pos, coalesce(l.pos, -1) AS receipt_pos, coalesce(l.primitive, 'none') AS primitive FROM journal j LEFT JOIN latest l ON l.run = j.run AND l.paper = j.paper", "journal latest")
+def _(s, d):
+    named = lambda x: x.withColumnsRenamed({"run": "run_id", "paper": "id"})
+    c = named(views.journal(s, d).select("run", "paper", F.col("pos").alias("at")))
+    return scorer.bound(c, named(views.receipts(s, d))).select(F.col("at").alias("pos"), F.coalesce("receipt.pos", F.lit(-1)).alias("receipt_pos"), F.coalesce("receipt.primitive", F.lit("none")).alias("primitive"))
+
+
+@query("set_06_token_set", "SELECT id, count(DISTINCT term) AS n FROM (SELECT id, term FROM tok UNION SELECT id, lang FROM notes WHERE length(lang) >= 3) GROUP BY 1", "tok")
+def _(s, d):
+    """Titles add their own tokens; the bodies are joined to one line, so that no line is left out as a citation."""
+    n = views.notes(s, d)
+    got = n.select("id", profile.token_set(F.col("lang"), F.concat(F.lit("x "), F.regexp_replace("text", r"\s+", " ")), ()).alias("t"))
+    return got.where("size(t) > 0").select("id", F.size("t").cast("long").alias("n"))
+
+
+@query("set_07_buckets", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'authored' ELSE 'cited' END AS kind FROM documents")
+def _(s, d):
+    x = _docs(s, d).select("doc_id")
+    return resolve.buckets(x.where("doc_id % 2 = 0"), x.where("doc_id % 2 = 1"))
+
+
+@query("prj_15_mode_line", "SELECT doc_id, 'mode: ' || lang || ', ' || source || CASE WHEN doc_id % 2 = 0 THEN ' · content: finalists' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' · fetch-warning: a; ' || lang ELSE '' END AS line, CASE doc_id % 4 WHEN 0 THEN 's' || doc_id WHEN 1 THEN lang || ':2026-01-02' ELSE 'feeds:2026-01-02' END AS seed FROM documents")
+def _(s, d):
+    k = F.col("doc_id")
+    line = rank.mode_line(F.col("lang"), F.col("source"), F.when(k % 2 == 0, "finalists"), F.when(k % 3 == 0, F.array(F.lit("a"), "lang")).otherwise(F.array().cast("array<string>")))
+    return _docs(s, d).select("doc_id", line.alias("line"), rank.seed(F.when(k % 4 == 0, F.concat(F.lit("s"), k.cast("string"))).when(k % 4 == 1, ""), F.when(k % 4 == 1, F.col("lang")).when(k % 4 == 2, ""), F.lit("2026-01-02").cast("date")).alias("seed"))
+
+
+@query("flt_14_posted", "SELECT pos, posted FROM journal WHERE posted AND pos % 3 = 0 UNION ALL SELECT pos, posted FROM journal WHERE NOT posted", "journal")
+def _(s, d):
+    j = views.journal(s, d).withColumn("rescued", F.when(F.col("pos") % 3 == 0, "probe"))
+    return review.rescued(j).select("pos", "posted").unionByName(review.posted(j, False).select("pos", "posted"))
+
+
+@query("dt_03_iso", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN floor(epoch(ts))::BIGINT ELSE -1 END AS seconds, isodow(ts) = 7 AS sunday FROM events")
+def _(s, d):
+    """With Z, with an offset of an hour, and not a time stamp."""
+    k = F.col("event_id") % 3
+    z = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    hour = F.concat(F.lit(" "), F.date_format(F.col("ts") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00"))
+    return table(s, d, "events").select("event_id", F.coalesce(F.unix_timestamp(numbers.iso_timestamp(F.when(k == 0, z).when(k == 1, hour).otherwise("soon"))), F.lit(-1)).alias("seconds"), numbers.is_sunday(F.col("ts")).alias("sunday"))
+
+
+@query("join_08_wikilinks", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents) THEN 1 ELSE 0 END::BIGINT AS inlinks FROM documents")
+def _(s, d):
+    """Each odd document links the even one before it, twice and by another name too; links to itself don't exist."""
+    k = F.col("doc_id")
+    link = F.concat(F.lit("see [[d"), (k - 1).cast("string"), F.lit("|x]] and [[d"), (k - 1).cast("string"), F.lit("#part]] or [[none]]"))
+    n = _docs(s, d).select(k.alias("id"), F.concat(F.lit("d"), k.cast("string")).alias("basename"), F.when(k % 2 == 1, link).otherwise("no link").alias("body"))
+    return profile.inlinks(profile.wikilink_edges(n), n).select("id", "inlinks")

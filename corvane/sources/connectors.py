@@ -7,10 +7,15 @@ tests pass a function over fixtures and deployments one that calls the service.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Transport = Callable[[str], str]
@@ -85,3 +90,56 @@ def chunked_ids(ids: list[str], size: int = 50) -> list[str]:
 def reference_pages(start: str, page: dict) -> str | None:
     """SRC-21: the request for the next page of references."""
     return f"{start.split('&offset=')[0]}&offset={page['next']}" if page.get("next") is not None else None
+
+
+def _parsed(pages: DataFrame, schema: str) -> DataFrame:
+    """request and the parsed body of every page that came; one that isn't JSON has no rows."""
+    return pages.where("error IS NULL").select("request", F.from_json("body", schema).alias("b")).where("b IS NOT NULL")
+
+
+_MESSAGE = "struct<ts: string, thread_ts: string, user: string, bot_id: string, subtype: string, text: string>"
+
+
+def messages(pages: DataFrame) -> DataFrame:
+    """SRC-18: request, ts, thread_ts, user, bot_id, subtype, text of every message of a channel's history."""
+    return _parsed(pages, f"messages array<{_MESSAGE}>").select("request", F.explode("b.messages").alias("m")).select("request", "m.*")
+
+
+def replies(pages: DataFrame, parent: Column) -> DataFrame:
+    """SRC-19: the messages of threads without the parent; parent: its ts, from the request."""
+    return messages(pages).withColumn("parent", parent).where("ts <> parent")
+
+
+def reactions(pages: DataFrame) -> DataFrame:
+    """SRC-19: request and the array of (name, users) of a message's reactions."""
+    return _parsed(pages, "message struct<reactions: array<struct<name: string, users: array<string>>>>").select("request", F.coalesce("b.message.reactions", F.array().cast("array<struct<name:string,users:array<string>>>")).alias("reactions"))
+
+
+_ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("arxiv", "title", "abstract")])
+
+
+@F.pandas_udf(T.ArrayType(_ENTRY))
+def _entries(bodies: pd.Series) -> pd.Series:
+    ns = "{http://www.w3.org/2005/Atom}"
+
+    def one(body: str | None) -> list[dict]:
+        try:
+            root = ElementTree.fromstring(body or "")
+        except ElementTree.ParseError:
+            return []
+        text = lambda e, tag: " ".join((e.findtext(ns + tag) or "").split())
+        return [{"arxiv": re.sub(r"v.*", "", text(e, "id").rpartition("abs/")[2]), "title": text(e, "title"), "abstract": text(e, "summary") or None} for e in root.iter(ns + "entry")]
+
+    return bodies.map(one)
+
+
+def metadata(pages: DataFrame) -> DataFrame:
+    """SRC-20: arxiv, title, abstract of the entries of Atom pages; entries without id or title, and pages that don't parse, give none."""
+    return pages.where("error IS NULL").select(F.explode(_entries("body")).alias("e")).select("e.*").where("arxiv <> '' AND title <> ''")
+
+
+def works(pages: DataFrame) -> DataFrame:
+    """SRC-21: request, title, arxiv, doi, authors of every work that pages of references cite."""
+    paper = "struct<title: string, externalIds: struct<ArXiv: string, DOI: string>, authors: array<struct<name: string>>>"
+    got = _parsed(pages, f"data array<struct<citedPaper: {paper}>>").select("request", F.explode("b.data.citedPaper").alias("w")).where("w IS NOT NULL")
+    return got.select("request", "w.title", F.col("w.externalIds.ArXiv").alias("arxiv"), F.col("w.externalIds.DOI").alias("doi"), F.array_compact(F.col("w.authors.name")).alias("authors"))

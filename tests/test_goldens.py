@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,10 +263,18 @@ def test_sinks(spark, tmp_path):
     assert sinks.append_labels(rows, spark.read.parquet(str(tmp_path / "l")), str(tmp_path / "l")) == 0
 
 
-def test_registry_without_training_operators():
+def test_registry_without_training_operators(tmp_path):
+    """A copy of the repository without the operators' folder and the pipeline file still registers all the rest."""
     import __spark_entry__
 
     assert "rank_01_digest" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    root = pathlib.Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "corvane", tmp_path / "corvane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120, check=False)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) > 130
 
 
 def test_streams(spark, tmp_path):
