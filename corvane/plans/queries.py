@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane import storage
 from corvane.functions import numbers, parsers, text
 from corvane.operators import calibrate, labels, pack, profile, rank, resolve, review, scorer
 from corvane.sources import connectors, files, sinks
@@ -1019,3 +1020,142 @@ def _(s, d):
     link = F.concat(F.lit("see [[d"), (k - 1).cast("string"), F.lit("|x]] and [[d"), (k - 1).cast("string"), F.lit("#part]] or [[none]]"))
     n = _docs(s, d).select(k.alias("id"), F.concat(F.lit("d"), k.cast("string")).alias("basename"), F.when(k % 2 == 1, link).otherwise("no link").alias("body"))
     return profile.inlinks(profile.wikilink_edges(n), n).select("id", "inlinks")
+
+
+# --- files: written to the shared folder from the bundled tables, read back by the readers ---------------------------
+
+
+def _written(rows: DataFrame, form: str = "text", **options) -> str:
+    path = storage.folder(rows.sparkSession)
+    rows.write.format(form).options(**options).save(path)
+    return path
+
+
+def _feed(items: DataFrame) -> str:
+    """An RSS feed of documents; every fifth one's link names no paper."""
+    k = F.col("doc_id")
+    link = F.concat(F.lit("http://arxiv.org/"), F.when(k % 5 > 0, F.concat(F.lit("abs/2601."), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("v1"))).otherwise("help"))
+    rows = items.select(F.concat("lang", F.lit("\n   "), "source").alias("title"), link.alias("link"), F.concat(F.lit("<p>about &amp; "), "source", F.lit("</p>")).alias("description"), F.concat(F.lit("A "), "lang", F.lit(", C D")).alias("creator"))
+    return _written(rows, "xml", rowTag="item", rootTag="rss")
+
+
+@query("src_01_rss", "SELECT '2601.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS id, lang || ' ' || source AS title, 'about & ' || source AS abstract, 'A ' || lang || ';C D' AS authors FROM documents WHERE doc_id % 5 > 0")
+def _(s, d):
+    return files.rss(s, _feed(_docs(s, d)), "q").select("id", "title", "abstract", F.array_join("authors", ";").alias("authors"))
+
+
+@query("src_04_feeds", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS feed, count(*) AS items FROM documents WHERE doc_id % 5 > 0 GROUP BY 1 UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'gone', 0")
+def _(s, d):
+    """A feed without papers and one that can't be read don't keep the others from being read."""
+    x = _docs(s, d)
+    paths = {"even": _feed(x.where("doc_id % 2 = 0")), "empty": _feed(x.where("doc_id % 5 = 0")), "gone": storage.folder(s), "odd": _feed(x.where("doc_id % 2 = 1"))}
+    return files.feed_health(files.feeds(s, paths), list(paths))
+
+
+def _note_files(rows: DataFrame) -> str:
+    """A file for each row of one text column."""
+    return _written(rows, maxRecordsPerFile=1)
+
+
+def _as_notes(s: SparkSession, d: str) -> list[str]:
+    """Two roots: a note a nation with fields, a note a region without."""
+    n = table(s, d, "nation").select(F.concat(F.lit("---\ntype: nation\nname: "), "n_name", F.lit("\nrating: "), F.col("n_regionkey").cast("string"), F.lit("\n---\nof "), F.col("n_regionkey").cast("string")))
+    r = table(s, d, "region").select(F.concat(F.lit("no fields: "), "r_name"))
+    return [_note_files(n), _note_files(r)]
+
+
+@query("src_05_notes", "SELECT 0 AS root, 'nation' AS type, n_name AS name, 'of ' || n_regionkey || chr(10) AS body FROM nation UNION ALL SELECT 2, NULL, NULL, 'no fields: ' || r_name || chr(10) FROM region")
+def _(s, d):
+    """The root between the two isn't there."""
+    n, r = _as_notes(s, d)
+    return files.notes(s, n, storage.folder(s), r, glob="*.txt").select(F.col("root_pos").alias("root"), files.note_field("type").alias("type"), files.note_field("name").alias("name"), "body")
+
+
+@query("src_07_directives", "SELECT 'be brief' AS body, 'R,S' AS labs, '' AS topics")
+def _(s, d):
+    """An unrelated note, then two roots with directives: the first of them counts."""
+    found = [_note_files(s.range(1).select(F.lit(f"---\ntype: directives\nlabs: {labs}\n---\n be brief "))) for labs in ("[R, S]", "[T]")]
+    return files.directives(s, _as_notes(s, d)[0], *found, glob="*.txt").select(F.regexp_replace("body", r"\s+$", "").alias("body"), F.array_join("labs", ",").alias("labs"), F.array_join("topics", ",").alias("topics"))
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    c = F.struct(F.col("paper").cast("string").alias("arxiv"), F.col("lexical").alias("lexical_score"), "posted", F.col("top").alias("title"))
+    return views.journal(s, d).groupBy(F.when(F.dayofmonth("run") % 2 == 0, "main").otherwise("side").alias("lane"), F.col("run").cast("string").alias("run_id")).agg(F.collect_list(c).alias("candidates"))
+
+
+@query("src_08_journal", "SELECT CASE WHEN day(run) % 2 = 0 THEN 'main' ELSE 'side' END AS lane, run::VARCHAR AS run_id, paper::VARCHAR AS arxiv, lexical, posted FROM journal", "journal")
+def _(s, d):
+    """SNK-1 in two appends, SRC-8; a line that isn't JSON is left out."""
+    path, runs = storage.folder(s), _runs(s, d)
+    sinks.append_log(runs.where("lane = 'main'"), path)
+    sinks.append_log(runs.where("lane = 'side'"), path)
+    s.range(1).select(F.lit('{"run_id": "cut').alias("value"), F.lit("side").alias("lane")).write.mode("append").partitionBy("lane").text(path)
+    return files.journal(s, path).select("lane", "run_id", F.explode("candidates").alias("c")).select("lane", "run_id", "c.arxiv", F.col("c.lexical_score").alias("lexical"), "c.posted")
+
+
+@query("src_09_receipts", "SELECT 'main' AS lane, paper::VARCHAR AS paper, run::VARCHAR AS run, primitive, CASE WHEN pos % 3 = 0 THEN -1 ELSE p END::DOUBLE AS p FROM receipts", "receipts")
+def _(s, d):
+    """SNK-2, SRC-9: every third answer is an error."""
+    r = views.receipts(s, d)
+    told = F.when(F.col("pos") % 3 == 0, F.create_map(F.lit("error"), F.lit("outage"))).otherwise(F.create_map(F.lit("true"), F.col("p").cast("string")))
+    rows = r.select(F.lit("main").alias("lane"), F.col("paper").cast("string").alias("candidate_arxiv"), F.col("run").cast("string").alias("run_id"), F.to_timestamp("run").alias("ts"), "primitive", F.lit(10).alias("state_bytes"),
+                    told.alias("distribution"), F.lit(0.5).alias("confidence"), F.lit(1).alias("latency_ms"), F.lit("m").alias("model_version"))
+    path = storage.folder(s)
+    sinks.append_receipts(rows, path)
+    return files.receipts(s, path).select("lane", F.col("candidate_arxiv").alias("paper"), F.col("run_id").alias("run"), "primitive", F.coalesce(F.col("distribution")["true"], F.lit(-1.0)).alias("p"))
+
+
+@query("src_10_ledger", "SELECT 'main' AS lane, paper::VARCHAR AS arxiv_id, label_type FROM ledger", "ledger")
+def _(s, d):
+    rows = views.ledger(s, d).select(F.lit("main").alias("lane"), F.col("paper").cast("string").alias("arxiv_id"), "label_type", F.lit("cli-keep").alias("source"))
+    path = storage.folder(s)
+    sinks.append_log(rows, path)
+    return files.ledger(s, path).select("lane", "arxiv_id", "label_type")
+
+
+@query("src_11_posted", "SELECT row_number() OVER (ORDER BY odd, doc_id) - 1 AS pos, doc_id::VARCHAR AS id FROM (SELECT doc_id, doc_id % 2 AS odd FROM documents ORDER BY 2 DESC, 1 DESC LIMIT 2000)")
+def _(s, d):
+    """SNK-4, SRC-11: even documents' ids were posted, all are posted now; the state keeps the newest 2000."""
+    x = _docs(s, d).select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"))
+    path = storage.folder(s)
+    old = x.where("pos % 2 = 0")
+    sinks.write_posted(labels.posted_append(old.limit(0), old), path, 0, "2026-01-01T00:00:00Z")
+    sinks.write_posted(labels.posted_append(old, x), path, 1, "2026-01-02T00:00:00Z")
+    return files.posted(s, path).select(F.col("pos").cast("long").alias("pos"), "id")
+
+
+@query("src_12_sections", "SELECT '2601.' || n_nationkey AS arxiv, n_name AS abstract, 'ends ' || n_regionkey AS conclusions FROM nation WHERE n_nationkey % 5 > 0")
+def _(s, d):
+    """A file for each paper; one without an id has no row."""
+    arxiv = F.when(F.col("n_nationkey") % 5 > 0, F.concat(F.lit("2601."), F.col("n_nationkey").cast("string")))
+    rows = table(s, d, "nation").select(arxiv.alias("arxiv"), F.col("n_name").alias("abstract"), F.concat(F.lit("ends "), F.col("n_regionkey").cast("string")).alias("conclusions"))
+    return files.sections(s, _written(rows, "json", maxRecordsPerFile=1)).select("arxiv", "abstract", "conclusions")
+
+
+@query("src_16_bibtex", "SELECT 'article' AS kind, p_name || ' ' || p_partkey AS title, 'Doe, J,Roe ' || p_size AS authors, CASE WHEN p_partkey % 2 = 0 THEN '2601.' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') END AS arxiv, CASE WHEN p_partkey % 2 = 1 THEN '10.1000/p' || p_partkey END AS doi FROM part WHERE p_partkey % 7 > 0")
+def _(s, d):
+    """Entries of one part each; every seventh has no title."""
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    title = F.when(k % 7 > 0, F.concat(F.lit("  title = {"), "p_name", F.lit(" {"), key, F.lit("}},\n"))).otherwise("")
+    ident = F.when(k % 2 == 0, F.concat(F.lit("  eprint = {2601."), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("}\n}"))).otherwise(F.concat(F.lit('  doi = "https://doi.org/10.1000/p'), key, F.lit('"\n}')))
+    rows = table(s, d, "part").select(F.concat(F.lit("@Article{p"), key, F.lit(",\n"), title, F.lit("  author = {Doe, J and Roe "), F.col("p_size").cast("string"), F.lit("},\n"), ident))
+    return files.bibtex(s, _written(rows)).select("kind", "title", F.array_join("authors", ",").alias("authors"), "arxiv", "doi")
+
+
+@query("src_23_proposals", "SELECT '2601.' || n_nationkey AS arxiv, n_name AS rating, n_nationkey / 32.0::DOUBLE AS confidence FROM nation")
+def _(s, d):
+    p = F.struct(F.col("n_name").alias("rating"), (F.col("n_nationkey") / 32).alias("confidence"))
+    whole = table(s, d, "nation").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("2601."), F.col("n_nationkey").cast("string")), p))).alias("m"))
+    return files.proposals(s, _written(whole.select(F.to_json("m")).coalesce(1))).select("arxiv", "rating", "confidence")
+
+
+@query("src_25_users", "SELECT 'U' || n_nationkey AS user, n_name AS name FROM nation")
+def _(s, d):
+    whole = table(s, d, "nation").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("U"), F.col("n_nationkey").cast("string")), "n_name"))).alias("m"))
+    return files.users(s, _written(whole.select(F.to_json("m")).coalesce(1)))
+
+
+@query("snk_07_digest", "SELECT '*arXiv q picks for 2026-01-02* (' || count(*) || ')' || chr(10) || '_m_' || chr(10) || string_agg((n_nationkey + 1) || '. <http://arxiv.org/abs/' || n_nationkey || '|' || n_name || '>' || chr(10) || '   _why:_ ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS value FROM nation")
+def _(s, d):
+    p = table(s, d, "nation").select((F.col("n_nationkey") + 1).alias("place"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("string").alias("why"))
+    return sinks.digest_text(p, "2026-01-02", "q", "m")

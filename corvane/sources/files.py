@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tomllib
+import warnings
 from dataclasses import dataclass, field, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +16,51 @@ from corvane.functions import numbers, parsers, text
 
 def rss(spark: SparkSession, path: str, feed: str, feed_pos: int = 0) -> DataFrame:
     """SRC-1: a feed's items; malformed XML gives no rows."""
-    raw = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").schema("title string, link string, description string, `dc:creator` string").load(path)
+    raw = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").option("ignoreNamespace", "true").schema("title string, link string, description string, creator string").load(path)
     clean = lambda c: text.collapse(text.strip_tags(parsers.unescape(F.col(c))))
     rows = raw.select(F.lit("arxiv").alias("source"), text.arxiv_in(F.col("link")).alias("id"), clean("title").alias("title"), F.substring(clean("description"), 1, 2000).alias("abstract"),
-                      text.split_names(F.coalesce("dc:creator", F.lit(""))).alias("authors"), F.lit(feed).alias("feed"), F.lit(feed_pos).alias("feed_pos"), F.monotonically_increasing_id().alias("item_pos"))
+                      text.split_names(F.coalesce("creator", F.lit(""))).alias("authors"), F.lit(feed).alias("feed"), F.lit(feed_pos).alias("feed_pos"), F.monotonically_increasing_id().alias("item_pos"))
     return rows.where("id IS NOT NULL")
 
 
 def feeds(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
-    """SRC-3, 4: all feeds' items (name: path); no feed is an error."""
+    """SRC-3, 4: all feeds' items (name: path); no feed is an error, a feed that isn't there has no items."""
     if not sources:
         raise ValueError("no feed is configured")
-    parts = [rss(spark, path, name, k) for k, (name, path) in enumerate(sources.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = spark.createDataFrame([], schemas.FEED_ITEM.replace("item_pos int", "item_pos bigint"))
+    for k, (name, path) in enumerate(sources.items()):
+        try:
+            out = out.unionByName(rss(spark, path, name, k))
+        except AnalysisException as e:
+            warnings.warn(f"feed {name}: {e.getCondition()}", stacklevel=2)
     return out
 
 
-def notes(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-5, 6: Markdown notes under a root: file, basename, mtime, fields (JSON or null) and body."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    parsed = raw.select(F.col("path").alias("file"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("basename"), F.col("modificationTime").alias("mtime"), parsers.parse_frontmatter(F.decode("content", "UTF-8")).alias("p"))
+def feed_health(items: DataFrame, names: list[str]) -> DataFrame:
+    """SRC-4: feed and its items' number for every configured feed; 0 signals an outage."""
+    asked = items.sparkSession.createDataFrame([(n,) for n in names], "feed string")
+    return asked.join(items.groupBy("feed").agg(F.count(F.lit(1)).alias("n")), "feed", "left").select("feed", F.coalesce("n", F.lit(0)).alias("items"))
+
+
+def notes(spark: SparkSession, *roots: str, glob: str = "*.md") -> DataFrame:
+    """SRC-5, 6, SRT-9: Markdown notes under roots, with the root's place; a root that isn't there is warned of.
+
+    Readers that need an order sort by (root_pos, file).
+    """
+    out = spark.createDataFrame([], "file string, basename string, mtime timestamp, fields string, body string, root_pos int")
+    for k, root in enumerate(roots):
+        try:
+            raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        except AnalysisException as e:
+            warnings.warn(f"root {root}: {e.getCondition()}", stacklevel=2)
+            continue
+        out = out.unionByName(parsed_notes(raw).withColumn("root_pos", F.lit(k)))
+    return out
+
+
+def parsed_notes(raw: DataFrame) -> DataFrame:
+    """SRC-6: file, basename, mtime, fields (JSON or null) and body of files with path, modificationTime and content."""
+    parsed = raw.select(F.col("path").alias("file"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("basename"), F.col("modificationTime").alias("mtime"), parsers.parse_frontmatter(F.decode("content", "UTF-8")).alias("p"))
     return parsed.select("file", "basename", "mtime", F.col("p.fields").alias("fields"), F.col("p.body").alias("body"))
 
 
@@ -44,17 +69,22 @@ def note_field(name: str) -> Column:
     return F.get_json_object("fields", f"$.{name}")
 
 
-def directives(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: the directives note as lists and a body; an unrelated note gives no row."""
-    rows = notes(spark, path)
+def directives(spark: SparkSession, *paths: str, glob: str = "*.md") -> DataFrame:
+    """SRC-7: the directives note as lists and a body, from the first path that has one; an unrelated note gives no row."""
+    rows = notes(spark, *paths, glob=glob)
     lists = [F.coalesce(F.from_json(note_field(c), "array<string>"), F.array().cast("array<string>")).alias(c) for c in ("labs", "companies", "topics", "authors")]
-    return rows.where(F.coalesce(note_field("type"), F.lit("directives")) == "directives").select(F.trim("body").alias("body"), *lists)
+    mine = rows.where(F.coalesce(note_field("type"), F.lit("directives")) == "directives")
+    return mine.orderBy("root_pos", "file").limit(1).select(F.trim("body").alias("body"), *lists)
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log's rows with the file's line order; lines that don't parse are left out."""
-    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).alias("line_no"))
-    return raw.select(F.from_json("value", schema).alias("r"), "line_no").where("r IS NOT NULL").select("r.*", "line_no")
+    raw = spark.read.text(path)
+    # a log that a folder a lane holds has the lane in its path
+    lane = [F.col("lane").alias("folder")] if "lane" in raw.columns else [F.lit(None).cast("string").alias("folder")]
+    raw = raw.select("value", *lane, F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).alias("line_no"))
+    rows = raw.where("get_json_object(value, '$') IS NOT NULL").select(F.from_json("value", schema).alias("r"), "folder", "line_no")
+    return rows.select("r.*", "folder", "line_no").withColumn("lane", F.coalesce("lane", "folder")).drop("folder")
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +108,11 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def posted(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-11: id and pos of the posted state."""
-    return spark.read.option("multiLine", "true").schema(schemas.POSTED).json(path).select(F.posexplode("posted").alias("pos", "id"), "updated")
+    """SRC-11: id and pos of the posted state: of a file, or of the newest version that sinks.write_posted has left."""
+    raw = spark.read.option("multiLine", "true").schema(schemas.POSTED).json(path)
+    if "v" in raw.columns:
+        raw = raw.agg(F.max_by(F.struct("posted", "updated"), "v").alias("s")).select("s.*")
+    return raw.select(F.posexplode("posted").alias("pos", "id"), "updated")
 
 
 def sections(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +122,7 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
 
 def library(spark: SparkSession, path: str) -> DataFrame:
     """SRC-13: texts by id, from files named arxiv-<id>.txt."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "arxiv-*.txt").text(path)
+    raw = spark.read.option("pathGlobFilter", "arxiv-*.txt").text(path, wholetext=True)
     return raw.select(F.regexp_extract("_metadata.file_path", r"arxiv-(.+)\.txt$", 1).alias("arxiv"), F.col("value").alias("text"))
 
 
@@ -114,7 +147,7 @@ def pdfs(spark: SparkSession, path: str, extract) -> DataFrame:
 
 def bibtex(spark: SparkSession, path: str) -> DataFrame:
     """SRC-15, 16, STR-18: kind, title, authors, arxiv and doi of every titled entry."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return bibtex_entries(whole)
 
 
@@ -134,13 +167,13 @@ def bibtex_entries(whole: DataFrame) -> DataFrame:
 
 def proposals(spark: SparkSession, path: str) -> DataFrame:
     """SRC-23."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", schemas.PROPOSALS)).alias("arxiv", "p")).select("arxiv", "p.*")
 
 
 def users(spark: SparkSession, path: str) -> DataFrame:
     """SRC-25: user and name."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("user", "name"))
 
 

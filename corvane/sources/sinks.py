@@ -27,6 +27,15 @@ def append_receipts(rows: DataFrame, path: str) -> None:
     append_log(checked, path)
 
 
+def write_posted(state: DataFrame, path: str, version: int, updated: str) -> None:
+    """SNK-4: the posted state (id, turn, pos: at most 2000 ids by then) as one JSON line in a version of its own.
+
+    A version shows only once Spark has committed it, and an older one stays, so a lost job leaves the state as it was.
+    """
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("turn", "pos", "id"))), lambda x: x["id"])
+    state.agg(ids.alias("posted")).withColumn("updated", F.lit(updated)).coalesce(1).write.mode("error").json(f"{path}/v={version}")
+
+
 def append_labels(rows: DataFrame, ledger: DataFrame, path: str) -> int:
     """SNK-3: writes the labels that the ledger lacks; returns how many."""
     new = new_labels(rows, ledger).persist()
@@ -120,11 +129,11 @@ def enrich(payload: str, command: str, cap: int = 4096, timeout: float = 60.0) -
 
 
 def render_report(sections: dict[str, DataFrame], most: int = 50) -> str:
-    """SNK-16: bounded metric tables as text."""
+    """SNK-16: metric tables as text; a table of more rows than most says so."""
     out = []
     for name, df in sections.items():
-        rows = df.limit(most).collect()
-        out += [f"## {name}", *("  ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows), ""]
+        rows = df.limit(most + 1).collect()
+        out += [f"## {name}", *("  ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows[:most]), *(["(more rows)"] if len(rows) > most else []), ""]
     return "\n".join(out)
 
 

@@ -230,6 +230,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad.xml").write_text("<rss><item><title>T")
     assert [r["id"] for r in files.rss(spark, str(tmp_path / "f.xml"), "q").collect()] == ["2601.01011"]
     assert files.rss(spark, str(tmp_path / "bad.xml"), "q").count() == 0
+    (tmp_path / "ns.xml").write_text('<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><item><title>T</title><link>http://arxiv.org/abs/2601.00001</link><dc:creator>A B, C D</dc:creator></item></channel></rss>')
+    assert [r["authors"] for r in files.rss(spark, str(tmp_path / "ns.xml"), "q").collect()] == [["A B", "C D"]]
+    (tmp_path / "arxiv-2601.00001.txt").write_text("two\nlines")
+    assert [tuple(r) for r in files.library(spark, str(tmp_path)).collect()] == [("2601.00001", "two\nlines")]
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "a.md").write_text("---\ntype: paper\narxiv: '2601.01001'\n---\nbody [[x]]")
     assert files.notes(spark, str(tmp_path / "n")).select(files.note_field("arxiv")).first()[0] == "2601.01001"
@@ -256,6 +260,8 @@ def test_sinks(spark, tmp_path):
     def broken(df):
         raise OSError("disk")
 
+    assert sinks.render_report({"a": spark.range(2), "b": spark.range(3)}, most=2).count("id=") == 4
+    assert "(more rows)" in sinks.render_report({"b": spark.range(3)}, most=2) and "(more rows)" not in sinks.render_report({"a": spark.range(2)}, most=2)
     errors, posted = sinks.fan_out(spark.range(3), {"vault": broken, "slack": lambda df: df.count()})
     assert errors["vault"] == "OSError: disk" and errors["slack"] is None and posted
     rows = spark.createDataFrame([(1, "keep", 1)], "paper int, label_type string, pos int")
@@ -286,3 +292,27 @@ def test_streams(spark, tmp_path):
     q = logs.seen_once(s).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("once").count() == 2
+
+
+def test_label_stream_written_twice_adds_nothing(spark, tmp_path):
+    from corvane.streaming import logs
+
+    path = str(tmp_path / "ledger")
+    empty = spark.createDataFrame([], "paper int, label_type string, pos int")
+    empty.write.parquet(path)
+    write = logs.label_sink(spark, path, lambda: spark.read.parquet(path))
+    batch = spark.createDataFrame([(1, "keep", 1), (1, "keep", 2), (2, "skip", 3)], "paper int, label_type string, pos int")
+    for _ in range(2):
+        write(batch, 0)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "keep", 1), (2, "skip", 3)]
+
+
+def test_week_windows(spark, tmp_path):
+    from corvane.streaming import logs
+
+    spark.createDataFrame([(dt.datetime(2026, 1, 8, 12), "p"), (dt.datetime(2026, 1, 9, 12), "p")], "ts timestamp, paper string").write.parquet(str(tmp_path / "w"))
+    s = spark.readStream.schema("ts timestamp, paper string").parquet(str(tmp_path / "w"))
+    q = logs.week_windows(s).writeStream.format("memory").queryName("weeks").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["window"]["start"].day: (r["rows"], r["papers"]) for r in spark.table("weeks").collect()}
+    assert len(got) == 8 and got[2] == (1, 1) and got[9] == (1, 1) and all(got[k] == (2, 1) for k in range(3, 9))

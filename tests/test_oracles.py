@@ -38,6 +38,15 @@ def test_whole_oracle(spark, data, name):
     test_oracle(spark, data, name)
 
 
+#: Files written and read back.
+FILES = tuple(n for n in q.ORACLES if n.startswith("src_")) + ("snk_07_digest",)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_file_oracle(spark, data, name):
+    test_oracle(spark, data, name)
+
+
 def test_items_keep_what_stands_late(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 3000 + " latecomer", "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
