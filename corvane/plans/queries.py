@@ -20,17 +20,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, needs: str = "", whole: bool = False) -> Callable[[Query], Query]:
-    """Registers a query; sql is what DuckDB runs over the named views; whole: once more over whole texts, as name_whole."""
+def query(name: str, sql: str | None = None, needs: str = "") -> Callable[[Query], Query]:
+    """Registers a query; sql is what DuckDB runs over the named views."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = with_views(needs, sql)
-        if whole:
-            QUERIES[f"{name}_whole"] = lambda s, d: f(s, d, views.whole_items)
-            if sql is not None:
-                ORACLES[f"{name}_whole"] = with_views(needs, sql, True)
         return f
 
     return add
@@ -46,12 +42,12 @@ def _terms(s: SparkSession, d: str) -> DataFrame:
     return top.select("term", F.round("weight", 6).alias("weight"))
 
 
-def _scored(s: SparkSession, d: str, items: Query = views.items) -> DataFrame:
-    return rank.scored(items(s, d), _terms(s, d))
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return rank.scored(views.items(s, d), _terms(s, d))
 
 
-def _pooled(s: SparkSession, d: str, items: Query = views.items) -> DataFrame:
-    return rank.pools(_scored(s, d, items), "seed").withColumn("mass", scorer.mass_of(F.col("id")))
+def _pooled(s: SparkSession, d: str) -> DataFrame:
+    return rank.pools(_scored(s, d), "seed").withColumn("mass", scorer.mass_of(F.col("id")))
 
 
 def _graded(s: SparkSession, d: str) -> DataFrame:
@@ -61,9 +57,9 @@ def _graded(s: SparkSession, d: str) -> DataFrame:
 # --- flagship, profile ------------------------------------------------------------------------------------------------
 
 
-@query("rank_01_digest", "SELECT id, score, n_terms FROM sc WHERE score > 0 ORDER BY score DESC, source, id LIMIT 20", "sc", whole=True)
-def _(s, d, items=views.items):
-    return rank.survivors(_scored(s, d, items), 20).select("id", "score", F.size("terms").cast("long").alias("n_terms"))
+@query("rank_01_digest", "SELECT id, score, n_terms FROM sc WHERE score > 0 ORDER BY score DESC, source, id LIMIT 20", "sc")
+def _(s, d):
+    return rank.survivors(_scored(s, d), 20).select("id", "score", F.size("terms").cast("long").alias("n_terms"))
 
 
 @query("agg_01_document_frequency", "SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY 1", "tok")
@@ -134,14 +130,7 @@ def _(s, d):
     return profile.flag(views.notes(s, d).select((~F.col("staged")).alias("contributes"), F.when(F.col("toxic") == 1, "w").alias("why")))
 
 
-@query("prj_17_cards", "SELECT n.id, n.rating, substr(b.text, 1, 30) AS abstract FROM notes n LEFT JOIN benchmark b ON b.item_id = n.id ORDER BY n.id LIMIT 50", "notes")
-def _(s, d):
-    n = views.notes(s, d).select(F.col("id").cast("string").alias("arxiv"), F.lpad(F.col("id").cast("string"), 12, "0").alias("title"), F.col("rating").alias("why"), F.lit(1.0).alias("weight"), F.lit(None).cast("date").alias("read"))
-    c = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("arxiv"), F.substring("text", 1, 30).alias("abstract"), F.lit(None).cast("string").alias("conclusions"))
-    return profile.cards(n, c).limit(50).select(F.col("title").cast("long").alias("id"), F.col("why").alias("rating"), "abstract")
-
-
-@query("prj_17_cards_whole", "SELECT n.id, n.rating, b.text AS abstract FROM notes n LEFT JOIN benchmark b ON b.item_id = n.id", "notes")
+@query("prj_17_cards", "SELECT n.id, n.rating, b.text AS abstract FROM notes n LEFT JOIN benchmark b ON b.item_id = n.id", "notes")
 def _(s, d):
     n = views.notes(s, d).select(F.col("id").cast("string").alias("arxiv"), F.lpad(F.col("id").cast("string"), 12, "0").alias("title"), F.col("rating").alias("why"), F.lit(1.0).alias("weight"), F.lit(None).cast("date").alias("read"))
     c = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("arxiv"), F.col("text").alias("abstract"), F.lit(None).cast("string").alias("conclusions"))
@@ -174,9 +163,9 @@ def _(s, d):
 # --- ranking ----------------------------------------------------------------------------------------------------------
 
 
-@query("join_01_term_matches", "SELECT id, term, in_title, in_abstract FROM hits WHERE in_title + in_abstract > 0", "hits", whole=True)
-def _(s, d, items=views.items):
-    return rank.matches(items(s, d), _terms(s, d)).select("id", "term", F.col("in_title").cast("long").alias("in_title"), F.col("in_abstract").cast("long").alias("in_abstract"))
+@query("join_01_term_matches", "SELECT id, term, in_title, in_abstract FROM hits WHERE in_title + in_abstract > 0", "hits")
+def _(s, d):
+    return rank.matches(views.items(s, d), _terms(s, d)).select("id", "term", F.col("in_title").cast("long").alias("in_title"), F.col("in_abstract").cast("long").alias("in_abstract"))
 
 
 @query("join_02_author_matches", "SELECT c_custkey AS id, s_name AS name FROM customer JOIN supplier ON split_part(s_name, '#', 2) = lpad(CAST(c_custkey % 97 AS VARCHAR), 9, '0')")
@@ -215,35 +204,35 @@ def _(s, d):
     return rank.union_feeds([x.where("item_pos % 2 = 0"), x.where("item_pos % 2 = 1")]).select("source", "id", F.col("item_pos").alias("first"))
 
 
-@query("agg_04_score", "SELECT id, score FROM sc", "sc", whole=True)
-def _(s, d, items=views.items):
-    return _scored(s, d, items).select("id", "score")
+@query("agg_04_score", "SELECT id, score FROM sc", "sc")
+def _(s, d):
+    return _scored(s, d).select("id", "score")
 
 
-@query("agg_05_terms", "SELECT id, terms FROM sc WHERE n_terms > 0", "sc", whole=True)
-def _(s, d, items=views.items):
-    return _scored(s, d, items).where(F.size("terms") > 0).select("id", F.array_join("terms", ",").alias("terms"))
+@query("agg_05_terms", "SELECT id, terms FROM sc WHERE n_terms > 0", "sc")
+def _(s, d):
+    return _scored(s, d).where(F.size("terms") > 0).select("id", F.array_join("terms", ",").alias("terms"))
 
 
-@query("srt_01_survivors", "SELECT id FROM sc WHERE score > 0 ORDER BY score DESC, source, id LIMIT 40", "sc", whole=True)
-def _(s, d, items=views.items):
-    return rank.survivors(_scored(s, d, items)).select("id")
+@query("srt_01_survivors", "SELECT id FROM sc WHERE score > 0 ORDER BY score DESC, source, id LIMIT 40", "sc")
+def _(s, d):
+    return rank.survivors(_scored(s, d)).select("id")
 
 
-@query("srt_02_pools", "SELECT id, pool FROM pooled", "pooled", whole=True)
-def _(s, d, items=views.items):
-    return _pooled(s, d, items).select("id", "pool")
+@query("srt_02_pools", "SELECT id, pool FROM pooled", "pooled")
+def _(s, d):
+    return _pooled(s, d).select("id", "pool")
 
 
-@query("srt_03_probe", "SELECT pos FROM (SELECT event_id AS pos FROM events WHERE value < 1) ORDER BY sha256('seed:' || pos), pos LIMIT 20")
+@query("srt_03_probe", "SELECT event_id AS pos FROM events WHERE value < 1 ORDER BY sha256('seed:' || event_id), event_id LIMIT 20")
 def _(s, d):
-    e = table(s, d, "events").where("value < 1").select(F.col("event_id").alias("id"), F.lit(0.0).alias("score"))
+    e = table(s, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("value") < 1, 0.0).otherwise(F.col("value")).alias("score"))
     return rank.probe(e, "seed").select(F.col("id").alias("pos"))
 
 
-@query("srt_04_picks", "SELECT id, round(mass, 6) AS mass FROM pooled ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled", whole=True)
-def _(s, d, items=views.items):
-    return rank.picks(_pooled(s, d, items)).select("id", F.round("mass", 6).alias("mass"))
+@query("srt_04_picks", "SELECT id, round(mass, 6) AS mass FROM pooled ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled")
+def _(s, d):
+    return rank.picks(_pooled(s, d)).select("id", F.round("mass", 6).alias("mass"))
 
 
 @query("srt_05_term_order", "SELECT term, round(weight, 4) AS weight FROM terms", "terms")
@@ -251,19 +240,19 @@ def _(s, d):
     return _terms(s, d).select("term", F.round("weight", 4).alias("weight"))
 
 
-@query("set_04_pools_disjoint", "SELECT pool, count(*) AS n FROM pooled GROUP BY 1", "pooled", whole=True)
-def _(s, d, items=views.items):
-    return _pooled(s, d, items).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
+@query("set_04_pools_disjoint", "SELECT pool, count(*) AS n FROM pooled GROUP BY 1", "pooled")
+def _(s, d):
+    return _pooled(s, d).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prj_13_pool_lexical", "SELECT id, CASE WHEN score > 0 AND n_terms > 1 THEN 'survivor' WHEN score > 0 THEN 'near-miss' ELSE 'probe' END AS pool FROM sc", "sc", whole=True)
-def _(s, d, items=views.items):
-    return _scored(s, d, items).select("id", rank.pool_lexical(F.col("score"), F.col("terms")).alias("pool"))
+@query("prj_13_pool_lexical", "SELECT id, CASE WHEN score > 0 AND n_terms > 1 THEN 'survivor' WHEN score > 0 THEN 'near-miss' ELSE 'probe' END AS pool FROM sc", "sc")
+def _(s, d):
+    return _scored(s, d).select("id", rank.pool_lexical(F.col("score"), F.col("terms")).alias("pool"))
 
 
-@query("prj_07_canonical_picks", "SELECT id AS arxiv, score, terms FROM pooled WHERE terms IS NOT NULL ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled", whole=True)
-def _(s, d, items=views.items):
-    p = rank.picks(_pooled(s, d, items).where(F.size("terms") > 0)).withColumn("rescued", F.lit(None).cast("string"))
+@query("prj_07_canonical_picks", "SELECT id AS arxiv, score, terms FROM pooled WHERE terms IS NOT NULL ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled")
+def _(s, d):
+    p = rank.picks(_pooled(s, d).where(F.size("terms") > 0)).withColumn("rescued", F.lit(None).cast("string"))
     return rank.canonical(p).select("arxiv", "score", F.array_join("terms", ",").alias("terms"))
 
 
@@ -272,9 +261,9 @@ def _(s, d):
     return _docs(s, d).select("doc_id", rank.run_id(F.col("lang"), F.col("source")).alias("run_id"), F.substring(F.sha2("text", 256), 1, 16).alias("print"))
 
 
-@query("prj_14_fingerprint", whole=True)
-def _(s, d, items=views.items):
-    return rank.fingerprint(rank.picks(_pooled(s, d, items)).withColumn("rescued", F.lit(None).cast("string")))
+@query("prj_14_fingerprint")
+def _(s, d):
+    return rank.fingerprint(rank.picks(_pooled(s, d)).withColumn("rescued", F.lit(None).cast("string")))
 
 
 @query("win_09_finalists", "SELECT run::VARCHAR AS run, id, place FROM (SELECT run, pos AS id, row_number() OVER (PARTITION BY run ORDER BY conf DESC, lexical DESC, pos) AS place FROM journal) WHERE place <= 10", "journal")
@@ -286,14 +275,14 @@ def _(s, d):
 # --- model layer ------------------------------------------------------------------------------------------------------
 
 
-@query("mdl_05_model_first", "SELECT id, round(coalesce(m, 0), 6) AS mass FROM (SELECT *, CASE WHEN id % 3 > 0 THEN mass END AS m FROM pooled) WHERE m IS NOT NULL OR score > 0 ORDER BY coalesce(m, 0) DESC, score DESC, id LIMIT 5", "pooled", whole=True)
-def _(s, d, items=views.items):
-    return scorer.model_first(_pooled(s, d, items).withColumn("mass", F.when(F.col("id") % 3 > 0, F.col("mass")))).select("id", F.round("mass", 6).alias("mass"))
+@query("mdl_05_model_first", "SELECT id, round(coalesce(m, 0), 6) AS mass FROM (SELECT *, CASE WHEN id % 3 > 0 THEN mass END AS m FROM pooled) WHERE m IS NOT NULL OR score > 0 ORDER BY coalesce(m, 0) DESC, score DESC, id LIMIT 5", "pooled")
+def _(s, d):
+    return scorer.model_first(_pooled(s, d).withColumn("mass", F.when(F.col("id") % 3 > 0, F.col("mass")))).select("id", F.round("mass", 6).alias("mass"))
 
 
-@query("mdl_06_lexical_first", "SELECT id, CASE WHEN pool <> 'survivor' THEN pool END AS rescued FROM pooled WHERE pool = 'survivor' OR (pool IN ('near-miss', 'probe') AND mass >= 0.6) ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled", whole=True)
-def _(s, d, items=views.items):
-    return scorer.lexical_first(_pooled(s, d, items)).select("id", "rescued")
+@query("mdl_06_lexical_first", "SELECT id, CASE WHEN pool <> 'survivor' THEN pool END AS rescued FROM pooled WHERE pool = 'survivor' OR (pool IN ('near-miss', 'probe') AND mass >= 0.6) ORDER BY mass DESC, score DESC, id LIMIT 5", "pooled")
+def _(s, d):
+    return scorer.lexical_first(_pooled(s, d)).select("id", "rescued")
 
 
 @query("mdl_07_two_pass", "SELECT id, round(CASE WHEN id % 2 = 0 THEN conf / 2 ELSE conf END, 6) AS mass FROM (SELECT run, pos AS id, conf, row_number() OVER (PARTITION BY run ORDER BY conf DESC, lexical DESC, pos) AS place FROM journal) WHERE place <= 10", "journal")
@@ -627,37 +616,22 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.normalize_doi(F.concat(F.when(k % 3 == 0, "https://doi.org/").when(k % 3 == 1, "DOI: ").otherwise(" "), F.lit("10.1000/"), F.upper("lang"), k.cast("string"))).alias("doi"))
 
 
-@query("str_08_norm_title", "SELECT doc_id, regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '', 'g') AS title FROM documents")
-def _(s, d):
-    return _docs(s, d).select("doc_id", text.normalize_title(F.substring("text", 1, 80)).alias("title"))
-
-
-@query("str_09_slug", "SELECT doc_id, trim(substr(trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') AS slug FROM documents")
-def _(s, d):
-    return _docs(s, d).select("doc_id", text.slug(F.substring("text", 1, 80)).alias("slug"))
-
-
-@query("str_10_fold_accents", "SELECT doc_id, strip_accents(regexp_replace(substr(text, 1, 200), '[^a-zA-ZÀ-ÿ ]', '', 'g')) AS folded FROM documents")
-def _(s, d):
-    return _docs(s, d).select("doc_id", text.fold_accents(F.regexp_replace(F.substring("text", 1, 200), "[^a-zA-ZÀ-ÿ ]", "")).alias("folded"))
-
-
-@query("str_08_norm_title_whole", "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS title FROM documents")
+@query("str_08_norm_title", "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS title FROM documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", F.md5(text.normalize_title(F.col("text"))).alias("title"))
 
 
-@query("str_09_slug_whole", "SELECT doc_id, trim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') AS slug FROM documents")
+@query("str_09_slug", "SELECT doc_id, trim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') AS slug FROM documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("str_10_fold_accents_whole", "SELECT doc_id, md5(strip_accents(regexp_replace(text, '[^a-zA-ZÀ-ÿ ]', '', 'g'))) AS folded FROM documents")
+@query("str_10_fold_accents", "SELECT doc_id, md5(strip_accents(regexp_replace(text, '[^a-zA-ZÀ-ÿ ]', '', 'g'))) AS folded FROM documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", F.md5(text.fold_accents(F.regexp_replace("text", "[^a-zA-ZÀ-ÿ ]", ""))).alias("folded"))
 
 
-@query("str_15_abstract_section_whole")
+@query("str_15_abstract_section", r"SELECT doc_id, abstract FROM (SELECT doc_id, substr(trim(regexp_replace(regexp_split_to_array(chr(10) || text || chr(10) || '1. Introduction', '(?im)^[ \t]*(?:\(?[0-9]+[.)]?[ \t]+)?introduction\b')[1], '\s+', ' ', 'g')), 1, 400) AS abstract FROM documents) WHERE abstract <> ''")
 def _(s, d):
     t = F.concat(F.lit("Title\nAbstract\n"), "text", F.lit("\n1. Introduction\nrest"))
     return _docs(s, d).select("doc_id", text.abstract_section(t).alias("abstract")).where("abstract IS NOT NULL")
@@ -684,12 +658,6 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.md5(text.collapse(F.col("text"))).alias("c"))
 
 
-@query("str_15_abstract_section", r"SELECT doc_id, substr(trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')), 1, 400) AS abstract FROM documents WHERE trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')) <> ''")
-def _(s, d):
-    t = F.concat(F.lit("Title\nAbstract\n"), F.substring("text", 1, 300), F.lit("\n1. Introduction\nrest"))
-    return _docs(s, d).select("doc_id", text.abstract_section(t).alias("abstract")).where("abstract IS NOT NULL")
-
-
 @query("str_16_conclusions_section")
 def _(s, d):
     t = F.concat(F.lit("Intro\nSummary\nshort\nReferences\n5. Conclusions\n"), "text", F.lit("\nReferences\n[1] x"))
@@ -754,14 +722,7 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.md5(text.clean_body(F.col("text"))).alias("body"))
 
 
-@query("flt_16_exact_title", "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON regexp_replace(lower(substr(a.text, 1, 60)), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(substr(b.text, 1, 60)), '[^a-z0-9]+', '', 'g') WHERE a.lang = 'de' AND b.lang = 'de' AND a.doc_id = b.doc_id")
-def _(s, d):
-    x = _docs(s, d).where("lang = 'de'").select("doc_id", text.normalize_title(F.substring("text", 1, 60)).alias("t"))
-    a, b = x.select(F.col("doc_id").alias("a"), "t"), x.select(F.col("doc_id").alias("b"), "t")
-    return a.join(b, "t").where("a = b").select("a", "b")
-
-
-@query("flt_16_title_classes", "SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g')) AS first FROM documents")
+@query("flt_16_exact_title", "SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g')) AS first FROM documents")
 def _(s, d):
     x = _docs(s, d).select("doc_id", F.sha2(text.normalize_title(F.coalesce("text", F.lit(""))), 256).alias("t"))
     return x.join(x.groupBy("t").agg(F.min("doc_id").alias("first")), "t").select("doc_id", "first")
@@ -838,11 +799,12 @@ def _(s, d):
     return _docs(s, d).select("doc_id", pack.json_bytes(F.to_json(F.struct(F.col("lang").alias("b"), F.col("doc_id").alias("a")))).cast("long").alias("n"))
 
 
-@query("er_01_components", """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 50 AS a, 1000 + c_custkey % 7 * 3 + c_custkey % 2 AS b FROM customer), k AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(n, root) AS (SELECT DISTINCT a, a FROM k UNION SELECT k.b, r.root FROM r JOIN k ON k.a = r.n) SELECT n AS node, min(root) AS root FROM r WHERE n < 1000 GROUP BY 1""")
+@query("er_01_components", "SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_custkey % 14) AS root FROM customer")
 def _(s, d):
-    c = table(s, d, "customer").select((F.col("c_custkey") % 50).alias("row"), (1000 + F.col("c_custkey") % 7 * 3 + F.col("c_custkey") % 2).alias("key")).distinct()
-    got = resolve.components(c.unionByName(c.select("row", F.col("row").alias("key"))))
+    """Every customer with a key of its own and one that a seventh share with a half: fourteen components that grow with the table."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("row"))
+    shared = c.select("row", (F.lit(10**12) + F.col("row") % 7 * 3 + F.col("row") % 2).alias("key"))
+    got = resolve.components(shared.unionByName(c.select("row", F.col("row").alias("key"))))
     return got.select(F.col("row").alias("node"), "root")
 
 
@@ -890,15 +852,15 @@ def _(s, d):
 
 @query("snk_09_staged_notes", "SELECT count(*) AS n, count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN doc_id END) AS even FROM documents WHERE doc_id % 5 <> 0")
 def _(s, d):
-    h = _docs(s, d).select(F.col("doc_id").cast("string").alias("arxiv"), F.substring("text", 1, 60).alias("title"), F.array("lang").alias("authors"), F.col("source").alias("why"))
+    h = _docs(s, d).select(F.col("doc_id").cast("string").alias("arxiv"), F.col("text").alias("title"), F.array("lang").alias("authors"), F.col("source").alias("why"))
     notes = sinks.staged_notes(h, h.where("cast(arxiv AS long) % 5 = 0"), "2026-10-01")
     even = F.regexp_extract("value", "arxiv: ([0-9]+)", 1).cast("long") % 2 == 0
     return notes.agg(F.count_distinct("file").alias("n"), F.count_if(even).alias("even"))
 
 
-@query("snk_05_vault_note", whole=True)
-def _(s, d, items=views.items):
-    p = rank.picks(_pooled(s, d, items)).select("id", "title", F.array_join("terms", ",").alias("why"), F.row_number().over(Window.orderBy(F.desc("mass"))).alias("place"))
+@query("snk_05_vault_note")
+def _(s, d):
+    p = rank.picks(_pooled(s, d)).select("id", "title", F.array_join("terms", ",").alias("why"), F.row_number().over(Window.orderBy(F.desc("mass"))).alias("place"))
     return sinks.vault_note(p.withColumn("id", F.col("id").cast("string")), "2026-10-01", "quant-ph", "mode: model, full")
 
 

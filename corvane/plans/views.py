@@ -15,13 +15,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """Unlabelled documents as a feed: id, source, lang, title, abstract."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-    return docs.select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 2000).alias("abstract"))
-
-
-def whole_items(spark: SparkSession, d: str) -> DataFrame:
-    """items with all that follows the title as the abstract; the 2000 characters are a limit of the feed parser only."""
+    """Unlabelled documents as a feed: id, source, lang, title, abstract; all that follows the title is the abstract (a feed's 2000 characters are a limit of its parser)."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
     return docs.select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("abstract"))
 
@@ -88,7 +82,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 #: The same views in DuckDB's SQL.
 SQL = {
-    "items": "SELECT doc_id AS id, source, lang, substr(text, 1, 80) AS title, substr(text, 81, 2000) AS abstract FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "items": "SELECT doc_id AS id, source, lang, substr(text, 1, 80) AS title, substr(text, 81) AS abstract FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "notes": "SELECT d.doc_id AS id, d.text, d.source, d.lang, CASE WHEN l.toxic = 1 THEN 'marginal' ELSE 'useful' END AS rating, d.doc_id % 400 AS age_days, d.doc_id % 7 = 0 AS staged, l.toxic FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1",
     "journal": """SELECT *, CASE lvl WHEN 0 THEN 'must-read' WHEN 1 THEN 'worth-reading' WHEN 2 THEN 'borderline' WHEN 3 THEN 'unlikely' ELSE 'irrelevant' END AS top,
         (5 - lvl)::DOUBLE + CASE WHEN lvl < 2 THEN conf ELSE 1 - conf END AS rel, lvl < 2 AS relevant,
@@ -114,15 +108,12 @@ SQL = {
         ('0x' || substr(md5('mass:' || id), 1, 7))::BIGINT / 268435456.0::DOUBLE AS mass
         FROM (SELECT *, row_number() OVER (ORDER BY score DESC, source, id) AS r, row_number() OVER (PARTITION BY score <= 0 ORDER BY sha256('seed:' || id), source, id) AS z FROM sc) s""",
 }
-#: items of the queries whose names end in _whole.
-WHOLE_ITEMS = "SELECT doc_id AS id, source, lang, substr(text, 1, 80) AS title, substr(text, 81) AS abstract FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 _NEEDS = {"receipts": ["journal"], "label_rows": ["journal"], "ledger": ["label_rows"], "outcomes": ["ledger"], "latest": ["receipts"], "graded": ["latest", "outcomes"],
           "tok": ["notes"], "prof": ["tok", "notes"], "terms": ["prof"], "hits": ["items", "terms"], "sc": ["items", "hits"], "pooled": ["sc"]}
 
 
-def with_views(names: str, select: str, whole: bool = False) -> str:
-    """select with the named views (and those that they need) as common table expressions; whole: items aren't cut."""
-    sql = SQL | {"items": WHOLE_ITEMS} if whole else SQL
+def with_views(names: str, select: str) -> str:
+    """select with the named views (and those that they need) as common table expressions."""
     order: list[str] = []
 
     def need(n: str) -> None:
@@ -133,4 +124,4 @@ def with_views(names: str, select: str, whole: bool = False) -> str:
 
     for n in names.split():
         need(n)
-    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({sql[n]})" for n in order) + " " if order else "") + select
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in order) + " " if order else "") + select
