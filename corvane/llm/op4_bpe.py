@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 BLOCK_BYTES = 6 << 20
+BLOCK_IDS = 1 << 20
 CACHE = 300_000
 #: The split pattern of byte-level BPE, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -274,14 +275,21 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str]) -> DataFrame:
 
 
 def decode(tokens: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """tokens (with a column ids) with the decoded text as a last column ``decoded``."""
+    """tokens (with a column ids) with the decoded text as a last column ``decoded``; null ids are an empty text."""
     fields = tokens.schema.fields
     at = [f.name for f in fields].index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [tokenizer.decode(np.asarray(x, np.int64)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
+            ends = np.cumsum([0, *(x or 0 for x in batch.column(at).value_lengths().to_pylist())])
+            flat = np.asarray(batch.column(at).flatten())
+            first = 0
+            while first < len(batch):  # at most BLOCK_IDS ids or one row at a time, so memory doesn't follow the size of a batch
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK_IDS, "right")) - 1)
+                part = batch.slice(first, last - first)
+                text = [tokenizer.decode(flat[ends[k] : ends[k + 1]]) for k in range(first, last)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
+                first = last
 
     return tokens.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", decoded string")
 
