@@ -34,10 +34,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix."""
+    """Token ids of every row of the mix, and the digest of the text that they decode to."""
     tokenizer = op4_bpe.default_tokenizer()
-    encoded = op4_bpe.encode(docs, tokenizer, ["doc_id", "lang", "source"])
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    encoded = op4_bpe.encode(docs, tokenizer, ["doc_id", "lang", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
+    return op4_bpe.decode(encoded, tokenizer).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("bpe_tokens", tokens)]
