@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+from collections import Counter
+
+import xxhash
 
 import corpus_pipeline
-from corvane.llm import op4_bpe, op6_quality
+from corvane.llm import op1_mix, op4_bpe, op6_quality
 from corvane.llm.common import kept, materialize
 
 LONG = " ".join(f"w{k % 977}x{k % 13}" for k in range(4000))
@@ -28,7 +32,12 @@ def test_stages(spark, data):
         best[k] = min(best.get(k, (1, 0)), (-len(t), i))
     assert set(text["exact_dedup"]) == {v[1] for v in best.values()}
     assert set(text["near_dedup"]) <= set(text["exact_dedup"]) and set(text["source_mix"]) <= set(text["near_dedup"])
-    assert frames["bpe_tokens"].count() == frames["source_mix"].count()
+    taken = {r["doc_id"]: r["taken"] / max(r["size"], 1) for r in op1_mix.mix(frames["near_dedup"]).collect()}
+    chance = {i: xxhash.xxh64_intdigest(str(i), xxhash.xxh64_intdigest("copies", 42)) % 2**20 / 2**20 for i in taken}
+    copies = Counter({i: n for i, x in taken.items() if (n := int(x) + (chance[i] < x % 1))})
+    assert copies and Counter(r["doc_id"] for r in frames["source_mix"].select("doc_id").collect()) == copies
+    shas = Counter((i, hashlib.sha256(text["near_dedup"][i].encode()).hexdigest()) for i in copies.elements())
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in frames["bpe_tokens"].collect()) == shas
 
 
 def test_near_dedup_and_tokens_are_brute_force(spark, data):
@@ -89,3 +98,12 @@ def test_run_leaves_its_result_only(spark, data):
     assert len(mine) == 1 and got.count() > 0
     folder = mine[0].removeprefix("file://")
     assert not [p for p in os.listdir(os.path.dirname(folder)) if p.startswith("corvane-steps")]
+
+
+def test_decode_takes_rows_without_ids_and_any_block(spark, monkeypatch):
+    tokenizer = op4_bpe.default_tokenizer()
+    docs = _edge(spark).select("doc_id", "text")
+    monkeypatch.setattr(op4_bpe, "BLOCK_IDS", 5)
+    ids = op4_bpe.encode(docs, tokenizer, ["doc_id"]).unionByName(spark.createDataFrame([(99, None)], "doc_id long, ids array<int>"))
+    got = Counter((r["doc_id"], r["decoded"]) for r in op4_bpe.decode(ids, tokenizer).collect())
+    assert got == Counter([*((r["doc_id"], r["text"] or "") for r in docs.collect()), (99, "")])
