@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_mix, op2_toxicity, op3_jaccard, op4_bpe, op5_dedup, op6_quality, op7_pii, op8_secrets, op9_language, op10_repeats
+from . import op1_mix, op2_toxicity, op3_jaccard, op4_bpe, op5_dedup, op6_quality, op7_pii, op8_secrets, op9_language, op10_repeats, op11_spelling
 
 QUERIES = {
     "op1_mix": op1_mix.op1_mix,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_secrets": op8_secrets.op8_secrets,
     "op9_language": op9_language.op9_language,
     "op10_repeats": op10_repeats.op10_repeats,
+    "op11_spelling": op11_spelling.op11_spelling,
 }
 ORACLES = {
     "op3_jaccard_join": op3_jaccard.ORACLE,
     "op5_exact_dedup": op5_dedup.ORACLE,
+    "op11_spelling": op11_spelling.ORACLE,
 }
