@@ -180,7 +180,7 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, sc
                     now[c] = [s // n for s in sums]
                 search = Search(now, np.sqrt(own_squared(now, search.centroids).astype(np.float64)) * (1 + SLACK))
         if not len(search.centroids):
-            return state.select("vec_id", "cluster", F.lit(0).cast("long").alias("distance")), search.centroids, {}
+            state, totals = state.withColumn("distance", F.lit(0).cast("long")), []
         return materialize(state.select("vec_id", "cluster", "distance"), "clusters"), search.centroids, {c: inertia for c, _, _, inertia in totals}
 
 
