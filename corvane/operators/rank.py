@@ -77,6 +77,30 @@ def matches(items: DataFrame, terms: DataFrame) -> DataFrame:
     return found.where("in_title + in_abstract > 0").join(F.broadcast(weights), "term").select(*keys, "term", "weight", "in_title", "in_abstract")  # at most FEW_TERMS rows
 
 
+def scored_rows(items: DataFrame, terms: DataFrame) -> DataFrame:
+    """scored without a shuffle or an aggregate, so that it runs on streams: the row's own runs are counted against a map of weights.
+
+    For a profile of at most FEW_TERMS terms; a larger one raises.
+    """
+    few = terms.select("term", "weight").limit(FEW_TERMS + 1).collect()
+    if len(few) > FEW_TERMS:
+        raise ValueError(f"a profile of more than {FEW_TERMS} terms can't be held in every task")
+    plain = [r["term"] for r in few if re.fullmatch("[a-z0-9-]+", r["term"])]
+    others = [r["term"] for r in few if r["term"] not in set(plain)]
+    low = items.withColumn("_t", F.lower(F.coalesce("title", F.lit("")))).withColumn("_a", F.lower(F.coalesce("abstract", F.lit(""))))
+    times = lambda w: lambda x: F.struct(x["term"].alias("term"), (x["n"] * w).alias("n"))
+    counted = [F.transform(_run_counts(F.col(c), plain), times(w)) for c, w in (("_t", TITLE), ("_a", 1))] if plain else []
+    held = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<string>"), lambda x: F.contains("_t", x) | F.contains("_a", x))
+    more = F.transform(held, lambda x: F.struct(x.alias("term"), (TITLE * text.count_matches(F.col("_t"), x) + text.count_matches(F.col("_a"), x)).cast("int").alias("n")))
+    none = F.array().cast("array<struct<term:string,n:int>>")
+    weights = F.map_from_entries(F.array(*[F.struct(F.lit(r["term"]).alias("k"), F.lit(float(r["weight"])).alias("v")) for r in few])) if few else F.create_map().cast("map<string,double>")
+    low = low.withColumn("_hits", F.filter(F.concat(none, *counted, *([more] if others else [])), lambda x: x["n"] > 0)).withColumn("_w", weights)
+    part = lambda x: F.element_at("_w", x["term"]) * numbers.specificity(x["term"]) * x["n"]
+    terms_of = F.transform(F.sort_array(F.array_distinct(F.transform("_hits", lambda x: F.struct((-F.element_at("_w", x["term"])).alias("w"), x["term"].alias("term"))))), lambda x: x["term"])
+    total = F.aggregate("_hits", F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + part(x).cast("decimal(28,10)")).cast("decimal(38,10)"))
+    return low.withColumn("score", numbers.half_even(total.cast("double"), 2)).withColumn("terms", terms_of).drop("_t", "_a", "_hits", "_w")
+
+
 def _joined_matches(low: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """matches for any number of terms: an equi-join of the items' distinct runs with each term's first run gives candidates, the exact count decides.
 

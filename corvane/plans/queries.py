@@ -664,9 +664,13 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.conclusions_section(t).alias("conclusions"))
 
 
-@query("str_17_affiliations", "SELECT doc_id, 'University of ' || lang || '|RIKEN, Wako|Academy of ' || lang || '|CNRS' AS a, 1::BIGINT AS more FROM documents")
+@query("str_17_affiliations", "SELECT doc_id, 'University of ' || lang || '|RIKEN, Wako|Academy of ' || lang || '|CNRS' AS a, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS more FROM documents")
 def _(s, d):
-    page = F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "lang", F.lit(", Germany\n2 RIKEN,\nWako, Japan and\n* riken,  Wako\n3 Academy of "), "lang", F.lit("\n4 CNRS\n5 National Centre\nAbstract\n"), "text")
+    """Every third page has an institution in line 28, and its abstract's heading in one of the lines 29 to 39."""
+    lines = lambda n: "".join(f"by {k}\n" for k in range(n))
+    late = F.concat(F.lit(lines(18) + "6 Institute of Late Lines\n"), F.element_at(F.array(F.lit(""), F.lit(lines(9)), F.lit(lines(10))), (F.col("doc_id") % 2 + F.col("doc_id") % 5 % 2 + 1).cast("int")))
+    page = F.concat(F.lit("T\nA. B\n1 Department of X, University of "), "lang", F.lit(", Germany\n2 RIKEN,\nWako, Japan and\n* riken,  Wako\n3 Academy of "), "lang", F.lit("\n4 CNRS\n5 National Centre\n"),
+                    F.when(F.col("doc_id") % 3 == 0, late).otherwise(""), F.lit("Abstract\n"), "text", F.lit("\nInstitute of the Text"))
     shown, more = parsers.shown_affiliations(parsers.affiliations(page))
     return _docs(s, d).select("doc_id", F.array_join(shown, "|").alias("a"), more.cast("long").alias("more"))
 
@@ -1051,10 +1055,33 @@ def _(s, d):
     path, runs = storage.folder(s), _runs(s, d)
     sinks.append_log(runs.where("lane = 'main'"), path)
     sinks.append_log(runs.where("lane = 'side'"), path)
-    s.range(1).select(F.lit('{"run_id": "cut').alias("value"), F.lit("side").alias("lane")).write.mode("append").partitionBy("lane").text(path)
+    s.range(1).select(F.lit('{"run_id": "cut').alias("value"), F.lit("side").alias("lane")).write.mode("append").partitionBy("lane").text(f"{path}/epoch=0")
     return files.journal(s, path).select("lane", "run_id", F.explode("candidates").alias("c")).select("lane", "run_id", "c.arxiv", F.col("c.lexical_score").alias("lexical"), "c.posted")
 
 
+def _appended(s: SparkSession, d: str) -> str:
+    """A journal of eight appends: days whose number leaves 7 when divided by 8 came first, 0 last; days in order within one."""
+    c = F.struct("pos", F.struct(F.col("paper").cast("string").alias("arxiv"), F.concat_ws(" ", "top", "pos").alias("title")).alias("c"))
+    runs = views.journal(s, d).groupBy("run").agg(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["c"]).alias("candidates")).select(F.lit("main").alias("lane"), F.col("run").cast("string").alias("run_id"), "candidates", F.dayofmonth("run").alias("day"))
+    path, runs = storage.folder(s), storage.saved(runs)
+    for k in range(7, -1, -1):
+        sinks.append_log(runs.where(F.col("day") % 8 == k).drop("day").orderBy("run_id"), path)
+    return path
+
+
+@query("src_24_candidate", "SELECT paper::VARCHAR AS arxiv, top || ' ' || pos AS title FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY day(run) % 8, run DESC, pos DESC) AS k FROM journal) WHERE k = 1", "journal")
+def _(s, d):
+    """SNK-1, SRC-24: the last append has the newest rows, whatever the run's day and the files' names are."""
+    return files.candidates(files.journal(s, _appended(s, d))).select("arxiv", "title")
+
+
+@query("win_08_appended_runs", "SELECT run::VARCHAR AS run, count(*) AS n FROM journal GROUP BY run, day(run) % 8 ORDER BY day(run) % 8, run DESC LIMIT 7", "journal")
+def _(s, d):
+    """SNK-1, WIN-8: the last seven runs of a log, by the order of appends."""
+    rows = files.journal(s, _appended(s, d)).select(F.col("run_id").alias("run"), F.size("candidates").cast("long").alias("n"), "line_no")
+    return calibrate.last_runs(rows, 7).select("run", "n")
+
+
 @query("src_09_receipts", "SELECT 'main' AS lane, paper::VARCHAR AS paper, run::VARCHAR AS run, primitive, CASE WHEN pos % 3 = 0 THEN -1 ELSE p END::DOUBLE AS p FROM receipts", "receipts")
 def _(s, d):
     """SNK-2, SRC-9: every third answer is an error."""

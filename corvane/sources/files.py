@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from corvane import schemas
 from corvane.functions import numbers, parsers, text
 
+from . import sequence
+
 
 def rss(spark: SparkSession, path: str, feed: str, feed_pos: int = 0) -> DataFrame:
     """SRC-1: a feed's items; malformed XML gives no rows."""
@@ -78,13 +80,19 @@ def directives(spark: SparkSession, *paths: str, glob: str = "*.md") -> DataFram
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log's rows with the file's line order; lines that don't parse are left out."""
+    """A log's rows with line_no, their place: (epoch, line) in a log of sequence.append; in other files, which come before, (file, line).
+
+    Lines that don't parse, and epochs that aren't done, are left out.
+    """
     raw = spark.read.text(path)
     # a log that a folder a lane holds has the lane in its path
-    lane = [F.col("lane").alias("folder")] if "lane" in raw.columns else [F.lit(None).cast("string").alias("folder")]
-    raw = raw.select("value", *lane, F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).alias("line_no"))
-    rows = raw.where("get_json_object(value, '$') IS NOT NULL").select(F.from_json("value", schema).alias("r"), "folder", "line_no")
-    return rows.select("r.*", "folder", "line_no").withColumn("lane", F.coalesce("lane", "folder")).drop("folder")
+    lane = [F.col("lane").cast("string").alias("folder")] if "lane" in raw.columns else [F.lit(None).cast("string").alias("folder")]
+    epoch = F.col("epoch").cast("long") if "epoch" in raw.columns else F.lit(None).cast("long")
+    place = F.struct(F.coalesce(epoch, F.lit(-1)).alias("epoch"), F.coalesce(F.get_json_object("value", "$._line").cast("long"), F.lit(-1)).alias("line"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    rows = raw.select("value", *lane, place.alias("line_no")).where("get_json_object(value, '$') IS NOT NULL")
+    if open_ := sequence.unfinished(spark, path):  # few: appends at work or lost
+        rows = rows.where(~F.col("line_no.epoch").isin(open_))
+    return rows.select(F.from_json("value", schema).alias("r"), "folder", "line_no").select("r.*", "folder", "line_no").withColumn("lane", F.coalesce("lane", "folder")).drop("folder")
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
@@ -177,10 +185,15 @@ def users(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("user", "name"))
 
 
+def candidates(journal_rows: DataFrame) -> DataFrame:
+    """SRC-24: of each id, the newest journal row that has a title."""
+    rows = journal_rows.select("line_no", F.posexplode("candidates").alias("k", "c")).where("c.arxiv IS NOT NULL AND c.title IS NOT NULL")
+    return rows.groupBy("c.arxiv").agg(F.max_by("c", F.struct("line_no", "k")).alias("c")).select("c.*")
+
+
 def candidate(journal_rows: DataFrame, arxiv: str) -> DataFrame:
     """SRC-24: the newest journal row of an id that has a title."""
-    rows = journal_rows.select("line_no", F.explode("candidates").alias("c")).where((F.col("c.arxiv") == arxiv) & F.col("c.title").isNotNull())
-    return rows.agg(F.max_by("c", "line_no").alias("c")).where("c IS NOT NULL").select("c.*")
+    return candidates(journal_rows.withColumn("candidates", F.filter("candidates", lambda c: c["arxiv"] == arxiv)))
 
 
 @dataclass(frozen=True)

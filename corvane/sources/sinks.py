@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators.labels import new_labels
 
+from . import sequence
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """SNK-1: a run's rows added to a log, a folder a lane."""
-    rows.write.mode("append").partitionBy("lane").json(path)
+
+def append_log(rows: DataFrame, path: str) -> int:
+    """SNK-1: a run's rows, in their order, added to a log as an epoch of their own."""
+    return sequence.append(rows, path)
 
 
 def append_receipts(rows: DataFrame, path: str) -> None:
