@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import numbers
 
+from . import pack, scorer
+from .scorer import Scorer
+
 
 def p_positive(primitive: Column, distribution: Column) -> Column:
     """PRJ-8: probability mass on the relevant side."""
@@ -116,12 +119,22 @@ def arms(spark) -> DataFrame:
     return spark.createDataFrame(ARMS, "arm string, policy string, taste_budget int, hard_cap int, content boolean")
 
 
-def replay(labelled: DataFrame) -> DataFrame:
-    """JOIN-22, 23: every labelled candidate under every arm (a generator over eight literals, not a cross join)."""
-    each = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(a, ("arm", "policy", "taste_budget", "hard_cap", "content"), strict=True)]) for a in ARMS])
-    return labelled.withColumn("a", F.explode(each)).select("*", "a.*").drop("a")
+def replay(labelled: DataFrame, taste: pack.Taste, ask: Scorer | None, arms: tuple = ARMS, least: float = 0.6) -> DataFrame:
+    """JOIN-22, 23, MDL-10: every labelled candidate, assembled and scored anew under every arm.
+
+    labelled: id, title, authors, abstract, conclusions and outcome, a row an id.  Returns arm, id, outcome, state_bytes
+    (null where the state doesn't fit), p (relevant mass), ok and fail_reason, a receipt of each call; nothing is kept by
+    the arms but the profile, so they need no join.
+    """
+    states = pack.assembled(labelled, taste, arms).select(F.to_json(F.struct("arm", "id")).alias("id"), "state", F.when(F.col("state").isNotNull(), F.col("bytes")).alias("state_bytes"))
+    answers = scorer.ask(states, "score", ask, least, keep="state_bytes int")
+    key = F.from_json("id", "arm string, id string")
+    rows = answers.select(key["arm"].alias("arm"), key["id"].alias("id"), "state_bytes", p_positive(F.col("primitive"), F.col("distribution")).alias("p"), "ok", "fail_reason")
+    return rows.join(labelled.select(F.col("id").cast("string").alias("id"), "outcome"), "id")
 
 
 def arm_metrics(rows: DataFrame) -> DataFrame:
-    """AGG-13."""
-    return rows.groupBy("arm").agg(F.round(_mean((F.col("p") - F.col("outcome")) ** 2), 6).alias("brier"), F.count(F.lit(1)).alias("n"), F.round(_mean(F.col("state_bytes")), 4).alias("mean_bytes"))
+    """AGG-13: Brier score and number of the answers that count, mean bytes of all states that were assembled."""
+    error = F.when(F.col("ok"), (F.col("p") - F.col("outcome")) ** 2).cast("decimal(28,12)")
+    n = F.count_if("ok")
+    return rows.groupBy("arm").agg(F.round(F.sum(error).cast("double") / F.nullif(n, F.lit(0)), 6).alias("brier"), n.alias("n"), F.round(F.sum("state_bytes") / F.nullif(F.count("state_bytes"), F.lit(0)), 4).alias("mean_bytes"))

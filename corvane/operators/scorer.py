@@ -27,8 +27,12 @@ Scorer = Callable[[str, list[str]], list[dict[str, float]]]
 ANSWER = "id string, primitive string, distribution map<string,double>, confidence double, top string, latency_ms int, ok boolean, fail_reason string"
 
 
-def ask(states: DataFrame, primitive: str, scorer: Scorer | None, least: float = 0.6) -> DataFrame:
-    """MDL-4, FLT-6: answers and receipts of states (id, state); failures become reasons, never exceptions."""
+def ask(states: DataFrame, primitive: str, scorer: Scorer | None, least: float = 0.6, keep: str = "") -> DataFrame:
+    """MDL-4, FLT-6: answers and receipts of states (id, state); failures become reasons, never exceptions.
+
+    keep: columns of states, with types, that the answers have too.
+    """
+    more = [x.split()[0] for x in keep.split(",")] if keep else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -49,9 +53,10 @@ def ask(states: DataFrame, primitive: str, scorer: Scorer | None, least: float =
                 if sure is not None and sure < least:
                     reason = "low-confidence"
                 out.append((key, primitive, dist, sure, top, int(1000 * (time.monotonic() - began)), reason is None, reason))
-            yield pd.DataFrame(out, columns=["id", "primitive", "distribution", "confidence", "top", "latency_ms", "ok", "fail_reason"])
+            got = pd.DataFrame(out, columns=["id", "primitive", "distribution", "confidence", "top", "latency_ms", "ok", "fail_reason"])
+            yield got.assign(**{c: pdf[c] for c in more})
 
-    return states.select(F.col("id").cast("string").alias("id"), "state").mapInPandas(run, ANSWER)
+    return states.select(F.col("id").cast("string").alias("id"), "state", *more).mapInPandas(run, f"{ANSWER}, {keep}" if keep else ANSWER)
 
 
 def stand_in(primitive: str, states: list[str]) -> list[dict[str, float]]:

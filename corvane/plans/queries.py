@@ -466,14 +466,89 @@ def _(s, d):
     return calibrate.recommendation(calibrate.label_counts(views.ledger(s, d)))
 
 
-@query("agg_13_arm_metrics", "SELECT arm, round(avg((p - outcome) * (p - outcome)), 6) AS brier, count(*) AS n, round(avg(pos), 4) AS mean_bytes FROM graded, (VALUES ('fixed-15/4KB'), ('fixed-15/4KB+content'), ('greedy/4KB'), ('greedy/4KB+content'), ('greedy/8KB'), ('greedy/8KB+content'), ('greedy/12KB'), ('greedy/12KB+content')) a(arm) GROUP BY 1", "graded")
+_DIRECTIVES = "read widély \"often\"\n" * 50
+
+
+def _taste(s: SparkSession, d: str) -> pack.Taste:
+    """A profile's 200 terms, the 40 newest notes (that aren't staged) as cards and why-lines, three titles, directives."""
+    n = views.notes(s, d).where("NOT staged").orderBy("age_days", "id").limit(40)
+    rows = n.select(F.expr("left(text, 80)").alias("title"), F.expr("substring(text, 81, 200)").alias("abstract"), F.concat_ws(" ", "lang", "source", F.expr("right(text, 150)")).alias("why"), F.round(numbers.decay(F.col("age_days"), 180.0), 6).alias("w")).collect()
+    terms = [(r["term"], r["weight"]) for r in _terms(s, d).collect()]
+    return pack.Taste(terms, [(r["w"], {"title": r["title"], "why": r["why"], "abstract": r["abstract"]}) for r in rows], [r["why"] for r in rows], [r["title"] for r in rows[:3]], _DIRECTIVES)
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    """Documents with a quality label as candidates; those with even ids have conclusions: what their texts end with."""
+    x = _docs(s, d).join(table(s, d, "labels").select("doc_id", F.col("quality").alias("outcome")), "doc_id")
+    return x.select(F.col("doc_id").alias("id"), F.expr("left(text, 80)").alias("title"), F.array("lang", "source").alias("authors"), F.expr("substring(text, 81)").alias("abstract"), F.when(F.col("doc_id") % 2 == 0, F.expr("right(text, 700)")).alias("conclusions"), "outcome")
+
+
+def by_size(primitive: str, states: list[str]) -> list[dict[str, float]]:
+    """A stand-in scorer whose masses SQL can tell: they follow from a state's size."""
+    return [{"must-read": len(x) % 97 / 96, "irrelevant": 1 - len(x) % 97 / 96} for x in states]
+
+
+def _dump_bytes(x: str) -> str:
+    """SQL: bytes of a text in JSON with escapes for all that isn't ASCII."""
+    return f"(2 + length({x}) + len(regexp_extract_all({x}, '[\"\\\\\\n\\r\\t\\x08\\x0c]')) + 5 * len(regexp_extract_all({x}, '[^ -~\\n\\r\\t\\x08\\x0c]')) + 6 * len(regexp_extract_all({x}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
+_LAB = "SELECT doc_id AS id, quality AS outcome, left(text, 80) AS title, substr(text, 81, 750) AS abstract, CASE WHEN doc_id % 2 = 0 AND text <> '' THEN left(right(text, 700), 600) END AS ends, lang, source FROM documents JOIN labels USING (doc_id)"
+
+
+def _arms_sql(select: str, candidates: str = _LAB) -> str:
+    """SQL with sized(arm, id, outcome, n: bytes of the state): sizes of states by arm, from sizes of their parts alone."""
+    j = _dump_bytes
+    fixed = "length('{\"candidate\": , \"researcher_taste\": {\"directives\": , \"recent_titles\": , \"terms\": {}, \"why_lines\": []}}')"
+    greedy = "length('{\"candidate\": , \"researcher_taste\": {\"cards\": , \"directives\": , \"recent_titles\": , \"terms\": }}')"
+    arms = ", ".join(f"('{n}', '{k}', {b}, {h}, {str(c).lower()})" for n, k, b, h, c in calibrate.ARMS)
+    return f"""
+tn AS (SELECT term, weight, {j('term')} + 2 + length(CAST(round(weight, 2) AS VARCHAR)) AS e FROM terms),
+nn AS (SELECT left(text, 80) AS title, substr(text, 81, 200) AS abstract, substr(lang || ' ' || source || ' ' || right(text, 150), 1, 200) AS why, round(pow(0.5, age_days / 180.0::DOUBLE), 6) AS w, row_number() OVER (ORDER BY age_days, id) AS k FROM notes WHERE NOT staged ORDER BY k LIMIT 40),
+dir AS (SELECT repeat('read widély "often"' || chr(10), 50) AS t),
+base AS (SELECT (SELECT {j('t')} FROM dir) AS whole, (SELECT {j('substr(t, 1, 800)')} FROM dir) AS cut, (SELECT 2 + sum({j('title')}) + 2 * (count(*) - 1) FROM nn WHERE k <= 3) AS titles),
+ft AS (SELECT list(e ORDER BY weight DESC, term) AS x FROM (SELECT * FROM tn ORDER BY weight DESC, term LIMIT 15)),
+fw AS (SELECT list({j('why')} ORDER BY k) AS x FROM nn),
+cuts AS (SELECT unnest([0, 5, 10, 15]) AS many),
+by_terms AS (SELECT many, CASE WHEN many = 0 THEN 0 ELSE list_sum(x[1:many]) + 2 * (many - 1) END AS t FROM cuts, ft),
+by_whys AS (SELECT r, CASE WHEN r = 0 THEN 0 ELSE list_sum(x[1:r]) + 2 * (r - 1) END AS y FROM (SELECT unnest(range(0, len(x) + 1)) AS r, x FROM fw)),
+it AS (SELECT 't' AS kind, 't:' || term AS name, weight / max(weight) OVER () AS pr, e + 2 AS size FROM tn UNION ALL
+       SELECT 'c', 'c:' || title, w / max(w) OVER (), 2 + length('"title": , "why": ') + {j('title')} + {j('why')} + CASE WHEN abstract = '' THEN 0 ELSE length('"abstract": , ') + {j('abstract')} END FROM nn),
+fill AS (SELECT b, list_reduce(list_prepend({{'used': 0::BIGINT, 'kept': []::STRUCT(kind VARCHAR, size BIGINT)[], 'kind': '', 'size': 0::BIGINT}}, list({{'used': 0::BIGINT, 'kept': []::STRUCT(kind VARCHAR, size BIGINT)[], 'kind': kind, 'size': size::BIGINT}} ORDER BY pr DESC, name)),
+         lambda a, x: CASE WHEN a.used + x.size <= b THEN {{'used': a.used + x.size, 'kept': list_append(a.kept, {{'kind': x.kind, 'size': x.size}}), 'kind': '', 'size': 0::BIGINT}} ELSE a END).kept AS kept FROM it, (SELECT unnest([2500, 8000, 12000]) AS b) GROUP BY b),
+parts AS (SELECT b, list_transform(list_filter(kept, lambda x: x.kind = 'c'), lambda x: x.size) AS c, list_transform(list_filter(kept, lambda x: x.kind = 't'), lambda x: x.size - 2) AS t FROM fill),
+cr AS (SELECT b, n, CASE WHEN n = 0 THEN 4 ELSE 2 + list_sum(c[1:n]) + 2 * (n - 1) END AS size FROM (SELECT b, c, unnest(range(0, len(c) + 1)) AS n FROM parts)),
+tr AS (SELECT b, n, n = len(t) AS every, CASE WHEN n = 0 THEN 4 ELSE 2 + list_sum(t[1:n]) + 2 * (n - 1) END AS size FROM (SELECT b, t, unnest(range(0, len(t) + 1)) AS n FROM parts)),
+rungs AS (SELECT cr.b, cr.size + tr.size AS size FROM cr JOIN tr ON cr.b = tr.b AND (tr.every OR cr.n = 0)),
+lab AS ({candidates}),
+cand AS (SELECT id, outcome, length('{{"abstract": , "arxiv": "", "authors": [, ], "title": }}') + length(id::VARCHAR) + {j('abstract')} + {j('lang')} + {j('source')} + {j('title')} AS c, coalesce(length('"conclusions": , ') + {j('ends')}, 0) AS more FROM lab),
+arm AS (SELECT * FROM (VALUES {arms}) a(arm, kind, budget, hard, content)),
+each AS (SELECT arm.*, id, outcome, c + CASE WHEN content THEN more ELSE 0 END AS c FROM cand, arm),
+fx AS (SELECT e.*, c + {fixed} + cut + titles AS bare, (SELECT max(y) FROM by_whys) AS every FROM each e, base WHERE kind = 'fixed-15'),
+fm AS (SELECT f.arm, f.id, f.outcome, f.hard, f.bare, coalesce(max(many) FILTER (many > 0 AND bare + t + every <= 3378), 0) AS many FROM fx f, by_terms GROUP BY ALL),
+fs AS (SELECT f.arm, f.id, f.outcome, max(bare + t + y) AS n FROM fm f JOIN by_terms USING (many) LEFT JOIN by_whys ON bare + t + y <= hard GROUP BY ALL),
+gs AS (SELECT e.arm, e.id, e.outcome, max(c + {greedy} + whole + titles + size) AS n FROM each e CROSS JOIN base LEFT JOIN rungs ON b = budget AND c + {greedy} + whole + titles + size <= hard WHERE kind <> 'fixed-15' GROUP BY ALL),
+sized AS (SELECT * FROM fs UNION ALL SELECT * FROM gs) {select}"""
+
+
+@query("agg_13_arm_metrics", with_views("notes terms", "").rstrip() + ", " + _arms_sql("SELECT arm, round(avg((p - outcome) * (p - outcome)) FILTER (greatest(p, 1 - p) >= 0.6), 6) AS brier, count(*) FILTER (greatest(p, 1 - p) >= 0.6) AS n, round(avg(n), 4) AS mean_bytes FROM (SELECT arm, outcome, n, n % 97 / 96.0::DOUBLE AS p FROM sized) GROUP BY arm"))
+def _(s, d):
+    """JOIN-22, 23, MDL-10: labelled documents, assembled and scored anew under every arm."""
+    return calibrate.arm_metrics(calibrate.replay(_labelled(s, d), _taste(s, d), by_size))
+
+
+@query("mdl_10_arm_states", with_views("notes terms", "").rstrip() + ", " + _arms_sql("SELECT arm, id::VARCHAR AS id, n FROM sized"))
 def _(s, d):
-    return calibrate.arm_metrics(calibrate.replay(_graded(s, d)).withColumn("state_bytes", F.col("pos")))
+    """PCK-1, PCK-2: bytes of each state, null where nothing fits."""
+    got = pack.assembled(_labelled(s, d), _taste(s, d), calibrate.ARMS)
+    return got.select("arm", "id", F.when(F.col("state").isNotNull(), F.length("state").cast("long")).alias("n"))
 
 
-@query("pck_03_arms", "SELECT * FROM (VALUES ('fixed-15/4KB', 2500, 4096), ('fixed-15/4KB+content', 2500, 4096), ('greedy/4KB', 2500, 6596), ('greedy/4KB+content', 2500, 6596), ('greedy/8KB', 8000, 12096), ('greedy/8KB+content', 8000, 12096), ('greedy/12KB', 12000, 16096), ('greedy/12KB+content', 12000, 16096)) a(arm, taste_budget, hard_cap)")
+@query("pck_03_arms", with_views("notes terms", "").rstrip() + ", " + _arms_sql("SELECT s.arm, budget AS taste_budget, hard AS hard_cap, count(n) AS fitting FROM sized s JOIN arm USING (arm) GROUP BY ALL"))
 def _(s, d):
-    return calibrate.arms(s).select("arm", "taste_budget", "hard_cap")
+    """The arms, and how many labelled documents' states fit each."""
+    fitting = pack.assembled(_labelled(s, d), _taste(s, d), calibrate.ARMS).groupBy("arm").agg(F.count("state").alias("fitting"))
+    return calibrate.arms(s).select("arm", "taste_budget", "hard_cap").join(fitting, "arm")
 
 
 @query("join_22_replay_set", "SELECT j.pos, j.paper, o.outcome FROM journal j JOIN outcomes o USING (paper) WHERE o.outcome IS NOT NULL", "journal outcomes")
@@ -792,10 +867,12 @@ def _(s, d):
     return pack.packed(i, ["lang"], 20_000).select("lang", "used", F.size("kept").cast("long").alias("n"))
 
 
-@query("pck_01_fixed")
+@query("pck_01_fixed", with_views("notes terms items", "").rstrip() + ", " + _arms_sql("SELECT id, n AS bytes FROM sized WHERE arm = 'fixed-15/4KB'", "SELECT id, 0 AS outcome, title, substr(abstract, 1, 750) AS abstract, NULL::VARCHAR AS ends, lang, source FROM items"))
 def _(s, d):
-    i = views.items(s, d).withColumn("authors", F.array().cast("array<string>"))
-    return pack.fixed_states(i, [(f"term{k}", 20.0 - k) for k in range(20)], ["because " * 30] * 4, ["one", "two", "three", "four"], "read widely " * 50).select("id", "bytes", "dropped_terms", "dropped_why")
+    """Every unlabelled document's state under the incumbent policy."""
+    i, t = views.items(s, d).withColumn("authors", F.array("lang", "source")), _taste(s, d)
+    got = pack.fixed_states(i, t.terms, t.whys, t.titles, t.directives)
+    return got.select("id", F.when(F.col("state").isNotNull(), F.length("state").cast("long")).alias("bytes"))
 
 
 @query("json_01_bytes", "SELECT doc_id, 16 + length(lang) + length(CAST(doc_id AS VARCHAR)) AS n FROM documents")
