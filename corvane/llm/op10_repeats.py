@@ -6,8 +6,10 @@
    no window reaches out of its phrase.
 2. Parse and dictionary.  A phrase is known by a hash of its text and place of trigger.  Of each distinct phrase the first
    occurrence (doc_id, start) enters the dictionary; every later one is removed whole.  Tasks keep the first of their own
-   before anything is shuffled, so a passage in a third of all documents arrives as one entry a task; what a task has
-   already removed is dealt by document, not by phrase.
+   before anything is shuffled, so a passage in a third of all documents arrives as one entry a task.  A task deals to at
+   most FAN ranges of buckets at once; where there are more buckets, tasks of a range merge what arrives, in portions of
+   bounded size, and deal it to narrower ranges.  So a phrase costs the same at every size of the corpus, a very common one
+   is merged level by level, and a trigger that only many tasks together show to be hot is found on the way.
 3. Of the dictionary, only phrases whose trigger also stands in another distinct phrase can share a window.  Their texts
    meet by trigger; the suffixes of all of them are sorted by their first WINDOW bytes (prefix doubling: 8, 16, 32, 64,
    then WINDOW), which with the entries' positions gives the order of equal windows in the corpus.  All but the first of
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,8 @@ WINDOW, GRAM = 100, 16
 FLUSH, BUCKET_PHRASES, BUCKET_BYTES = 300_000, 120_000, 1 << 20
 #: Distinct phrases of a trigger from which on its windows are grouped one by one: in a task's share, in all.
 TASK_HOT, HOT = 2048, 20_000
+#: Shares that a task deals to at once; tasks that the shares of a wide range of buckets go to.
+FAN, SALTS = 1024, 32
 DUP, DETAIL, HOT_DETAIL = 0, 1, 2
 _LAST_ID = 2**63 - 1
 
@@ -122,36 +127,61 @@ def _firsts(k: np.ndarray, doc: np.ndarray, tag: np.ndarray, low: np.ndarray) ->
     return out
 
 
-def _of_task(buckets: int):
-    """Texts to bucket shares."""
+def spans(buckets: int) -> list[int]:
+    """Buckets to a share at each level, the last 1: a task deals its phrases to at most FAN shares at once, whatever their number is."""
+    out, span = [], buckets
+    while not out or span > 1:
+        span = max(1, math.ceil(span / FAN))
+        out.append(span)
+    return out
+
+
+def _dealt(entries: tuple[np.ndarray, ...], known: np.ndarray, marks: np.ndarray, gone: tuple[np.ndarray, ...], buckets: int, span: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Entries (h, k, doc, tag, low, high), marks of hot triggers and removed phrases as shares of the buckets that occur among them.
+
+    The first occurrence of a phrase stays an entry, later ones join the removed ones, which go with any share.  Entries of
+    triggers that are hot here are dealt by phrase; a mark of the trigger goes where its other entries go.
+    """
+    h, k, doc, tag, low, high = entries
+    first = _firsts(k, doc, tag, low)
+    gone = tuple(np.concatenate((x, y[~first])) for x, y in zip(gone, (doc, tag, low, high), strict=True))
+    h, k, doc, tag, low, high, known = (x[first] for x in (h, k, doc, tag, low, high, known))
+    u, inverse = np.unique(h, return_inverse=True)
+    hot = u[np.bincount(inverse[~known], minlength=len(u)) > TASK_HOT]
+    known = known | np.isin(h, hot)
+    marks = np.union1d(marks, hot)
+    n = np.uint64(buckets)
+    share = lambda at: (at % n).astype(np.int64) // span
+    to, marks_to = share(np.where(known, mix(k), h)) * 2 + known, share(marks) * 2
+    groups = np.unique(np.concatenate((to, marks_to)))
+    if not len(groups):
+        groups = np.zeros(1, np.int64)
+    o, marks = np.argsort(to, kind="stable"), marks[np.argsort(marks_to, kind="stable")]
+    cuts, marks_cuts = (np.searchsorted(np.sort(x), np.append(groups, np.iinfo(np.int64).max)) for x in (to, marks_to))
+    by_doc = np.lexsort((gone[2], gone[1], gone[0]))
+    gone_cuts = np.arange(len(groups) + 1) * len(by_doc) // len(groups)
+    names, blobs = [], []
+    for i, g in enumerate(groups.tolist()):
+        a, b = o[cuts[i] : cuts[i + 1]], by_doc[gone_cuts[i] : gone_cuts[i + 1]]
+        names.append(g // 2)
+        blobs.append(_pack(h[a], k[a], doc[a], tag[a], low[a], high[a], tuple(x[b] for x in gone), marks[marks_cuts[i] : marks_cuts[i + 1]], g % 2 == 1))
+    for at in range(0, len(names), 64):
+        some = len(names[at : at + 64])
+        yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 64], pa.int64()), pa.array([salt] * some, pa.int32()), pa.array(blobs[at : at + 64], pa.binary())], ["bucket", "salt", "share"])
+
+
+def _salt() -> int:
+    context = TaskContext.get()
+    return context.partitionId() % SALTS if context is not None else 0
+
+
+def _of_task(buckets: int, span: int):
+    """Texts to shares."""
 
     def send(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, tag, low, high, h, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-        first = _firsts(k, doc, tag, low)
-        u, inverse = np.unique(h[first], return_inverse=True)
-        hot = u[np.bincount(inverse) > TASK_HOT]
-        is_hot = np.isin(h, hot)
-        # entries of triggers that are hot here are dealt by phrase; a mark of the trigger goes where its other entries go
-        to = (np.where(is_hot, mix(k), h) % np.uint64(buckets)).astype(np.int64)
-        group = np.where(first, to * 2 + is_hot, 2 * buckets)  # what is removed already isn't dealt by phrase
-        hot_to = (hot % np.uint64(buckets)).astype(np.int64)
-        o = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[o], np.arange(2 * buckets + 1))
-        gone = o[cuts[-1] :]
-        gone_to = (mix(doc[gone].view(np.uint64) ^ tag[gone].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        gone = gone[np.argsort(gone_to, kind="stable")]
-        gone_cuts = np.searchsorted(np.sort(gone_to), np.arange(buckets + 1))
-        names, blobs = [], []
-        for g in range(2 * buckets):
-            a = o[cuts[g] : cuts[g + 1]]
-            marks = hot[hot_to == g // 2] if g % 2 == 0 and len(hot) else hot[:0]
-            b = gone[gone_cuts[g // 2] : gone_cuts[g // 2 + 1]] if g % 2 == 0 else gone[:0]
-            if not len(a) and not len(marks) and not len(b):
-                continue
-            names.append(g // 2)
-            blobs.append(_pack(h[a], k[a], doc[a], tag[a], low[a], high[a], (doc[b], tag[b], low[b], high[b]), marks, g % 2 == 1))
-        for at in range(0, len(names), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 64], pa.int32()), pa.array(blobs[at : at + 64], pa.binary())], ["bucket", "share"])
+        nothing = tuple(np.zeros(0, x.dtype) for x in (doc, tag, low, high))
+        yield from _dealt((h, k, doc, tag, low, high), np.zeros(len(h), bool), h[:0], nothing, buckets, span, _salt())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, parts, held = Powers(), [], 0
@@ -172,17 +202,40 @@ def _of_task(buckets: int):
     return run
 
 
+def _joined(blobs: list[bytes]) -> tuple:
+    """Entries, which of them are dealt by phrase, marks and removed phrases of several shares."""
+    shares = [_unpack(x) for x in blobs]
+    h, k, marks = (np.concatenate([s[i] for s in shares]) for i in range(3))
+    known = np.concatenate([np.full(len(s[0]), s[3]) for s in shares])
+    doc, tag, low, high = (np.concatenate([s[4][i] for s in shares]) for i in range(4))
+    return (h, k, doc, tag, low, high), known, marks, tuple(np.concatenate([s[5][i] for s in shares]) for i in range(4))
+
+
+def _merged(buckets: int, span: int):
+    """Shares of wide ranges of buckets to shares of narrow ones: what many tasks hold first is merged on the way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, held = [], 0
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                blobs.append(blob)
+                held += sum(struct.unpack_from("<II", blob))
+                if held >= FLUSH:
+                    yield from _dealt(*_joined(blobs), buckets, span, _salt())
+                    blobs, held = [], 0
+        if blobs:
+            yield from _dealt(*_joined(blobs), buckets, span, _salt())
+
+    return run
+
+
+_SHARE = "bucket long, salt int, share binary"
 _FLAGS = "dk long, tag long, low int, high int, kind int, h long"
 
 
 def _of_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """The dictionary of a bucket: which entries are later occurrences, and which may share windows with others."""
-    shares = [_unpack(x) for x in pdf["share"]]
-    h, k = (np.concatenate([s[i] for s in shares]) for i in (0, 1))
-    marks = np.concatenate([s[2] for s in shares])
-    known = np.concatenate([np.full(len(s[0]), s[3]) for s in shares])
-    doc, tag, low, high = (np.concatenate([s[4][i] for s in shares]) for i in range(4))
-    gone = [np.concatenate([s[5][i] for s in shares]) for i in range(4)]
+    (h, k, doc, tag, low, high), known, marks, gone = _joined(list(pdf["share"]))
     first = _firsts(k, doc, tag, low)
     kind = np.where(first, -1, DUP)
     at = np.flatnonzero(first & ~known)
@@ -328,7 +381,10 @@ def repeats(docs: DataFrame, step: Steps) -> tuple[DataFrame, bool]:
     total, apart = _measured(docs)
     keyed = _keyed(docs, apart)
     buckets = max(1, math.ceil(total / 43 / BUCKET_PHRASES))
-    shares = keyed.select("dk", "tag", "text").mapInArrow(_of_task(buckets), "bucket int, share binary")
+    first, *narrower = spans(buckets)
+    shares = keyed.select("dk", "tag", "text").mapInArrow(_of_task(buckets, first), _SHARE)
+    for span in narrower:
+        shares = shares.repartition("bucket", "salt").sortWithinPartitions("bucket").select("share").mapInArrow(_merged(buckets, span), _SHARE)
     flags = step(shares.groupBy("bucket").applyInPandas(_of_bucket, _FLAGS), "flags")
     detail = flags.where(F.col("kind") != DUP).groupBy("dk", "tag").agg(F.collect_set(F.struct("low", "high", "kind", "h")).alias("marks"))
     texts = step(_packed(keyed).join(detail, ["dk", "tag"]).select("dk", "tag", "packed", "marks").mapInArrow(_texts, _TEXTS), "phrases")

@@ -10,6 +10,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,9 +279,13 @@ def _removed(rows):
     return out
 
 
+@pytest.mark.parametrize("levels", [None, (2, 10, 40), (3, 30, 10**6)])
 @pytest.mark.parametrize("hot", [(2048, 20_000), (3, 5)])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
-    """Copies, shared passages, periodic texts; with and without the way of hot triggers."""
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, levels):
+    """Copies, shared passages, periodic texts; with and without the way of hot triggers; phrases dealt at once or level by level."""
+    if levels:
+        for name, value in zip(("FAN", "BUCKET_PHRASES", "FLUSH"), levels, strict=True):
+            monkeypatch.setattr(op10_repeats, name, value)
     monkeypatch.setattr(op10_repeats, "TASK_HOT", hot[0])
     monkeypatch.setattr(op10_repeats, "HOT", hot[1])
     rng = random.Random(2)
@@ -414,6 +419,44 @@ def test_pii_recall_of_planted_disguises():
     assert found / total >= 0.9
 
 
+def test_phrases_cost_the_same_whatever_the_number_of_buckets():
+    """One task's share of 6 MB of text, dealt for a small corpus and for one a thousand times as large."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 6_000_000, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([0] * 300), pa.array([text[k * 20_000 : (k + 1) * 20_000] for k in range(300)])], ["dk", "tag", "text"])
+    rows, seconds, entries = [], [], []
+    for buckets in (6_000, 6_000_000):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            out = list(op10_repeats._of_task(buckets, op10_repeats.spans(buckets)[0])(iter([batch])))
+            took.append(time.process_time() - began)
+        rows.append(sum(b.num_rows for b in out))
+        entries.append(sum(len(op10_repeats._unpack(x)[0]) for b in out for x in b.column(2).to_pylist()))
+        seconds.append(min(took))
+    assert rows[1] <= 1.2 * rows[0] <= 1.2 * op10_repeats.FAN and entries[0] == entries[1] > 100_000
+    assert seconds[1] <= 1.2 * seconds[0] + 0.1
+    assert [op10_repeats.spans(n) for n in (1, 1024, 1025, 6_000_000)] == [[1], [1], [2, 1], [5860, 6, 1]]
+
+
+def test_a_common_phrase_is_merged_on_the_way():
+    """Shares of 200 tasks that hold one phrase, and a trigger that no task by itself shows to be hot."""
+    shares, n = [], 200
+    for task in range(n):
+        own = np.arange(30, dtype=np.uint64) + np.uint64(1000 * task + 10)
+        k = np.concatenate((np.array([5], np.uint64), own))
+        doc = np.full(31, task, np.int64)
+        entries = (np.full(31, 77, np.uint64), k, doc, np.zeros(31, np.int64), np.arange(31), np.arange(31) + 3)
+        nothing = tuple(np.zeros(0, np.int64) for _ in range(4))
+        out = list(op10_repeats._dealt(entries, np.zeros(31, bool), k[:0], nothing, 10**6, 1000, 0))
+        shares += [x for b in out for x in b.column(2).to_pylist()]
+    merged = list(op10_repeats._merged(10**6, 1)(iter([pa.RecordBatch.from_arrays([pa.array(shares, pa.binary())], ["share"])])))
+    (h, k, doc, *_), known, marks, gone = op10_repeats._joined([x for b in merged for x in b.column(2).to_pylist()])
+    assert len(k) == len(set(k.tolist())) == 30 * n + 1 and doc[k == 5].tolist() == [0] and sorted(gone[0].tolist()) == list(range(1, n))
+    assert known.all() and marks.tolist() == [77] and (h == 77).all()
+    assert sum(b.num_rows for b in merged) > 5000  # dealt by phrase
+
+
 @pytest.mark.parametrize("ids", [None, 7])
 def test_repeats_under_one_or_no_id(spark, ids):
     """2000 texts that share an id, or have none, are documents of their own, in the order of their hashes."""
