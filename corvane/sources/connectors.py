@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import time
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -16,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from . import pacing
 
 Transport = Callable[[str], str]
 
@@ -25,26 +26,31 @@ PACE = {"chat": 1.0, "citations": 1.1, "pdf": 3.0, "model": 0.05}
 
 
 class Requests(InputPartition):
-    def __init__(self, urls: list[str]) -> None:
-        self.urls = urls
+    def __init__(self, urls: list[str], lane: int, lanes: int) -> None:
+        self.urls, self.lane, self.lanes = urls, lane, lanes
 
 
 class PagedReader(DataSourceReader):
-    """One partition a start request; follows "next" offsets; a failed request ends its own partition only."""
+    """Start requests dealt to a few lanes; follows "next" offsets; a failed request ends its own pages only.
+
+    STM-8: the plan of slots is made on the driver, and all lanes keep it, so the service is called once a slot at most.
+    """
 
     def __init__(self, urls: list[str], transport: Transport, pace: float, next_of: Callable[[str, dict], str | None]) -> None:
-        self.urls, self.transport, self.pace, self.next_of = urls, transport, pace, next_of
+        self.urls, self.transport, self.next_of = urls, transport, next_of
+        self.plan = pacing.Plan.now(pace)
 
     def partitions(self) -> list[InputPartition]:
-        return [Requests([u]) for u in self.urls]
+        lanes = min(len(self.urls), pacing.LANES) if self.plan.pace else len(self.urls)
+        return [Requests(self.urls[k::lanes], k, lanes) for k in range(lanes)]
 
     def read(self, partition: Requests) -> Iterator[tuple]:
+        turns = self.plan.turns(partition.lane, partition.lanes)
         for start in partition.urls:
             url: str | None = start
             page = 0
             while url is not None:
-                if page and self.pace:
-                    time.sleep(self.pace)
+                next(turns)
                 try:
                     body = self.transport(url)
                 except Exception as e:  # noqa: BLE001  an outage is a row, not a failure of the query
@@ -105,6 +111,84 @@ def messages(pages: DataFrame) -> DataFrame:
     return _parsed(pages, f"messages array<{_MESSAGE}>").select("request", F.explode("b.messages").alias("m")).select("request", "m.*")
 
 
+class Stretch(InputPartition):
+    """Of a channel, the messages after one ts up to another."""
+
+    def __init__(self, channel: str, after: str, upto: str, lane: int, lanes: int) -> None:
+        self.channel, self.after, self.upto, self.lane, self.lanes = channel, after, upto, lane, lanes
+
+
+def history_request(channel: str, oldest: str = "0", latest: str | None = None, cursor: str | None = None, limit: int = 200) -> str:
+    """SRC-18: a request for a channel's messages after oldest, up to latest, a page at a time."""
+    parts = [("channel", channel), ("oldest", oldest), ("latest", latest), ("cursor", cursor), ("limit", str(limit))]
+    return "conversations.history?" + "&".join(f"{k}={v}" for k, v in parts if v is not None)
+
+
+def _ts(x: str) -> tuple[int, str]:
+    """Order of the service's ts: seconds, then the digits behind the point."""
+    seconds, _, rest = x.partition(".")
+    return int(seconds or 0), rest
+
+
+class HistoryReader(DataSourceStreamReader):
+    """SRC-18: channels' history as a stream; the offset is the ts of each channel's newest message.
+
+    A batch is what lies between two offsets, so a batch that runs again reads the same messages, and a restart goes on
+    where the checkpoint is.  Pages are followed by the service's cursor; a failed page fails the batch, which then
+    runs again.
+    """
+
+    def __init__(self, channels: list[str], transport: Transport, pace: float) -> None:
+        self.channels, self.transport, self.plan = channels, transport, pacing.Plan.now(pace)
+
+    def initialOffset(self) -> dict:
+        return {c: "0" for c in self.channels}
+
+    def latestOffset(self) -> dict:
+        """The newest ts of each channel (a request a channel); an empty channel stays at the beginning."""
+        turns, out = self.plan.turns(0, 1), {}
+        for c in self.channels:
+            next(turns)
+            found = json.loads(self.transport(history_request(c, limit=1))).get("messages") or []
+            out[c] = max((m["ts"] for m in found), key=_ts, default="0")
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        new = [(c, start.get(c, "0"), upto) for c, upto in sorted(end.items()) if _ts(upto) > _ts(start.get(c, "0"))]
+        return [Stretch(c, after, upto, k % pacing.LANES, min(len(new), pacing.LANES)) for k, (c, after, upto) in enumerate(new)]
+
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        turns, cursor = self.plan.turns(partition.lane, partition.lanes), None
+        while cursor != "":
+            next(turns)
+            page = json.loads(self.transport(history_request(partition.channel, partition.after, partition.upto, cursor)))
+            for m in page.get("messages") or []:
+                if _ts(partition.after) < _ts(m["ts"]) <= _ts(partition.upto):
+                    yield tuple([partition.channel, *(m.get(k) for k in ("ts", "thread_ts", "user", "bot_id", "subtype", "text"))])
+            cursor = (page.get("response_metadata") or {}).get("next_cursor") or ""
+
+    def commit(self, end: dict) -> None:
+        """Nothing to do: the service keeps its messages."""
+
+
+def history(spark: SparkSession, channels: list[str], transport: Transport, pace: float = PACE["chat"]) -> DataFrame:
+    """SRC-18: a stream of channel, ts, thread_ts, user, bot_id, subtype, text."""
+
+    class History(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "corvane_history"
+
+        def schema(self) -> str:
+            return "channel string, ts string, thread_ts string, user string, bot_id string, subtype string, text string"
+
+        def streamReader(self, schema) -> HistoryReader:
+            return HistoryReader(channels, transport, pace)
+
+    spark.dataSource.register(History)
+    return spark.readStream.format("corvane_history").load()
+
+
 def replies(pages: DataFrame, parent: Column) -> DataFrame:
     """SRC-19: the messages of threads without the parent; parent: its ts, from the request."""
     return messages(pages).withColumn("parent", parent).where("ts <> parent")

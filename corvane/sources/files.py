@@ -129,9 +129,10 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-13: texts by id, from files named arxiv-<id>.txt."""
+    """SRC-13: texts by id, from files named arxiv-<id>.txt (an id's slash stands as %2F in the name)."""
     raw = spark.read.option("pathGlobFilter", "arxiv-*.txt").text(path, wholetext=True)
-    return raw.select(F.regexp_extract("_metadata.file_path", r"arxiv-(.+)\.txt$", 1).alias("arxiv"), F.col("value").alias("text"))
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"arxiv-(.+)\.txt$", 1)
+    return raw.select(F.url_decode(F.url_decode(name)).alias("arxiv"), F.col("value").alias("text"))
 
 
 def pdfs(spark: SparkSession, path: str, extract) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators.labels import new_labels
+from corvane.operators.rank import first_by
 
 from . import sequence
 
@@ -100,10 +101,14 @@ def fan_out(picks: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], dur
 
 
 def staged_notes(hits: DataFrame, existing: DataFrame, day: str) -> DataFrame:
-    """SNK-9 to 11, STR-9, 22: new notes (file, value) for hits (arxiv, title, authors, why) that no note owns; equal slugs get numbers."""
+    """SNK-9 to 11, STR-9, 22: new notes (file, value) for hits (arxiv, title, authors, why) that no note owns; equal slugs get numbers.
+
+    Of several hits of an id, the first by title, then why, counts; an id is needed, a missing title or why is empty.
+    """
     from pyspark.sql import Window
 
-    new = hits.dropDuplicates(["arxiv"]).join(existing.select("arxiv"), "arxiv", "left_anti").withColumn("slug", text.slug(F.col("title")))
+    hits = hits.where("arxiv IS NOT NULL").withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "why")})
+    new = first_by(hits, ["arxiv"], F.col("title"), F.col("why")).join(existing.select("arxiv"), "arxiv", "left_anti").withColumn("slug", text.slug(F.col("title")))
     k = F.row_number().over(Window.partitionBy("slug").orderBy("arxiv"))
     name = F.concat(F.lit(f"paper-{day.replace('-', '')}-"), "slug", F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit(".md"))
     quote = lambda c: F.concat(F.lit('"'), text.yaml_scalar(F.col(c)), F.lit('"'))
