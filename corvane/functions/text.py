@@ -186,6 +186,9 @@ def yaml_scalar(text: Column) -> Column:
 SECRET_VALUE = r"xox[baprs]-|Bearer\s+|sk-[A-Za-z0-9]{8,}|AIza[0-9A-Za-z_-]{10,}"
 SECRET_FIELD = r"(?i)key|token|secret|password"
 WORKSPACE_ID = r"^[CUGDWT]0[0-9A-Z]{6,}$"
+#: What stands for them.
+SECRET_STAND_IN, FIELD_STAND_IN = "<sanitized-secret>", "<dropped-secret>"
+ID_STAND_INS, OTHER_STAND_IN = {"C": "C0000000SYN", "U": "U0000000SYN"}, "X0000000SYN"
 
 
 def sanitize(value: Column) -> Column:

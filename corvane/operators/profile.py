@@ -130,9 +130,12 @@ def fold_summary(notes: DataFrame) -> DataFrame:
     return notes.agg(F.count(F.lit(1)).alias("scanned"), one(F.col("identity").isNotNull(), "with_identity"), one(F.col("status") == "staged", "staged"), one(F.col("seed").isNotNull(), "seeded"), one(F.col("why").isNotNull(), "with_why"))
 
 
-def staged_audit(with_all: DataFrame, gated: DataFrame) -> DataFrame:
-    """AGG-23: terms whose weight differs between two profiles."""
-    a, b = with_all.select("term", F.col("weight").alias("all_w")), gated.select("term", F.col("weight").alias("gated_w"))
+def staged_audit(notes: DataFrame, content: Column, **how: object) -> DataFrame:
+    """AGG-23, FLT-1: terms whose weight differs between the profile of all notes and that of contributing ones: all_w, gated_w.
+
+    notes as profile has them, with contributes.
+    """
+    a, b = (profile(n, content, **how).select("term", F.col("weight").alias(w)) for n, w in ((notes, "all_w"), (contributing(notes), "gated_w")))
     both = a.join(b, "term", "full").withColumn("all_w", F.coalesce("all_w", F.lit(0.0))).withColumn("gated_w", F.coalesce("gated_w", F.lit(0.0)))
     return both.where(F.abs(F.col("all_w") - F.col("gated_w")) > 1e-9)
 

@@ -79,11 +79,15 @@ def model_first(items: DataFrame, top: int = 5) -> DataFrame:
     return items.where(ok).withColumn("mass", F.coalesce("mass", F.lit(0.0))).orderBy(F.desc("mass"), F.desc("score"), "id").limit(top)
 
 
-def lexical_first(pooled: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
-    """MDL-6, FLT-7: survivors, and near-misses and probes that the model lifts over a threshold, ranked together."""
+def lifted(pooled: DataFrame, least: float = 0.6) -> DataFrame:
+    """FLT-7: survivors, and near-misses and probes that the model lifts over a threshold; rescued tells the pool of the latter."""
     kept = pooled.where((F.col("pool") == "survivor") | (F.col("pool").isin("near-miss", "probe") & (F.col("mass") >= least)))
-    out = kept.withColumn("rescued", F.when(F.col("pool") != "survivor", F.col("pool")))
-    return out.orderBy(F.desc("mass"), F.desc("score"), "id").limit(top)
+    return kept.withColumn("rescued", F.when(F.col("pool") != "survivor", F.col("pool")))
+
+
+def lexical_first(pooled: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
+    """MDL-6, FLT-7: what is lifted and the survivors, ranked together."""
+    return lifted(pooled, least).orderBy(F.desc("mass"), F.desc("score"), "id").limit(top)
 
 
 def two_pass(items: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,10 +74,29 @@ def _(s, d):
     return profile.profile(n, F.col("text"), stop=()).select("term", "df", F.round("weight", 4).alias("weight"))
 
 
-@query("agg_03_saturation_cap", "SELECT term, df FROM prof WHERE weight = 0", "prof")
+@query("agg_03_saturation_cap", "SELECT term, df FROM prof WHERE weight = 0 UNION ALL SELECT 'zzeverywhere', count(*) FROM notes", "prof")
 def _(s, d):
+    """A word that every note has weighs nothing."""
     n = views.notes(s, d).withColumn("tags", F.array().cast("array<string>"))
-    return profile.profile(n, F.col("text"), stop=()).where("weight = 0").select("term", "df")
+    return profile.profile(n, F.concat("text", F.lit(" zzeverywhere")), stop=()).where("weight = 0").select("term", "df")
+
+
+def _full_profile(tokens: str, notes: str, name: str) -> str:
+    """SQL of a profile with stop words, tags and one directive, over tokens (id, factor, term) and notes (factor, lang, source)."""
+    stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    return f"""{name}_n AS (SELECT count(*)::DOUBLE AS n FROM ({notes})),
+{name}_b AS (SELECT term, df, CASE WHEN df >= 0.8 * n AND n >= 3 THEN 0 ELSE m * greatest(1.0::DOUBLE, ln(n / df) + 1) END AS w FROM (SELECT term, count(*) AS df, sum(c * factor) AS m FROM (SELECT id, term, any_value(factor) AS factor, count(*) AS c FROM ({tokens}) WHERE term NOT IN ({stop}) GROUP BY 1, 2) GROUP BY 1), {name}_n),
+{name} AS (SELECT term, sum(df)::BIGINT AS df, sum(w) AS weight FROM (SELECT * FROM {name}_b UNION ALL SELECT lower(unnest([lang, source])), 0, 3.0::DOUBLE * factor FROM ({notes}) UNION ALL SELECT 'directed', 0, 5.0::DOUBLE) GROUP BY 1)"""
+
+
+_FACTOR = "pow(0.5, age_days / 180.0::DOUBLE) * CASE WHEN rating = 'marginal' THEN 0.5 ELSE 1.0 END::DOUBLE AS factor"
+
+
+@query("agg_02_full_profile", with_views("tok", "").rstrip() + ", " + _full_profile("SELECT * FROM tok", f"SELECT *, {_FACTOR} FROM notes", "full_prof") + " SELECT term, df, round(weight, 4) AS weight FROM full_prof")
+def _(s, d):
+    """With stop words, tags and a directive."""
+    directed = s.createDataFrame([("Directed",)], "term string")
+    return profile.profile(views.notes(s, d), F.col("text"), directed).select("term", "df", F.round("weight", 4).alias("weight"))
 
 
 @query("agg_06_inlinks", "SELECT d.doc_id AS id, count(DISTINCT b.item_id) AS inlinks FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
@@ -102,12 +122,14 @@ def _(s, d):
     return t.join(F.broadcast(t.agg(F.max("weight").alias("top")))).select("term", F.round(numbers.share_of_max(F.col("weight"), F.col("top")), 6).alias("priority"))
 
 
-@query("agg_23_staged_audit", """SELECT coalesce(a.lang, b.lang) AS term, round(coalesce(a.w, 0), 4) AS all_w, round(coalesce(b.w, 0), 4) AS gated_w
-FROM (SELECT lang, sum(pow(0.5, age_days / 180.0::DOUBLE)) AS w FROM notes GROUP BY 1) a FULL JOIN (SELECT lang, sum(pow(0.5, age_days / 180.0::DOUBLE)) AS w FROM notes WHERE NOT staged GROUP BY 1) b ON a.lang = b.lang WHERE abs(coalesce(a.w, 0) - coalesce(b.w, 0)) > 1e-9""", "notes")
+@query("agg_23_staged_audit", with_views("tok", "").rstrip() + ", " + _full_profile("SELECT * FROM tok", f"SELECT *, {_FACTOR} FROM notes", "pa") + ", "
+       + _full_profile("SELECT * FROM tok WHERE id % 7 <> 0 OR id % 2 = 0", f"SELECT *, {_FACTOR} FROM notes WHERE id % 7 <> 0 OR id % 2 = 0", "pb")
+       + " SELECT term, round(coalesce(pa.weight, 0), 4) AS all_w, round(coalesce(pb.weight, 0), 4) AS gated_w FROM pa FULL JOIN pb USING (term) WHERE abs(coalesce(pa.weight, 0) - coalesce(pb.weight, 0)) > 1e-9")
 def _(s, d):
-    weigh = lambda n: n.groupBy(F.col("lang").alias("term")).agg(F.sum(numbers.decay(F.col("age_days")).cast("decimal(38,12)")).cast("double").alias("weight"))
-    n = views.notes(s, d)
-    return profile.staged_audit(weigh(n), weigh(n.where("NOT staged"))).select("term", F.round("all_w", 4).alias("all_w"), F.round("gated_w", 4).alias("gated_w"))
+    """Two profiles: all notes, and those that contribute (staged ones with odd ids are untouched)."""
+    raw = views.notes(s, d).withColumn("contributes", ~(F.col("staged") & (F.col("id") % 2 != 0)))
+    got = profile.staged_audit(raw, F.col("text"), directives=s.createDataFrame([("directed",)], "term string"))
+    return got.select("term", F.round("all_w", 4).alias("all_w"), F.round("gated_w", 4).alias("gated_w"))
 
 
 @query("prj_01_identity", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'arxiv:' || lpad(CAST(doc_id AS VARCHAR), 9, '0') WHEN doc_id % 3 = 1 THEN 'doi:10.1/' || doc_id END AS identity FROM documents")
@@ -193,9 +215,11 @@ def _(s, d):
     return rank.skipped(i, i.where("id % 3 = 0"), i.where("id % 5 = 0")).select("id", "source", "reason")
 
 
-@query("join_12_dead_feeds", "SELECT DISTINCT source AS feed FROM documents WHERE source NOT IN (SELECT source FROM items WHERE id % 11 = 0)", "items")
+@query("join_12_dead_feeds", "SELECT DISTINCT source AS feed FROM documents WHERE source NOT IN (SELECT source FROM items WHERE id % 11 = 0) UNION SELECT 'empty ' || source FROM documents", "items")
 def _(s, d):
-    return rank.dead_feeds(_docs(s, d).select(F.col("source").alias("feed")).distinct(), views.items(s, d).where("id % 11 = 0").select(F.col("source").alias("feed")))
+    """Every source is configured twice, under a name that never gives a row too."""
+    asked = _docs(s, d).select(F.explode(F.array("source", F.concat(F.lit("empty "), "source"))).alias("feed")).distinct()
+    return rank.dead_feeds(asked, views.items(s, d).where("id % 11 = 0").select(F.col("source").alias("feed")))
 
 
 @query("set_01_union_feeds", "SELECT lang AS source, n AS id, min(doc_id) AS first FROM (SELECT lang, doc_id, n_chars % 50 AS n FROM documents) GROUP BY 1, 2")
@@ -261,9 +285,10 @@ def _(s, d):
     return _docs(s, d).select("doc_id", rank.run_id(F.col("lang"), F.col("source")).alias("run_id"), F.substring(F.sha2("text", 256), 1, 16).alias("print"))
 
 
-@query("prj_14_fingerprint")
+@query("prj_14_fingerprint", "SELECT substr(sha256(string_agg(l, chr(10) ORDER BY l)), 1, 16) AS fingerprint FROM (SELECT id || '|' || n_terms || '|' || coalesce(terms, '') || '|' AS l FROM pooled ORDER BY mass DESC, score DESC, id LIMIT 5)", "pooled")
 def _(s, d):
-    return rank.fingerprint(rank.picks(_pooled(s, d)).withColumn("rescued", F.lit(None).cast("string")))
+    """The numbers of terms stand for the scores, which engines write in different ways."""
+    return rank.fingerprint(rank.picks(_pooled(s, d)).withColumn("score", F.size("terms")).withColumn("rescued", F.lit(None).cast("string")))
 
 
 @query("win_09_finalists", "SELECT run::VARCHAR AS run, id, place FROM (SELECT run, pos AS id, row_number() OVER (PARTITION BY run ORDER BY conf DESC, lexical DESC, pos) AS place FROM journal) WHERE place <= 10", "journal")
@@ -291,15 +316,21 @@ def _(s, d):
     return scorer.two_pass(j, j.where("id % 2 = 0").select("id", (F.col("mass") / 2).alias("mass"))).select("id", F.round("mass", 6).alias("mass"))
 
 
-@query("mdl_04_ask")
+_STATE = "'{\"id\":' || id || ',\"title\":' || to_json(title) || ',\"abstract\":' || to_json(abstract) || '}'"
+_STAND_IN = f"('0x' || substr(md5({_STATE}), 1, 8))::BIGINT / 4294967295.0::DOUBLE"
+
+
+@query("mdl_04_ask", f"SELECT id::VARCHAR AS id, 'score' AS primitive, ['must-read', 'worth-reading', 'borderline', 'unlikely', 'irrelevant'][CAST(floor(x * 4.999::DOUBLE) AS INT) + 1] AS top, 0.7::DOUBLE AS confidence, true AS ok, NULL::VARCHAR AS fail_reason FROM (SELECT id, {_STAND_IN} AS x FROM items)", "items")
 def _(s, d):
-    got = scorer.ask(scorer.states_of(views.items(s, d).select("id", "title")), "score", scorer.stand_in)
+    """The whole candidate is the state."""
+    got = scorer.ask(scorer.states_of(views.items(s, d).select("id", "title", "abstract")), "score", scorer.stand_in)
     return got.select("id", "primitive", "top", "confidence", "ok", "fail_reason")
 
 
-@query("mdl_02_noul")
+@query("mdl_02_noul", f"SELECT id::VARCHAR AS id, round(x, 6) AS p, greatest(x, 1 - x) >= 0.6 AS ok FROM (SELECT id, {_STAND_IN} AS x FROM items)", "items")
 def _(s, d):
-    return scorer.ask(scorer.states_of(views.items(s, d).select("id", "title")), "noul", scorer.stand_in).select("id", F.round(calibrate.p_positive(F.col("primitive"), F.col("distribution")), 6).alias("p"), "ok")
+    got = scorer.ask(scorer.states_of(views.items(s, d).select("id", "title", "abstract")), "noul", scorer.stand_in)
+    return got.select("id", F.round(calibrate.p_positive(F.col("primitive"), F.col("distribution")), 6).alias("p"), "ok")
 
 
 @query("mdl_08_with_content", "SELECT i.id, l.doc_id IS NULL AS missed FROM items i LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) l ON l.doc_id = i.id", "items")
@@ -313,14 +344,23 @@ def _(s, d):
     return scorer.unrated(n, n.where("arxiv % 4 = 0")).select("arxiv")
 
 
-@query("flt_06_min_confidence", "SELECT pos, CASE WHEN conf < 0.6 THEN 'low-confidence' END AS reason FROM journal", "journal")
+def by_confidence(primitive: str, states: list[str]) -> list[dict[str, float]]:
+    """A stand-in scorer that is as sure as its state says; it is down where that is nothing."""
+    sure = [json.loads(x)["conf"] for x in states]
+    return [{"must-read": x, "irrelevant": 1 - x} for x in sure if x or 1 / 0]
+
+
+@query("flt_06_min_confidence", "SELECT pos::VARCHAR AS id, CASE WHEN pos % 50 = 0 THEN 'state-overflow' WHEN conf = 0 THEN 'outage: ZeroDivisionError' WHEN greatest(conf, 1 - conf) < 0.6 THEN 'low-confidence' END AS reason FROM journal", "journal")
 def _(s, d):
-    return views.journal(s, d).select("pos", F.when(F.col("conf") < 0.6, "low-confidence").alias("reason"))
+    """FLT-6 through the model layer: every fiftieth state is missing, and a state without confidence finds the model down."""
+    states = views.journal(s, d).select(F.col("pos").alias("id"), F.when(F.col("pos") % 50 != 0, F.to_json(F.struct("conf"))).alias("state"))
+    return scorer.ask(states, "score", by_confidence).select("id", F.col("fail_reason").alias("reason"))
 
 
-@query("flt_07_rescue_threshold", "SELECT pos FROM receipts WHERE primitive = 'noul' AND p >= 0.6", "receipts")
+@query("flt_07_rescue_threshold", "SELECT id, pool AS rescued FROM pooled WHERE pool IN ('near-miss', 'probe') AND mass >= 0.6", "pooled")
 def _(s, d):
-    return views.receipts(s, d).where((F.col("primitive") == "noul") & (F.col("p") >= 0.6)).select("pos")
+    """FLT-7: near-misses and probes that the model lifts, of a ranking of all candidates."""
+    return scorer.lifted(_pooled(s, d), 0.6).where("rescued IS NOT NULL").select("id", "rescued")
 
 
 # --- labels -----------------------------------------------------------------------------------------------------------
@@ -461,9 +501,12 @@ def _(s, d):
     return calibrate.label_counts(views.ledger(s, d))
 
 
-@query("agg_12_recommendation", "SELECT count(DISTINCT paper) FILTER (label_type IN ('keep', 'read-later')) + count(DISTINCT paper) FILTER (label_type = 'skip') AS n, 'enough labels' AS advice FROM ledger", "ledger")
+@query("agg_12_recommendation", "SELECT k, n, CASE WHEN n < 20 THEN 'collect more labels' ELSE 'enough labels' END AS advice FROM (SELECT k, count(DISTINCT paper) FILTER (label_type IN ('keep', 'read-later') AND paper % k = 0) + count(DISTINCT paper) FILTER (label_type = 'skip' AND paper % k = 0) AS n FROM ledger, (VALUES (1), (7), (5000)) v(k) GROUP BY k)", "ledger")
 def _(s, d):
-    return calibrate.recommendation(calibrate.label_counts(views.ledger(s, d)))
+    """Of the whole ledger, and of two lanes' parts of it, one of which has too few labels."""
+    ledger = views.ledger(s, d)
+    parts = [calibrate.recommendation(calibrate.label_counts(ledger.where(F.col("paper") % k == 0))).select(F.lit(k).alias("k"), "n", "advice") for k in (1, 7, 5000)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _DIRECTIVES = "read widély \"often\"\n" * 50
@@ -750,10 +793,12 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.array_join(shown, "|").alias("a"), more.cast("long").alias("more"))
 
 
-@query("str_18_bibtex")
+@query("str_18_bibtex", r"""SELECT 'article' AS kind, title, 'A, B;C ' || lang AS authors, '2601.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS arxiv, '10.1/x' || doc_id AS doi FROM (SELECT *, trim(regexp_replace(regexp_replace(text, '[{}"@]', '', 'g'), '\s+', ' ', 'g')) AS title FROM documents) WHERE title <> ''""")
 def _(s, d):
-    e = _docs(s, d).select(F.concat(F.lit("@article{k,\n title = {T "), F.col("doc_id").cast("string"), F.lit("},\n author = {A, B and C, D},\n eprint = {2601.01234v2},\n doi = {10.1/X}\n}\n")).alias("value"))
-    return files.bibtex_entries(e)
+    """Entries whose titles are whole texts (without braces, quotes and at signs)."""
+    key = F.col("doc_id").cast("string")
+    e = _docs(s, d).select(F.concat(F.lit("@Article{k,\n title = {"), F.regexp_replace("text", r'[{}"@]', ""), F.lit("},\n author = {A, B and C "), "lang", F.lit("},\n eprint = {2601."), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("v2},\n doi = {10.1/X"), key, F.lit("}\n}\n")).alias("value"))
+    return files.bibtex_entries(e).select("kind", "title", F.array_join("authors", ";").alias("authors"), "arxiv", "doi")
 
 
 @query("str_19_who_line", "SELECT doc_id, '⭐ ' || lang || ' (G), b, c +1 — ⭐ zed · U' AS who FROM documents")
@@ -779,21 +824,31 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", F.md5(text.yaml_scalar(F.col("html"))).alias("y"))
 
 
-@query("str_23_sanitize", r"SELECT doc_id, CASE WHEN regexp_matches(text, 'xox[baprs]-|Bearer\s+|sk-[A-Za-z0-9]{8,}|AIza[0-9A-Za-z_-]{10,}') THEN '<sanitized-secret>' ELSE md5(text) END AS v FROM documents")
+@query("str_23_sanitize", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<sanitized-secret>' WHEN 1 THEN 'C0000000SYN' WHEN 2 THEN 'X0000000SYN' ELSE md5(text) END AS value, '<dropped-secret>' AS field, '<dropped-secret>' AS deep, CASE WHEN doc_id % 4 = 0 THEN '<sanitized-secret>' ELSE md5(text) END AS listed,
+'U0000000SYN' AS user, doc_id AS number, CASE WHEN doc_id % 2 = 0 THEN '<sanitized-secret>' ELSE 'not JSON' END AS loose FROM documents""")
 def _(s, d):
-    v = text.sanitize(F.col("text"))
-    return _docs(s, d).select("doc_id", F.when(v == "<sanitized-secret>", v).otherwise(F.md5(v)).alias("v"))
+    """Payloads with secrets and ids in values, lists and objects, fields that are named like secrets, and texts that aren't JSON."""
+    value = F.element_at(F.array(F.concat(F.lit("it is Bearer  "), F.md5("text")), F.concat(F.lit("C0"), F.upper(F.substring(F.md5("text"), 1, 8))), F.lit("D0123456A"), F.md5("text")), (F.col("doc_id") % 4 + 1).cast("int"))
+    secret = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("xoxb-"), "text")).otherwise(F.md5("text"))
+    inner = F.struct(F.array(F.lit("plain"), secret).alias("list"), F.struct(F.lit(1).alias("a")).alias("passwordHint"), F.lit("U0ABCDEF1").alias("who"), F.col("doc_id").alias("n"))
+    payload = F.to_json(F.struct(value.alias("value"), F.lit("harmless").alias("api_KEY"), F.array(inner).alias("inner")))
+    loose = parsers.sanitize_json(F.when(F.col("doc_id") % 2 == 0, "sk-0123456789abc").otherwise("not JSON"))
+    x = _docs(s, d).select("doc_id", parsers.sanitize_json(payload).alias("j"), F.btrim(loose, F.lit('"')).alias("loose"))
+    at = lambda path: F.get_json_object("j", path)
+    return x.select("doc_id", at("$.value").alias("value"), at("$.api_KEY").alias("field"), at("$.inner[0].passwordHint").alias("deep"), at("$.inner[0].list[1]").alias("listed"), at("$.inner[0].who").alias("user"), at("$.inner[0].n").cast("long").alias("number"), "loose")
 
 
-@query("flt_19_unsafe", r"SELECT doc_id FROM documents WHERE regexp_matches(text, 'xox[baprs]-|Bearer\s+|sk-[A-Za-z0-9]{8,}|AIza[0-9A-Za-z_-]{10,}')")
+@query("flt_19_unsafe", r"SELECT doc_id FROM documents WHERE doc_id % 5 IN (1, 2) OR (doc_id % 5 <> 3 AND regexp_matches(text, 'xox[baprs]-|Bearer\s+|sk-[A-Za-z0-9]{8,}|AIza[0-9A-Za-z_-]{10,}'))")
 def _(s, d):
-    return _docs(s, d).where(text.unsafe(F.col("text"))).select("doc_id")
+    """Of every five texts one is followed by a key, one is a workspace's id, and one an id's stand-in, which is safe."""
+    k = F.col("doc_id") % 5
+    value = F.when(k == 1, F.concat("text", F.lit(" AIza0123456789"))).when(k == 2, "G0ABCDEF12").when(k == 3, "U0000000SYN").otherwise(F.col("text"))
+    return _docs(s, d).where(text.unsafe(value)).select("doc_id")
 
 
-@query("flt_02_token_filter", "SELECT id, count(*) AS n FROM tok WHERE term NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was', 'were') GROUP BY 1", "tok")
+@query("flt_02_token_filter", f"SELECT id, count(*) AS n FROM tok WHERE term NOT IN ({', '.join(repr(w) for w in text.STOPWORDS)}) GROUP BY 1", "tok")
 def _(s, d):
-    few = text.STOPWORDS[:10]
-    return views.notes(s, d).select("id", F.explode(text.tokens(F.col("text"), few)).alias("t")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return views.notes(s, d).select("id", F.explode(text.tokens(F.col("text"))).alias("t")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("flt_03_line_filter", r"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(trim(l), '(?i)^(\[?[0-9]+\]?|arxiv:|doi:|http|nat\.|nature|phys\.|science|\*|\||#)')), chr(10))) AS body FROM documents")
@@ -931,17 +986,20 @@ def _(s, d):
     return resolve.cited_by(own, l, known).select("root", "title", F.array_join("citers", ",").alias("citers"))
 
 
-@query("snk_09_staged_notes", "SELECT count(*) AS n, count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN doc_id END) AS even FROM documents WHERE doc_id % 5 <> 0")
+@query("snk_09_staged_notes", r"""SELECT 'paper-20261001-' || slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS file, md5('---' || chr(10) || 'type: paper' || chr(10) || 'status: staged' || chr(10) || 'arxiv: ' || doc_id || chr(10) || 'title: "' || title || '"' || chr(10) || 'why: "' || source || '"' || chr(10) || 'date: 2026-10-01' || chr(10) || '---' || chr(10)) AS note
+FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id::VARCHAR) AS k FROM (SELECT doc_id, source, trim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') AS slug, trim(regexp_replace(translate(text, '"\', '''/'), '\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 5 <> 0))""")
 def _(s, d):
+    """Whole notes, with whole texts as titles; copies of a text have equal slugs, and every document is hit twice."""
     h = _docs(s, d).select(F.col("doc_id").cast("string").alias("arxiv"), F.col("text").alias("title"), F.array("lang").alias("authors"), F.col("source").alias("why"))
-    notes = sinks.staged_notes(h, h.where("cast(arxiv AS long) % 5 = 0"), "2026-10-01")
-    even = F.regexp_extract("value", "arxiv: ([0-9]+)", 1).cast("long") % 2 == 0
-    return notes.agg(F.count_distinct("file").alias("n"), F.count_if(even).alias("even"))
+    twice = h.unionByName(h.withColumn("why", F.concat("why", F.lit(" again"))))
+    return sinks.staged_notes(twice, h.where("cast(arxiv AS long) % 5 = 0"), "2026-10-01").select("file", F.md5("value").alias("note"))
 
 
-@query("snk_05_vault_note")
+@query("snk_05_vault_note", """SELECT '---' || chr(10) || 'type: digest' || chr(10) || 'date: 2026-10-01' || chr(10) || 'feed: quant-ph' || chr(10) || 'mode: mode: model, full' || chr(10) || '---' || chr(10) || '# arXiv quant-ph picks — 2026-10-01' || chr(10) || chr(10) || '`mode: model, full`' || chr(10) || chr(10) ||
+string_agg('- [ ] ' || title || ' — [arXiv:' || id || '](https://arxiv.org/abs/' || id || ') · ' || coalesce(terms, ''), chr(10) ORDER BY place) || chr(10) AS value FROM (SELECT p.id, terms, i.title, row_number() OVER (ORDER BY mass DESC, score DESC, p.id) AS place FROM pooled p JOIN items i ON i.id = p.id AND i.source = p.source) WHERE place <= 5""", "pooled items")
 def _(s, d):
-    p = rank.picks(_pooled(s, d)).select("id", "title", F.array_join("terms", ",").alias("why"), F.row_number().over(Window.orderBy(F.desc("mass"))).alias("place"))
+    place = F.row_number().over(Window.orderBy(F.desc("mass"), F.desc("score"), "id"))  # five picks
+    p = rank.picks(_pooled(s, d)).select("id", "title", F.array_join("terms", ",").alias("why"), place.alias("place"))
     return sinks.vault_note(p.withColumn("id", F.col("id").cast("string")), "2026-10-01", "quant-ph", "mode: model, full")
 
 

@@ -164,7 +164,7 @@ def bibtex_entries(whole: DataFrame) -> DataFrame:
     entry = whole.select(F.explode(F.split("value", r"(?m)^[ \t]*@")).alias("e")).where(F.col("e").rlike(r"^\w+\s*\{"))
 
     def value(name: str) -> Column:
-        got = F.regexp_extract("e", rf"(?is)\b{name}\s*=\s*(?:\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}|\"([^\"]*)\"|([0-9]+))", 0)
+        got = F.regexp_extract("e", rf"(?is)\b{name}\s*=\s*(?:\{{([^{{}}]*+(?:\{{[^{{}}]*+\}}[^{{}}]*+)*+)\}}|\"([^\"]*)\"|([0-9]+))", 0)
         return F.nullif(text.collapse(F.regexp_replace(F.regexp_replace(got, rf"(?is)^{name}\s*=\s*", ""), r'^[{"]|["}]$|[{}]', "")), F.lit(""))
 
     doi = text.normalize_doi(value("doi"))
