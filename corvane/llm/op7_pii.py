@@ -6,9 +6,11 @@ to digits, "(at)" / "[dot]" and plain "at ... dot" to signs.  The same detectors
 rewrites, as far as an identifier's characters go, and a match that holds at least one rewrite is mapped back to source
 characters and added, unless it would overlap a span of its kind.  Texts without a trigger aren't rewritten at all.
 
-What counts as a disguise: white space of any length around a word for a sign; a label of a spelled address has up to 63
-letters, as host names do; "at" and "dot" without brackets need a known ending (ENDINGS); digit words count beside
-digits, "+" and dots, or four in a row.
+What counts as a disguise: white space of any kind and length (tabs, line breaks) around a word for a sign and between
+digit words, with up to three of the signs ".", "," and "-" among it; a label of a spelled address has up to 63 letters, as
+host names do; "at" and "dot" without brackets need a known ending (ENDINGS); digit words count beside digits, "+" and dots,
+or four in a row.  Not looked for: signs with white space around them ("jane @ example . com") and character references
+("&#64;").
 
 One narrow pass without a shuffle, linear in the text; memory follows a batch of texts.
 
@@ -102,15 +104,15 @@ AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "po
 _ODD = re.compile("[" + "".join(LOOK_ALIKES) + "！-～٠-٩​‌‍⁠­]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DOTS = "|".join(DOT_WORDS)
-_GAP = rf"[ \t]++(?:{_DOTS})[ \t]++|[ .,-]{{1,3}}"
+_GAP = rf"\s++(?:{_DOTS})\s++|\s*+[.,-]{{1,3}}\s*+|\s++"
 #: Up to three numbers, then digit words with the digits and signs among and after them; one part or gap of such a stretch.
 _SPELLED = re.compile(rf"(?i)(?:(?<![0-9A-Za-z])(?:[0-9]{{1,3}}(?:{_GAP})){{1,3}})?\b(?:{_WORDS})\b(?:(?:{_GAP})(?:(?:{_WORDS})\b|[0-9]{{1,19}}(?![0-9A-Za-z])))*")
 _PART = re.compile(rf"(?i)\b(?:{_WORDS})\b|[0-9]+|{_GAP}")
-_BESIDE = re.compile(r"(?:[0-9][ .,-]{0,3}|\+[ .,-]{0,3})\Z")
-_BRACKET = re.compile(rf"(?i)(?<![ \t])[ \t]*+[\[({{<][ \t]*+(?:({'|'.join(AT_WORDS)}|@)|({_DOTS}|\.))[ \t]*+[\])}}>][ \t]*+")
-_PLAIN = re.compile(rf"(?i)(?<=[a-z0-9._%+-])([ \t]++(?:at|arroba|arobase)[ \t]++)(?:[a-z0-9-]{{1,63}}(?:[ \t]++(?:{_DOTS})[ \t]++|\.))+(?:{'|'.join(ENDINGS)})\b")
-_DOT = re.compile(rf"(?i)(?<![ \t])[ \t]++(?:{_DOTS})[ \t]++")
-_BETWEEN = re.compile(rf"(?i)(?<=[0-9])[ \t]++(?:{_DOTS})[ \t]++(?=[0-9])")
+_BRACKET = re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*+(?:({'|'.join(AT_WORDS)}|@)|({_DOTS}|\.))\s*+[\])}}>]\s*+")
+_PLAIN = re.compile(rf"(?i)(?<=[a-z0-9._%+-])(\s++(?:at|arroba|arobase)\s++)(?:[a-z0-9-]{{1,63}}(?:\s++(?:{_DOTS})\s++|\.))+(?:{'|'.join(ENDINGS)})\b")
+_DOT = re.compile(rf"(?i)(?<!\s)\s++(?:{_DOTS})\s++")
+_BETWEEN = re.compile(rf"(?i)(?<=[0-9])\s++(?:{_DOTS})\s++(?=[0-9])")
+_AT = re.compile(r"(?i)\s(?:at|arroba|arobase)\s")
 #: What an address, and what a number, may hold beside a rewrite.
 _BESIDES = tuple((re.compile(rf"{c}+"), re.compile(rf"{c}+\Z")) for c in (r"[A-Za-z0-9._%+@-]", r"[\x20().0-9+-]"))
 
@@ -120,6 +122,21 @@ def _digit(word: str) -> str | None:
     return DIGIT_WORDS.get(word.replace("\u017f", "s").replace("\u0130", "i").replace("\u0131", "i").lower())
 
 
+def _beside(text: str, at: int) -> int | None:
+    """Where the gap before a place begins (white space, and up to three of the signs .,-), if a digit or a plus stands before it."""
+    signs = 0
+    low = at
+    while low and (text[low - 1].isspace() or (signs < 3 and text[low - 1] in ".,-")):
+        low -= 1
+        signs += not text[low].isspace()
+    return low if low and (text[low - 1] == "+" or "0" <= text[low - 1] <= "9") else None
+
+
+def _wide(text: str, a: int, b: int) -> bool:
+    """White space that no detector reads over."""
+    return text[a:b].isspace() and (text[a:b] != " " or text[a - 1] == "+")
+
+
 def _is_dot(gap: str) -> bool:
     return gap.strip().lower() in (".", *DOT_WORDS)
 
@@ -147,7 +164,7 @@ def _digits(text: str, m: re.Match[str]) -> list[tuple[int, int, str]]:
     parts = [(p.start(), p.end(), p.group()) for p in _PART.finditer(text, m.start(), m.end())]
     pieces: list[list[tuple[int, int, str]]] = [[]]
     for p in parts:  # a sentence may end within the stretch
-        pieces.append([]) if p[2] == ". " else pieces[-1].append(p)
+        pieces.append([]) if p[2][0] == "." and p[2][1:].isspace() else pieces[-1].append(p)
     for tried in ([parts], pieces):
         if got := [x for piece in tried for x in _octets(piece) or ()]:
             return got
@@ -157,8 +174,12 @@ def _digits(text: str, m: re.Match[str]) -> list[tuple[int, int, str]]:
             run.append(p)
         elif run and (p[2] == "" or p[2].isdigit() or p[2].strip().lower() in DOT_WORDS):
             after = p[2].isdigit() or text[run[-1][1] : run[-1][1] + 1].isdigit()
-            if len(run) >= 4 or after or _BESIDE.search(text[max(0, run[0][0] - 4) : run[0][0]]):
+            before = _beside(text, run[0][0])
+            if len(run) >= 4 or after or before is not None:
                 ends = [*(w[0] for w in run[1:]), run[-1][1]]
+                gaps = [(before, run[0][0])] if before is not None else []
+                gaps += [(run[-1][1], p[0])] if p[2].isdigit() else []
+                out += [(a, b, "") for a, b in gaps if _wide(text, a, b)]
                 out += [(w[0], end, _digit(w[2]) or "") for w, end in zip(run, ends, strict=True)]
             run = []
     return out
@@ -176,7 +197,7 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
         found += _digits(text, m)
     for m in _BRACKET.finditer(text) if any(c in text for c in "[({<") else ():
         found.append((m.start(), m.end(), "@" if m.group(1) else "."))
-    for m in _PLAIN.finditer(text) if any(w in text or w.upper() in text or w.title() in text for w in DOT_WORDS) or " at " in text else ():
+    for m in _PLAIN.finditer(text) if any(w in text or w.upper() in text or w.title() in text for w in DOT_WORDS) or _AT.search(text) else ():
         signs = [(m.start(1), m.end(1), "@"), *((d.start(), d.end(), ".") for d in _DOT.finditer(text, m.end(1), m.end()))]
         if len(signs) > 1:
             found += signs
