@@ -1,7 +1,7 @@
 """Quality rules: a decision list learned by sequential covering, applied as ordered Spark conditional expressions.
 
 Statistics of a text are DataFrame expressions only (one narrow stage, no shuffle).  Learning takes the statistics of a
-bounded sample of labelled rows (TRAIN_ROWS, chosen by a hash order) to the driver; applying the list is one
+bounded sample of labelled ids (TRAIN_ROWS, chosen by a hash order; of texts that share an id, the least statistics) to the driver; applying the list is one
 ``when(...).when(...).otherwise(...)`` over columns, so it runs in the scan stage at any scale.
 
 Sequential covering: each rule is a conjunction of thresholds that predicts "reject".  It grows on two thirds of the rows
@@ -196,7 +196,8 @@ def learn_from(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     ids = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
            .orderBy(uniform_order(F.col("doc_id"), "quality"), "doc_id").limit(TRAIN_ROWS))
     labelled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most TRAIN_ROWS rows of two numbers
-    rows = statistics(labelled).where(~base_failed(F.col("stats"))).select("doc_id", "quality", *[F.col(f"stats.{f}") for f in FEATURES]).orderBy("doc_id").limit(2 * TRAIN_ROWS).collect()
+    seen = statistics(labelled).where(~base_failed(F.col("stats"))).groupBy("doc_id", "quality").agg(F.min(F.struct(*[F.col(f"stats.{f}").alias(f) for f in FEATURES])).alias("s"))
+    rows = seen.select("doc_id", "quality", "s.*").orderBy("doc_id").collect()  # a row an id: at most TRAIN_ROWS
     if len({r["quality"] for r in rows}) < 2:
         return []
     x = np.array([[float(r[f]) for f in FEATURES] for r in rows])

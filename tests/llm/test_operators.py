@@ -7,7 +7,7 @@ import math
 import random
 import re
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -518,3 +518,43 @@ def test_mix_places_of_huge_sources(spark):
     placed = placed.withColumn("end", F.expr("first + size")).withColumn("source_size", F.lit(words)).withColumn("blocks", F.lit(blocks).cast("long"))
     for r in op1_mix.pieces(placed).groupBy("doc_id", "size").agg(F.sum("words").alias("words"), F.min("words").alias("least"), F.max("block").alias("last")).collect():
         assert r["words"] == r["size"] and r["least"] > 0 and r["last"] == (blocks - 1 if r["doc_id"] else 5_000_000_000 * blocks // words)
+
+
+@pytest.mark.parametrize("gap", [" ", "\t", "\n", "    ", " \n\t ", "\u00a0"])
+def test_white_space_of_any_kind_disguises(gap):
+    full = lambda text: [(op7_pii.KINDS[k], text[a:b]) for k, a, b in op7_pii.find(text)[1]]
+    words = gap.join("four one five five five five zero one two three".split())
+    assert full(f"call +{gap}{words}; thanks") == [("phone", f"+{gap}{words}")]
+    assert full(f"call +41{gap}{words}{gap}78; thanks") == [("phone", f"+41{gap}{words}{gap}78")]
+    assert full(f"write to jane{gap}(at){gap}example.com") == [("email", f"jane{gap}(at){gap}example.com")]
+    assert full(f"write to jane{gap}at{gap}example{gap}dot{gap}com") == [("email", f"jane{gap}at{gap}example{gap}dot{gap}com")]
+    host = f"{gap}dot{gap}".join(["one nine two", "one six eight", "zero", "five"])
+    assert full(f"host {host}; up") == [("ip", host)]
+    assert full(f"he saw one{gap}or two{gap}three") == [] == full(f"on page 12{gap}five people")
+
+
+def test_white_space_costs_linear_time():
+    began = time.process_time()
+    for text in ("one" + " " * 300_000 + "two", "5" + "\n" * 300_000 + "five", ("one" + " " * 50) * 5000, "a" + " \t" * 100_000 + "at" + " " * 100_000, ("(" + " " * 1000) * 200):
+        op7_pii.find(text)
+    assert time.process_time() - began < 10
+
+
+def test_quality_rules_reapplied_in_python(spark, data):
+    """The list's verdict on every document, condition by condition, from statistics reckoned here."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    condition = lambda feature, value, at_least=True: op6_quality.Condition(feature=feature, value=value, at_least=at_least)
+    rules = [op6_quality.Rule((condition("mean_word", 5.2), condition("repeat_ratio", 0.02)), 1.0, 9), op6_quality.Rule((condition("repeat_ratio", 0.1),), 1.0, 9), op6_quality.Rule((condition("mean_word", 4.4, False),), 1.0, 9)]
+    got = op6_quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", "text", "rule", "kept", "base_failed", *[F.col(f"stats.{f}") for f in op6_quality.FEATURES]).collect()
+    assert {r["rule"] for r in got} == {-1, 0, 1, 2}
+    for r in got:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w]
+        chars, lines = sum(map(len, words)), [x for x in (r["text"] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        many = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else {g for g, k in Counter(grams).items() if k > 1}
+        repeated = len({k + j for k, g in enumerate(grams) if g in many for j in range(3)})
+        assert r["repeat_ratio"] == pytest.approx(repeated / max(1, len(words))) and r["mean_word"] == pytest.approx(chars / max(1, len(words)))
+        assert r["base_failed"] == (len(words) < 50 or 100 * repeated > 50 * len(words))
+        holds = lambda c: r[c.feature] >= c.value if c.at_least else r[c.feature] <= c.value  # noqa: B023, E731
+        first = next((k for k, rule in enumerate(rules) if all(map(holds, rule.conditions))), -1)
+        assert (r["rule"], r["kept"]) == (first, not r["base_failed"] and first == -1) and len(lines) >= 0
