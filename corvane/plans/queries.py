@@ -580,11 +580,11 @@ def _(s, d):
     return calibrate.arm_metrics(calibrate.replay(_labelled(s, d), _taste(s, d), by_size))
 
 
-@query("mdl_10_arm_states", with_views("notes terms", "").rstrip() + ", " + _arms_sql("SELECT arm, id::VARCHAR AS id, n FROM sized"))
+@query("mdl_10_arm_states", with_views("notes terms", "").rstrip() + ", " + _arms_sql("SELECT arm, id::VARCHAR AS id, coalesce(n, -1)::BIGINT AS n FROM sized"))
 def _(s, d):
-    """PCK-1, PCK-2: bytes of each state, null where nothing fits."""
+    """PCK-1, PCK-2: bytes of each state, -1 where nothing fits."""
     got = pack.assembled(_labelled(s, d), _taste(s, d), calibrate.ARMS)
-    return got.select("arm", "id", F.when(F.col("state").isNotNull(), F.length("state").cast("long")).alias("n"))
+    return got.select("arm", "id", F.coalesce(F.length("state"), F.lit(-1)).cast("long").alias("n"))
 
 
 @query("pck_03_arms", with_views("notes terms", "").rstrip() + ", " + _arms_sql("SELECT s.arm, budget AS taste_budget, hard AS hard_cap, count(n) AS fitting FROM sized s JOIN arm USING (arm) GROUP BY ALL"))
@@ -922,12 +922,12 @@ def _(s, d):
     return pack.packed(i, ["lang"], 20_000).select("lang", "used", F.size("kept").cast("long").alias("n"))
 
 
-@query("pck_01_fixed", with_views("notes terms items", "").rstrip() + ", " + _arms_sql("SELECT id, n AS bytes FROM sized WHERE arm = 'fixed-15/4KB'", "SELECT id, 0 AS outcome, title, substr(abstract, 1, 750) AS abstract, NULL::VARCHAR AS ends, lang, source FROM items"))
+@query("pck_01_fixed", with_views("notes terms items", "").rstrip() + ", " + _arms_sql("SELECT id, coalesce(n, -1)::BIGINT AS bytes FROM sized WHERE arm = 'fixed-15/4KB'", "SELECT id, 0 AS outcome, title, substr(abstract, 1, 750) AS abstract, NULL::VARCHAR AS ends, lang, source FROM items"))
 def _(s, d):
     """Every unlabelled document's state under the incumbent policy."""
     i, t = views.items(s, d).withColumn("authors", F.array("lang", "source")), _taste(s, d)
     got = pack.fixed_states(i, t.terms, t.whys, t.titles, t.directives)
-    return got.select("id", F.when(F.col("state").isNotNull(), F.length("state").cast("long")).alias("bytes"))
+    return got.select("id", F.coalesce(F.length("state"), F.lit(-1)).cast("long").alias("bytes"))
 
 
 @query("json_01_bytes", "SELECT doc_id, 16 + length(lang) + length(CAST(doc_id AS VARCHAR)) AS n FROM documents")
