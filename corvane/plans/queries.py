@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane import storage
 from corvane.functions import numbers, parsers, text
-from corvane.operators import calibrate, labels, pack, profile, rank, resolve, review, scorer
+from corvane.operators import calibrate, daily, labels, pack, profile, rank, resolve, review, scorer
 from corvane.sources import connectors, files, sinks
 
 from . import views
@@ -623,6 +623,47 @@ def _(s, d):
     return views.receipts(s, d).select("pos", numbers.top_key(dist).alias("top"), F.round(calibrate.confidence(dist), 6).alias("confidence"))
 
 
+# --- days -------------------------------------------------------------------------------------------------------------
+
+#: Attempts at the steps of a day, one an event; each user is a lane, every tenth one shared.
+_STEP_OF = {"view": "digest", "click": "digest", "signup": "ingest", "purchase": "sync", "error": "calibrate"}
+_DAYS = (
+    "WITH attempt AS (SELECT user_id AS lane, user_id % 10 = 0 AS shared, CAST(ts AS DATE) AS day, ts, value > 60 AS ok, CASE event_type "
+    + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in _STEP_OF.items())
+    + """ END AS step FROM events),
+    planned AS (SELECT * FROM (SELECT DISTINCT lane, shared, day FROM attempt), (VALUES (0, 'digest'), (1, 'ingest'), (2, 'sync'), (3, 'calibrate'), (4, 'review')) s(place, step)
+        WHERE (shared OR step <> 'ingest') AND (isodow(day) = 7 OR step NOT IN ('calibrate', 'review'))),
+    tried AS (SELECT lane, day, step, count(*) AS n, bool_or(ok) AS ok, max(ts) AS last FROM attempt GROUP BY ALL),
+    stated AS (SELECT p.*, coalesce(n, 0) AS attempts, last + INTERVAL 10 MINUTE AS again, CASE WHEN ok THEN 'done' WHEN step = 'digest' AND isodow(day) >= 6 AND n >= 1 THEN 'quiet'
+        WHEN n >= CASE WHEN step = 'digest' AND isodow(day) < 6 THEN 2 ELSE 1 END THEN 'failed' ELSE 'open' END AS status FROM planned p LEFT JOIN tried USING (lane, day, step)) """
+)
+
+
+def _states(s: SparkSession, d: str) -> DataFrame:
+    step = F.create_map(*[F.lit(x) for pair in _STEP_OF.items() for x in pair])[F.col("event_type")]
+    tried = table(s, d, "events").select(F.col("user_id").alias("lane"), F.to_date("ts").alias("day"), "ts", step.alias("step"), (F.col("value") > 60).alias("ok"))
+    lanes = tried.select("lane", (F.col("lane") % 10 == 0).alias("shared"), "day").distinct()
+    return daily.states(daily.plan(lanes), tried, retries=2)
+
+
+@query("stm_05_step_states", _DAYS + "SELECT lane, CAST(day AS VARCHAR) AS day, step, attempts, status, CASE WHEN status = 'open' THEN strftime(again, '%Y-%m-%d %H:%M:%S') END AS next_try FROM stated")
+def _(s, d):
+    return _states(s, d).select("lane", F.col("day").cast("string").alias("day"), "step", "attempts", "status", F.date_format("next_try", "yyyy-MM-dd HH:mm:ss").alias("next_try"))
+
+
+@query("stm_06_due", _DAYS + """SELECT lane, CAST(day AS VARCHAR) AS day, step FROM stated WHERE status = 'open' AND day <= DATE '2024-01-21' AND (again IS NULL OR again <= TIMESTAMP '2024-01-21 12:00:00')
+    AND NOT EXISTS (SELECT 1 FROM stated e WHERE e.lane = stated.lane AND e.day = stated.day AND e.place < stated.place AND e.status = 'open')""")
+def _(s, d):
+    """What a timer would start at noon of a Sunday."""
+    return daily.due(_states(s, d), F.expr("TIMESTAMP_NTZ '2024-01-21 12:00:00'")).select("lane", F.col("day").cast("string").alias("day"), "step")
+
+
+@query("stm_06_reports", _DAYS + """SELECT lane, CAST(day AS VARCHAR) AS day, count(*) FILTER (status = 'open') AS open,
+    coalesce('done with failures: ' || string_agg(step, ', ' ORDER BY place) FILTER (status = 'failed'), 'done') AS line FROM stated GROUP BY lane, day""")
+def _(s, d):
+    return daily.reports(_states(s, d)).select("lane", F.col("day").cast("string").alias("day"), "open", "line")
+
+
 # --- review -----------------------------------------------------------------------------------------------------------
 
 

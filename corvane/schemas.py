@@ -19,3 +19,6 @@ RELEVANCE = ("must-read", "worth-reading", "borderline", "unlikely", "irrelevant
 LABEL_SOURCES = ("slack-reaction", "slack-reply", "cli-keep", "checkbox", "vault-arrival", "vault-unsaved")
 EXPLICIT_POSITIVE = ("keep", "read-later", "discussed")
 CLASS_POSITIVE, CLASS_NEGATIVE = ("keep", "read-later"), ("skip",)
+
+#: An attempt at a step of a day.
+ATTEMPT = "lane string, step string, day date, ts timestamp_ntz, ok boolean"

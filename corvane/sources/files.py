@@ -100,6 +100,13 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path, schemas.JOURNAL)
 
 
+def attempts(spark: SparkSession, path: str) -> DataFrame:
+    """STM-5: attempts at steps of a day; a log that nobody has written yet has none."""
+    if not any(n.startswith("epoch=") for n in sequence.names(spark, path)):
+        return spark.createDataFrame([], schemas.ATTEMPT)
+    return _lines(spark, path, schemas.ATTEMPT).drop("line_no")
+
+
 def receipts(spark: SparkSession, path: str) -> DataFrame:
     """SRC-9: distributions as a map of numbers; an error's text in one leaves the map empty."""
     raw = _lines(spark, path, schemas.RECEIPT)
