@@ -558,3 +558,93 @@ def test_quality_rules_reapplied_in_python(spark, data):
         holds = lambda c: r[c.feature] >= c.value if c.at_least else r[c.feature] <= c.value  # noqa: B023, E731
         first = next((k for k, rule in enumerate(rules) if all(map(holds, rule.conditions))), -1)
         assert (r["rule"], r["kept"]) == (first, not r["base_failed"] and first == -1) and len(lines) >= 0
+
+
+@pytest.mark.parametrize("old", ["true", "false", "doc_id % 2 = 0"])
+def test_dedup_keeps_any_id(spark, old):
+    """The least and the greatest id, one that a float can't hold, and null; a null id loses."""
+    low, odd = -(2**63), 2**53 + 1
+    rows = [(low, "least", "en", "a"), (None, "least", "en", "a"), (odd, "odd", "en", "a"), (odd + 1, "odd", "en", "a"), (None, "alone", "en", "a"), (2**63 - 1, "top", "en", "a"), (None, "top", "en", "a")]
+    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in op5_dedup.dedup(frame(spark, rows), F.expr(old)).collect()}
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {
+        (low, h("least")): (low, 2, True), (None, h("least")): (low, 2, False), (odd, h("odd")): (odd, 2, True), (odd + 1, h("odd")): (odd, 2, False),
+        (None, h("alone")): (None, 1, True), (2**63 - 1, h("top")): (2**63 - 1, 2, True), (None, h("top")): (2**63 - 1, 2, False),
+    }
+
+
+def test_a_class_of_equal_sets_is_dealt_to_many_tasks(spark):
+    """Thousands of equal texts beside small classes: every row finds its class whatever share it is dealt to."""
+    words = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join(words), "en", "a") for k in range(3000, 0, -1)] + [(4000 + k, f"only here number {k} of many words", "en", "a") for k in range(50)] + [(None, " ".join(words), "en", "a"), (9000, None, "en", "a"), (None, "x", "en", "a"), (-5, " ".join(words[:-1]), "en", "a")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in op3_jaccard.join_components(frame(spark, rows), 4, 85).collect()}
+    assert {got[k, 9] for k in range(1, 3001)} == {-5} and got[None, 9] == -5 and got[-5, 8] == -5
+    assert all(got[4000 + k, 4] == 4000 + k for k in range(50)) and got[9000, 0] == 9000 and got[None, 1] is None
+
+
+def _toxic_score(m, text):
+    """One text, one filter, one place at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    rows = [int(m.tokens(h)[0]) for h in op2_toxicity.unit_hashes(words)] + [op2_toxicity._PAD] * op2_toxicity._GAP
+    z, k = m.bias, 0
+    for w, f in zip(op2_toxicity.WIDTHS, m.filters, strict=True):
+        for j in range(op2_toxicity.FILTERS):
+            best = 0.0
+            for at in range(len(rows) - w + 1):
+                best = max(best, sum(float(m.emb[rows[at + x]] @ f[x][:, j]) for x in range(w)))
+            z += best * float(m.out[k])
+            k += 1
+    lang = [sum(float(m.languages[t, c]) for t in rows) for c in range(m.languages.shape[1])]
+    return 1 / (1 + math.exp(-min(30, max(-30, z - m.cuts[lang.index(max(lang))]))))
+
+
+def test_toxicity_scores_equal_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = op2_toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"), F.lit(True))
+    assert model.flat is None
+    odd = frame(spark, [(-1, None, None, None), (-2, "", "en", "a"), (-3, " \n ", "en", "a"), (-4, "one", "en", "a"), (-5, LONG[:1500], "en", "a")]).select("doc_id", "text")
+    rows = docs.select("doc_id", "text").where("length(text) < 500").unionByName(odd)
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = {r["doc_id"]: r["score"] for r in op2_toxicity.score(rows, model).collect()}
+    assert len(got) == len(text) > 20
+    assert max(abs(got[i] - _toxic_score(model, t)) for i, t in text.items()) < 1e-4
+
+
+def test_toxicity_learns_from_bounded_bytes(spark, monkeypatch):
+    docs = frame(spark, [(k, ("vile " if k % 2 else "fine ") * 10, "en", "a") for k in range(200)])
+    known = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(op2_toxicity, "fit", lambda h, y, langs, stands_for: seen.update(rows=Counter(y), stands_for=stands_for))
+    monkeypatch.setattr(op2_toxicity, "TRAIN_BYTES", 50 * 20 + 49)
+    op2_toxicity.train(docs, known, F.lit(True))
+    assert seen == {"rows": {0: 20, 1: 20}, "stands_for": (5.0, 5.0)}
+
+
+def _language(m, text):
+    """One n-gram and one class at a time."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    low, counts = text.lower(), Counter()
+    for n in op9_language.GRAMS:
+        for gram, times in Counter(low[k : k + n] for k in range(len(low) - n + 1)).items():
+            h = (ord(gram[0]) * 0x9E3779B1 + n) % 2**32
+            for c in gram[1:]:
+                h = ((h ^ h >> 15) * 0x85EBCA6B + ord(c) * 0xC2B2AE35) % 2**32
+            h = (h ^ h >> 13) * 0x27D4EB2F % 2**32
+            counts[h >> 19] += times
+    x = {at: math.log1p(n) * float(m.idf[at]) for at, n in counts.items()}
+    size = math.sqrt(sum(v * v for v in x.values())) or 1.0
+    z = [(sum(float(m.weights[c, at]) * v for at, v in x.items()) / size + float(m.bias[c])) / m.temperature for c in range(len(m.classes))]
+    top = max(range(len(z)), key=lambda c: z[c])
+    return m.classes[top], 1 / sum(math.exp(v - z[top]) for v in z)
+
+
+def test_language_predictions_equal_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = op9_language.train(docs, F.lit(True))
+    odd = frame(spark, [(-1, None, None, None), (-2, "", "en", "a"), (-3, "12 !", "en", "a"), (-4, "É", "en", "a"), (-5, "a", "en", "a"), (-6, LONG[:9000], "en", "a")]).select("doc_id", "text")
+    rows = docs.select("doc_id", "text").where("length(text) < 1500").unionByName(odd)
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for r in op9_language.predict(rows, model).collect():
+        name, p = _language(model, text[r["doc_id"]])
+        assert abs(r["score"] - p) < 1e-3 and (r["lang_pred"] == name or p < 0.51), r["doc_id"]
