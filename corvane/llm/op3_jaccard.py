@@ -190,6 +190,11 @@ def verified(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _salt(dk: Column, th: Column) -> Column:
+    """The share (of SALTS) of its class that a row is dealt to."""
+    return F.pmod(F.xxhash64(F.coalesce(dk, F.lit(_NULL_ID)), th), F.lit(SALTS)).cast("int")
+
+
 def _by_root(rows: DataFrame, roots: DataFrame, root: str, spread: Column) -> DataFrame:
     """rows joined to roots (a row a root); a root's rows are dealt to SALTS tasks, since one component may hold any share of them."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
@@ -265,7 +270,8 @@ def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("dk"), _text_hash().alias("th"), "text")
     with Steps(docs.sparkSession) as step:
         found = step(sets(keyed, width, percent), "sets")
-        classes = step(found.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.count_if(F.size("prefix") > 0).alias("sent"), _first_row().alias("w")), "classes")
+        dealt = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _salt(F.col("dk"), F.col("th")))).alias("dealt")  # bits of the salts that a class's rows have
+        classes = step(found.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), dealt, F.count_if(F.size("prefix") > 0).alias("sent"), _first_row().alias("w")), "classes")
         some = step(_survivors(found, classes, percent), "survivors")
         few = some.count() <= BROADCAST_ROWS
         key = [F.coalesce("dk", F.lit(_NULL_ID)).alias("k"), "th"]
@@ -278,7 +284,9 @@ def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
             firsts = linked.groupBy("root").agg(_first_row().alias("top"))
             tops = _by_root(linked, firsts, "root", F.col("d1")).select("d1", "d2", "top")
             classes = classes.join(tops, ["d1", "d2"], "left").withColumn("w", F.coalesce("top", "w"))
-        rows = found.select("dk", "th", "n", "d1", "d2").join(classes.select("d1", "d2", "w"), ["d1", "d2"], "left")
+        salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("dealt", k) == 1)
+        spread = classes.select("d1", "d2", "w", F.explode(salts).alias("salt"))
+        rows = found.select("dk", "th", "n", "d1", "d2", _salt(F.col("dk"), F.col("th")).alias("salt")).join(spread, ["d1", "d2", "salt"], "left")
         alone = F.struct(F.col("dk").isNull().alias("none"), "dk", "th")
         return materialize(rows.select("dk", "th", "n", F.when(F.col("n") > 0, F.col("w")).otherwise(alone).alias("w")), "jaccard")
 
