@@ -29,7 +29,7 @@ BUCKET_DIGESTS = 20_000
 #: Mean number of digests that share a displacement.
 GROUP = 4
 
-_SLOTS = "bucket int, n int, seeds binary, digests binary, lengths binary, ids binary, sizes binary"
+_SLOTS = "bucket int, n int, seeds binary, digests binary, lengths binary, ids binary, nulls binary, sizes binary"
 _FOUND = "digest binary, member boolean, keep_id long, keep_length long, group_size long"
 
 
@@ -43,7 +43,7 @@ def _best(rows: DataFrame) -> DataFrame:
     """One row a digest: its size and the best (code points, then smallest id; a null id loses)."""
     key = F.struct((-F.col("length")).alias("neg"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     got = rows.groupBy("digest").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("size"))
-    return got.select("digest", (-F.col("k.neg")).alias("length"), F.col("k.id").alias("id"), "size")
+    return got.select("digest", (-F.col("k.neg")).alias("length"), F.col("k.none").alias("none"), F.coalesce("k.id", F.lit(0)).alias("id"), "size")  # no null in a column of ids, which pandas would turn into floats
 
 
 def _mix(words: np.ndarray, seed: np.ndarray | int, n: int) -> np.ndarray:
@@ -105,9 +105,9 @@ def build_index(history: DataFrame, buckets: int) -> DataFrame:
         words = _as_words(digests)
         seeds = build_mph(words)
         at = np.argsort(mph_slots(words, seeds, len(digests)))
-        ids = np.array([-(2**63) if pd.isna(x) else int(x) for x in pdf["id"]], np.int64)
+        ids, nulls = pdf["id"].to_numpy(np.int64), pdf["none"].to_numpy(bool)
         return pd.DataFrame([{"bucket": key[0], "n": len(digests), "seeds": seeds.tobytes(), "digests": b"".join(digests[i] for i in at),
-                              "lengths": pdf["length"].to_numpy(np.int64)[at].tobytes(), "ids": ids[at].tobytes(), "sizes": pdf["size"].to_numpy(np.int64)[at].tobytes()}])
+                              "lengths": pdf["length"].to_numpy(np.int64)[at].tobytes(), "ids": ids[at].tobytes(), "nulls": nulls[at].tobytes(), "sizes": pdf["size"].to_numpy(np.int64)[at].tobytes()}])
 
     return _best(history).withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(one, _SLOTS)
 
@@ -126,22 +126,22 @@ def look_up(index: DataFrame, arriving: DataFrame, buckets: int) -> DataFrame:
             n = int(s["n"])
             seeds, full = np.frombuffer(s["seeds"], np.uint32), s["digests"]
             lengths, ids, sizes = (np.frombuffer(s[c], np.int64).copy() for c in ("lengths", "ids", "sizes"))
+            nulls = np.frombuffer(s["nulls"], bool).copy()
         else:
             n, full = 0, b""
         if len(new):
             digests = list(new["digest"])
             at = mph_slots(_as_words(digests), seeds, n) if n else np.zeros(len(digests), np.int64)
-            for d, slot, length, row_id, size in zip(digests, at.tolist(), new["length"], new["id"], new["size"], strict=True):
-                row_id = -(2**63) if pd.isna(row_id) else int(row_id)
+            for d, slot, length, null, row_id, size in zip(digests, at.tolist(), new["length"], new["none"], new["id"], new["size"], strict=True):
                 if n and full[32 * slot : 32 * slot + 32] == d:  # all bytes count: a nonmember may fall on any slot
                     sizes[slot] += size
-                    if (-length, row_id == -(2**63), row_id) < (-lengths[slot], ids[slot] == -(2**63), ids[slot]):
-                        lengths[slot], ids[slot] = length, row_id
+                    if (-length, null, row_id) < (-lengths[slot], nulls[slot], ids[slot]):
+                        lengths[slot], ids[slot], nulls[slot] = length, row_id, null
                 else:
-                    out.append((d, False, row_id, length, size))
-        out += [(full[32 * i : 32 * i + 32], True, int(ids[i]), int(lengths[i]), int(sizes[i])) for i in range(n)]
+                    out.append((d, False, None if null else int(row_id), length, size))
+        out += [(full[32 * i : 32 * i + 32], True, None if nulls[i] else int(ids[i]), int(lengths[i]), int(sizes[i])) for i in range(n)]
         got = pd.DataFrame(out, columns=["digest", "member", "keep_id", "keep_length", "group_size"])
-        got["keep_id"] = pd.array([None if x == -(2**63) else x for x in got["keep_id"]], dtype="Int64")
+        got["keep_id"] = pd.array([x[2] for x in out], dtype="Int64")
         return got
 
     new = _best(arriving).withColumn("bucket", _bucket(buckets))
