@@ -7,10 +7,11 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.batches import slices
 from corvane.schemas import RATINGS, RELEVANCE
 
 from .rank import finalists, pool_lexical, rescored
@@ -30,33 +31,37 @@ ANSWER = "id string, primitive string, distribution map<string,double>, confiden
 def ask(states: DataFrame, primitive: str, scorer: Scorer | None, least: float = 0.6, keep: str = "") -> DataFrame:
     """MDL-4, FLT-6: answers and receipts of states (id, state); failures become reasons, never exceptions.
 
-    keep: columns of states, with types, that the answers have too.
+    keep: columns of states, with types, that the answers have too.  A task holds a few states at a time.
     """
     more = [x.split()[0] for x in keep.split(",")] if keep else []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, state in zip(pdf["id"].astype(str), pdf["state"], strict=True):
-                began, dist, reason = time.monotonic(), {}, None
-                if scorer is None:
-                    reason = "no-key"
-                elif state is None:
-                    reason = "state-overflow"
-                else:
-                    try:
-                        dist = scorer(primitive, [state])[0]
-                    except Exception as e:  # noqa: BLE001  an outage of any kind is journalled as one
-                        reason = f"outage: {type(e).__name__}"
-                top = min(dist, key=lambda k: (-dist[k], k)) if dist else None
-                sure = dist[top] if dist else None
-                if sure is not None and sure < least:
-                    reason = "low-confidence"
-                out.append((key, primitive, dist, sure, top, int(1000 * (time.monotonic() - began)), reason is None, reason))
-            got = pd.DataFrame(out, columns=["id", "primitive", "distribution", "confidence", "top", "latency_ms", "ok", "fail_reason"])
-            yield got.assign(**{c: pdf[c] for c in more})
-
-    return states.select(F.col("id").cast("string").alias("id"), "state", *more).mapInPandas(run, f"{ANSWER}, {keep}" if keep else ANSWER)
+    columns = ["id", "primitive", "distribution", "confidence", "top", "latency_ms", "ok", "fail_reason", *more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.map_(pa.string(), pa.float64()), pa.float64(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for key, state in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    began, dist, reason = time.monotonic(), {}, None
+                    if scorer is None:
+                        reason = "no-key"
+                    elif state is None:
+                        reason = "state-overflow"
+                    else:
+                        try:
+                            dist = scorer(primitive, [state])[0]
+                        except Exception as e:  # noqa: BLE001  an outage of any kind is journalled as one
+                            reason = f"outage: {type(e).__name__}"
+                    top = min(dist, key=lambda k: (-dist[k], k)) if dist else None
+                    sure = dist[top] if dist else None
+                    if sure is not None and sure < least:
+                        reason = "low-confidence"
+                    out.append((key, primitive, list(dist.items()), sure, top, int(1000 * (time.monotonic() - began)), reason is None, reason))
+                arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, *part.columns[2:]], columns)
+
+    return states.select(F.col("id").cast("string").alias("id"), "state", *more).mapInArrow(run, f"{ANSWER}, {keep}" if keep else ANSWER)
 
 
 def stand_in(primitive: str, states: list[str]) -> list[dict[str, float]]:
