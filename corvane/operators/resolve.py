@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.storage import saved
 
 
-def work_keys(works: DataFrame) -> DataFrame:
-    """row, key of every identifier of a work; an arXiv DOI counts as the arXiv id."""
+def _keys(works: DataFrame) -> Column:
+    """Every identifier of a work; an arXiv DOI counts as the arXiv id."""
     doi = text.normalize_doi(F.col("doi"))
     arxiv = F.coalesce(text.normalize_arxiv(F.col("arxiv")), text.arxiv_of_doi(doi))
-    keys = F.array_compact(F.array(F.concat(F.lit("arxiv:"), arxiv), F.when(text.arxiv_of_doi(doi).isNull(), F.concat(F.lit("doi:"), doi))))
-    return works.select("row", F.explode(keys).alias("key"))
+    return F.array_compact(F.array(F.concat(F.lit("arxiv:"), arxiv), F.when(text.arxiv_of_doi(doi).isNull(), F.concat(F.lit("doi:"), doi))))
+
+
+def work_keys(works: DataFrame) -> DataFrame:
+    """row, key of every identifier of a work."""
+    return works.select("row", F.explode(_keys(works)).alias("key"))
 
 
 def _least(links: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -53,15 +57,30 @@ def components(keys: DataFrame) -> DataFrame:
 
 
 def resolved(works: DataFrame) -> DataFrame:
-    """ER-1, AGG-18: a row a work: root, title, citers in the order of first mention."""
-    got = works.join(components(work_keys(works)), "row")
-    return got.groupBy("root").agg(F.min_by("title", "row").alias("title"), F.transform(F.array_sort(F.collect_set(F.struct("row", "citer"))), lambda x: x["citer"]).alias("c")).select("root", "title", F.array_distinct("c").alias("citers"))
+    """ER-1, AGG-18: a row a work: root, title, citers in the order of first mention.
+
+    Works are gathered by their least key first (row: a number of its own for each); what is saved, linked and gathered
+    again are these groups, so works themselves are shuffled once.
+    """
+    keyed = works.select("row", "title", "citer", _keys(works).alias("keys")).withColumn("first", F.array_min("keys")).where("first IS NOT NULL AND row IS NOT NULL")
+    rest = F.array_except("keys", F.array("first"))
+    groups = saved(keyed.groupBy("first").agg(F.min_by("title", "row").alias("title"), F.min("row").alias("low"), F.collect_set(F.struct("row", "citer")).alias("c"), F.array_distinct(F.flatten(F.collect_set(rest))).alias("rest")))
+    links = groups.select(F.col("first").alias("a"), F.explode("rest").alias("b"))
+    if links.limit(1).count():
+        roots = _least(links, saved).select(F.col("node").alias("first"), "root")
+        groups = groups.join(roots, "first", "left").withColumn("root", F.coalesce("root", "first"))
+        groups = groups.groupBy("root").agg(F.min_by("title", "low").alias("title"), F.flatten(F.collect_list("c")).alias("c"))
+    else:
+        groups = groups.withColumnRenamed("first", "root")
+    return groups.select("root", "title", F.array_distinct(F.transform(F.array_sort("c"), lambda x: x["citer"])).alias("citers"))
 
 
 def new_works(works: DataFrame, known: DataFrame) -> DataFrame:
-    """JOIN-18: works none of whose keys is known (key); an anti-join by row, so no OR is joined on."""
-    hit = work_keys(works).join(known.select("key").distinct(), "key", "left_semi").select("row").distinct()
-    return works.join(hit, "row", "left_anti")
+    """JOIN-18: works none of whose keys is known (key); an anti-join a key, so no OR is joined on."""
+    out = works.withColumn("_keys", _keys(works))
+    for k in (0, 1):
+        out = out.withColumn("_key", F.get("_keys", F.lit(k))).join(known.select(F.col("key").alias("_key")), "_key", "left_anti").select(*works.columns, "_keys")
+    return out.drop("_keys")
 
 
 def new_hits(hits: DataFrame, notes: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from corvane.functions import parsers
+from corvane.operators import rank, resolve
 from corvane.sources import connectors, files, library, pacing, shared, sinks, writers
 
 
@@ -169,3 +172,34 @@ def test_shared_files(tmp_path):
     assert shared.claim(f"{at}.waiting", f"{at}2") and shared.read(f"{at}2") == b"y" and shared.read(f"{at}.waiting") is None
     shared.remove(at)
     assert shared.read(at) is None
+
+
+def test_works_without_links_run_no_rounds(spark, monkeypatch):
+    """Works with one key each are gathered once; linked ones still meet, whatever the length of their chain."""
+    shape = "row long, title string, citer string, arxiv string, doi string"
+    works = spark.createDataFrame([(1, "A", "x", None, "10.1/a"), (2, "B", "y", None, "10.1/a"), (3, "C", "x", None, None), (4, "D", "z", "2601.00001", None)], shape)
+    linked = works.unionByName(spark.createDataFrame([(0, "Z", "w", "2601.00001", "10.1/a")], shape))
+    got = {r["root"]: (r["title"], r["citers"]) for r in resolve.resolved(linked).collect()}
+    assert got == {"arxiv:2601.00001": ("Z", ["w", "x", "y", "z"])}
+    assert {r["row"] for r in resolve.new_works(linked, spark.createDataFrame([("doi:10.1/a",)], "key string")).collect()} == {3, 4}
+
+    def rounds(*_):
+        raise AssertionError("no link, no round")
+
+    monkeypatch.setattr(resolve, "_least", rounds)
+    got = {r["root"]: (r["title"], r["citers"]) for r in resolve.resolved(works).collect()}
+    assert got == {"doi:10.1/a": ("A", ["x", "y"]), "arxiv:2601.00001": ("D", ["z"])}
+
+
+def test_steps_on_pages_and_items_stay_in_their_rows(spark):
+    """Lines of a page are split once, and of its first ones only; matches and scores need no shuffle."""
+    page = spark.createDataFrame([("T\nInstitute of X\n" + "y\n" * 60 + "Institute of Y",)], "p string").select(parsers.affiliations(F.col("p")).alias("a"))
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(coalesce(p") + plan.count("split(p") <= 2 and page.first()["a"] == ["Institute of X"]
+    items = spark.createDataFrame([("a", 1, "spin spin spin", "spin wave x spin"), ("a", 2, None, "a c++ b")], "source string, id long, title string, abstract string")
+    terms = spark.createDataFrame([("spin", 2.0), ("c++", 1.0), ("wave", 1.0)], "term string, weight double")
+    got = rank.matches(items, terms)
+    assert {(r["id"], r["term"], r["in_title"], r["in_abstract"]) for r in got.collect()} == {(1, "spin", 2, 2), (1, "wave", 0, 1), (2, "c++", 0, 1)}
+    for df in (got, rank.scored(items, terms)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "HashAggregate" not in plan
