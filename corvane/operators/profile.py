@@ -88,7 +88,7 @@ def profile(notes: DataFrame, content: Column, directives: DataFrame | None = No
     factor = numbers.decay(F.col("age_days"), half_life) * numbers.rating_factor(F.col("rating")) * numbers.inlink_factor(F.col("inlinks"))
     base = notes.select("id", "tags", content.alias("content"), factor.alias("factor"))
     total = base.agg(F.count(F.lit(1)).alias("notes"))  # one row
-    words = token_counts(base, F.col("content"), stop).join(base.select("id", "factor"), "id")
+    words = base.select("id", "factor", F.explode(text.tokens(F.col("content"), stop)).alias("term")).groupBy("id", "factor", "term").agg(F.count(F.lit(1)).alias("n"))  # a note's factor goes along, so notes are read once
     exact = lambda c: c.cast("decimal(38,12)")
     body = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(exact(F.col("n") * F.col("factor"))).alias("m"))
     body = body.join(F.broadcast(total)).withColumn("w", F.col("m").cast("double") * BODY_WEIGHT * numbers.idf(F.col("notes"), F.col("df")))

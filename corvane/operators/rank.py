@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import numbers, text
@@ -35,8 +35,10 @@ def dead_feeds(configured: DataFrame, parsed: DataFrame) -> DataFrame:
 
 #: Terms up to which a profile travels as literals; a larger one is joined.
 FEW_TERMS = 10_000
-#: A run of a-z, 0-9 and "-" with what repeats it after a single other sign.
-_CHAIN = r"(?<![a-z0-9-])([a-z0-9-]+)(?:[^a-z0-9-]\1(?![a-z0-9-]))*"
+#: Terms up to which scoring looks them up inside the row; of a larger profile, matches are joined and summed.
+ROW_TERMS = 1000
+#: A run of a-z, 0-9 and "-" that is repeated after a single other sign.
+_TWICE = r"(?<![a-z0-9-])([a-z0-9-]++)[^a-z0-9-]\1(?![a-z0-9-])"
 
 
 def keys_of(items: DataFrame) -> list[str]:
@@ -44,19 +46,24 @@ def keys_of(items: DataFrame) -> list[str]:
     return [c for c in ("source", "id") if c in items.columns]
 
 
-def _run_counts(text_: Column, wanted: list[str]) -> Column:
-    """(run, n) of the wanted runs of a text: a match uses up the sign after it, so of a chain of n equal runs every other one counts."""
-    chains, runs = F.regexp_extract_all(text_, F.lit(_CHAIN), F.lit(0)), F.regexp_extract_all(text_, F.lit(_CHAIN), F.lit(1))
-    both = F.filter(F.arrays_zip(chains.alias("chain"), runs.alias("run")), lambda x: x["run"].isin(wanted))
-    length = lambda x: F.expr("0") + F.floor((F.length(x["chain"]) + 1) / (F.length(x["run"]) + 1))
-    return F.transform(both, lambda x: F.struct(x["run"].alias("term"), F.floor((length(x) + 1) / 2).cast("int").alias("n")))
+def _hits(text_: Column, wanted: list[str]) -> Column:
+    """The wanted runs of a text, as often as they count: a match uses up the sign after it, so of a chain of equal runs every other one does."""
+    return F.filter(F.split(F.regexp_replace(text_, _TWICE, "$1"), "[^a-z0-9-]+"), lambda x: x.isin(wanted))
+
+
+def _tallied(rows: DataFrame, name: str) -> DataFrame:
+    """rows with array column name turned into (term, n) of its distinct elements: in sorted order, each starts where the one before ends."""
+    rows = rows.withColumn(name, F.sort_array(name))
+    rows = rows.withColumn("_one", F.array_distinct(name)).withColumn("_at", F.transform(F.array_distinct(name), lambda x: F.array_position(F.col(name), x)))
+    upto = lambda i: F.coalesce(F.get("_at", i + 1), F.size(name) + 1)
+    return rows.withColumn(name, F.transform("_one", lambda x, i: F.struct(x.alias("term"), (upto(i) - F.get("_at", i)).cast("int").alias("n")))).drop("_one", "_at")
 
 
 def matches(items: DataFrame, terms: DataFrame) -> DataFrame:
     """JOIN-1: identity, term, weight, in_title, in_abstract of every term that an item contains.
 
     Terms that are one run of letters are counted inside the row, from its runs; others (several words, other scripts) are
-    looked for in the row and counted by their expression only where they stand.  No text is shuffled or copied.  Both
+    looked for in the row and counted by their expression only where they stand.  Nothing is shuffled or gathered.  Both
     hold for a profile of at most FEW_TERMS terms, which is counted first; a larger one is joined by runs.
     """
     keys = keys_of(items)
@@ -64,19 +71,28 @@ def matches(items: DataFrame, terms: DataFrame) -> DataFrame:
     few = terms.select("term", "weight").limit(FEW_TERMS + 1).collect()
     if len(few) > FEW_TERMS:
         return _joined_matches(low, terms, keys)
-    plain = [r["term"] for r in few if re.fullmatch("[a-z0-9-]+", r["term"])]
-    others = [r["term"] for r in few if r["term"] not in set(plain)]
+    plain, others = _kinds(few)
     none = F.array().cast("array<struct<term:string,in_title:int,in_abstract:int>>")
-    title = F.transform(_run_counts(F.col("t"), plain), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("in_title"), F.lit(0).alias("in_abstract")))
-    abstract = F.transform(_run_counts(F.col("a"), plain), lambda x: F.struct(x["term"].alias("term"), F.lit(0).alias("in_title"), x["n"].alias("in_abstract")))
+    rows = low
+    if plain:
+        rows = _tallied(_tallied(low.withColumn("_in_t", _hits(F.col("t"), plain)).withColumn("_in_a", _hits(F.col("a"), plain)), "_in_t"), "_in_a")
+        titled = lambda x: F.coalesce(F.get(F.filter("_in_t", lambda y: y["term"] == x["term"]), F.lit(0))["n"], F.lit(0))  # noqa: E731  titles are short
+        held_too = F.transform("_in_a", lambda x: F.struct(x["term"].alias("term"), titled(x).alias("in_title"), x["n"].alias("in_abstract")))
+        alone = F.filter("_in_t", lambda x: ~F.array_contains(F.col("_in_a.term"), x["term"]))
+        rows = rows.withColumn("_plain", F.concat(held_too, F.transform(alone, lambda x: F.struct(x["term"].alias("term"), x["n"].alias("in_title"), F.lit(0).alias("in_abstract")))))
     held = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<string>"), lambda x: F.contains("t", x) | F.contains("a", x))
     more = F.transform(held, lambda x: F.struct(x.alias("term"), text.count_matches(F.col("t"), x).alias("in_title"), text.count_matches(F.col("a"), x).alias("in_abstract")))
-    parts = [*([title, abstract] if plain else []), *([more] if others else [])]
-    found = low.select(*keys, F.explode(F.concat(none, *parts)).alias("x")).groupBy(*keys, F.col("x.term").alias("term")).agg(F.sum("x.in_title").alias("in_title"), F.sum("x.in_abstract").alias("in_abstract"))
+    found = rows.select(*keys, F.explode(F.concat(none, *([F.col("_plain")] if plain else []), *([more] if others else []))).alias("x")).select(*keys, "x.*")
     weights = items.sparkSession.createDataFrame([tuple(r) for r in few], terms.select("term", "weight").schema)
     return found.where("in_title + in_abstract > 0").join(F.broadcast(weights), "term").select(*keys, "term", "weight", "in_title", "in_abstract")  # at most FEW_TERMS rows
 
 
+def _kinds(few: list[Row]) -> tuple[list[str], list[str]]:
+    """Terms that are one run of letters, and the others."""
+    plain = [r["term"] for r in few if re.fullmatch("[a-z0-9-]+", r["term"])]
+    return plain, [r["term"] for r in few if r["term"] not in set(plain)]
+
+
 def scored_rows(items: DataFrame, terms: DataFrame) -> DataFrame:
     """scored without a shuffle or an aggregate, so that it runs on streams: the row's own runs are counted against a map of weights.
 
@@ -85,20 +101,26 @@ def scored_rows(items: DataFrame, terms: DataFrame) -> DataFrame:
     few = terms.select("term", "weight").limit(FEW_TERMS + 1).collect()
     if len(few) > FEW_TERMS:
         raise ValueError(f"a profile of more than {FEW_TERMS} terms can't be held in every task")
-    plain = [r["term"] for r in few if re.fullmatch("[a-z0-9-]+", r["term"])]
-    others = [r["term"] for r in few if r["term"] not in set(plain)]
+    return _scored_rows(items, few)
+
+
+def _scored_rows(items: DataFrame, few: list[Row]) -> DataFrame:
+    plain, others = _kinds(few)
     low = items.withColumn("_t", F.lower(F.coalesce("title", F.lit("")))).withColumn("_a", F.lower(F.coalesce("abstract", F.lit(""))))
-    times = lambda w: lambda x: F.struct(x["term"].alias("term"), (x["n"] * w).alias("n"))
-    counted = [F.transform(_run_counts(F.col(c), plain), times(w)) for c, w in (("_t", TITLE), ("_a", 1))] if plain else []
-    held = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<string>"), lambda x: F.contains("_t", x) | F.contains("_a", x))
-    more = F.transform(held, lambda x: F.struct(x.alias("term"), (TITLE * text.count_matches(F.col("_t"), x) + text.count_matches(F.col("_a"), x)).cast("int").alias("n")))
-    none = F.array().cast("array<struct<term:string,n:int>>")
+    none, hits = F.array().cast("array<struct<term:string,n:int>>"), []
+    if plain:  # a run of a title counts TITLE times
+        low = _tallied(low.withColumn("_hits", F.concat(F.flatten(F.array_repeat(_hits(F.col("_t"), plain), TITLE)), _hits(F.col("_a"), plain))), "_hits")
+        hits.append(F.col("_hits"))
+    if others:
+        held = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<string>"), lambda x: F.contains("_t", x) | F.contains("_a", x))
+        more = F.transform(held, lambda x: F.struct(x.alias("term"), (TITLE * text.count_matches(F.col("_t"), x) + text.count_matches(F.col("_a"), x)).cast("int").alias("n")))
+        hits.append(F.filter(more, lambda x: x["n"] > 0))
     weights = F.map_from_entries(F.array(*[F.struct(F.lit(r["term"]).alias("k"), F.lit(float(r["weight"])).alias("v")) for r in few])) if few else F.create_map().cast("map<string,double>")
-    low = low.withColumn("_hits", F.filter(F.concat(none, *counted, *([more] if others else [])), lambda x: x["n"] > 0)).withColumn("_w", weights)
-    part = lambda x: F.element_at("_w", x["term"]) * numbers.specificity(x["term"]) * x["n"]
-    terms_of = F.transform(F.sort_array(F.array_distinct(F.transform("_hits", lambda x: F.struct((-F.element_at("_w", x["term"])).alias("w"), x["term"].alias("term"))))), lambda x: x["term"])
-    total = F.aggregate("_hits", F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + part(x).cast("decimal(28,10)")).cast("decimal(38,10)"))
-    return low.withColumn("score", numbers.half_even(total.cast("double"), 2)).withColumn("terms", terms_of).drop("_t", "_a", "_hits", "_w")
+    weighed = F.transform(F.concat(none, *hits), lambda x: F.struct((-F.element_at(weights, x["term"])).alias("w"), x["term"].alias("term"), x["n"].alias("n")))
+    low = low.withColumn("_hits", F.sort_array(weighed))
+    part = lambda x: (-x["w"] * numbers.specificity(x["term"]) * x["n"]).cast("decimal(38,10)")
+    total = F.aggregate("_hits", F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + part(x)).cast("decimal(38,10)"))
+    return low.withColumn("score", numbers.half_even(total.cast("double"), 2)).withColumn("terms", F.transform("_hits", lambda x: x["term"])).drop("_t", "_a", "_hits")
 
 
 def _joined_matches(low: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,6 +149,8 @@ def author_matches(items: DataFrame, roster: DataFrame) -> DataFrame:
 def scored(items: DataFrame, terms: DataFrame, authors: DataFrame | None = None) -> DataFrame:
     """AGG-4, AGG-5: id, score (cents, half even) and matched terms, the heaviest first; items without a match score 0."""
     keys = keys_of(items)
+    if authors is None and len(few := terms.select("term", "weight").limit(ROW_TERMS + 1).collect()) <= ROW_TERMS:
+        return _scored_rows(items, few)
     m = matches(items, terms).select(*keys, "term", "weight", (F.col("weight") * numbers.specificity(F.col("term")) * (TITLE * F.col("in_title") + F.col("in_abstract"))).alias("s"))
     if authors is not None:
         m = m.unionByName((authors if set(keys) <= set(authors.columns) else authors.join(items.select(*keys), "id")).select(*keys, F.col("name").alias("term"), "weight", (AUTHOR * F.col("weight")).alias("s")))

@@ -48,7 +48,8 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pooled(s: SparkSession, d: str) -> DataFrame:
-    return rank.pools(_scored(s, d), "seed").withColumn("mass", scorer.mass_of(F.col("id")))
+    rows = _scored(s, d).select("source", "id", "title", "score", "terms")  # pools are saved; what follows reads no abstract
+    return rank.pools(rows, "seed").withColumn("mass", scorer.mass_of(F.col("id")))
 
 
 def _graded(s: SparkSession, d: str) -> DataFrame:
