@@ -620,6 +620,53 @@ def test_toxicity_learns_from_bounded_bytes(spark, monkeypatch):
     assert seen == {"rows": {0: 20, 1: 20}, "stands_for": (5.0, 5.0)}
 
 
+def _rare_toxic(n):
+    """Texts of which every tenth has one of 40 words that no other kind of text has."""
+    rng, letters = random.Random(12), "abcdefghijklmnopqrstuvwxyz"
+    rare = ["".join(rng.choice(letters) for _ in range(9)) for _ in range(40)]
+    return [(k, " ".join([f"plain{rng.randrange(60)}" for _ in range(12)] + ([rare[k // 10 % 40]] if k % 10 == 0 else [])), ("en", "fr")[k % 2], "a", int(k % 10 == 0)) for k in range(n)]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """Words that a sample holds once or twice are known, and found in documents held out."""
+    monkeypatch.setattr(op2_toxicity, "TRAIN_ROWS", 100)
+    rows = _rare_toxic(4000)
+    frame(spark, [x[:4] for x in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(x[0], x[4]) for x in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r for r in op2_toxicity.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == 4000
+    for out in (True, False):
+        own = [(got[x[0]]["predicted"], x[4]) for x in rows if got[x[0]]["held_out"] == out]
+        assert sum(p for p, y in own if y) > 0.95 * sum(y for _, y in own) and sum(p for p, y in own if not y) < 0.01 * len(own)
+
+
+def test_toxicity_counts_equal_those_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(op2_toxicity, "HELD", 500)
+    rows = _rare_toxic(1500) + [(-1, None, "en", "a", 1), (-2, " ", "en", "a", 0), (-3, "vile vile " * 40, "en", "a", 1)]
+    counts = spark.createDataFrame([(x[4], x[1]) for x in rows], "toxic int, text string").repartition(5).mapInArrow(op2_toxicity._partial_counts, "unit long, a long, b long, n long")
+    y = np.array([x[4] for x in rows], np.float64)
+    known, z, start = op2_toxicity._evidence_of(counts.groupBy("unit").agg(*(F.sum(c).alias(c) for c in "abn")), int(y.sum()), int((1 - y).sum()))
+    same, evidence = op2_toxicity._evidence(op2_toxicity.unit_hashes([x[1] for x in rows]), y)
+    assert (known == same).all() and np.abs(z - evidence).max() < 1e-6 and (z > 0).sum() >= 20
+    assert ((start > 0) == (z > 0)).all() and (start <= np.tanh(z / 10) + 1e-12).all()
+
+
+def test_toxicity_model_is_the_same_however_rows_lie(spark, monkeypatch):
+    """Shards, not tasks, decide what is averaged; ids that repeat or are null and texts that are null or blank do no harm."""
+    monkeypatch.setattr(op2_toxicity, "SHARD_ROWS", 200)
+    rows = _rare_toxic(1500)
+    docs = frame(spark, [x[:4] for x in rows] + [(None, "a b", "en", "a"), (20, "other words", "fr", "a"), (7001, None, None, "a"), (7002, "", "en", "a")])
+    known = spark.createDataFrame([(x[0], x[4]) for x in rows] + [(None, 1), (3, 0), (7001, 1), (7002, 0), (9999, 1), (5, None)], "doc_id long, toxic int")
+    a, b = (op2_toxicity.learn(d, known, F.lit(True)) for d in (docs, docs.repartition(7, "text").orderBy(F.desc("text"))))
+    assert (a.emb == b.emb).all() and (a.known == b.known).all() and (a.out == b.out).all() and (a.cuts == b.cuts).all() and a.bias == b.bias
+    assert a.languages.shape[1] == 2 and np.isfinite(a.cuts).all()
+    score = {r["doc_id"]: r["score"] for r in op2_toxicity.score(docs.where("doc_id >= 30"), a).collect()}
+    assert np.mean([(score[x[0]] >= 0.5) == x[4] for x in rows if x[0] >= 30]) > 0.98
+    for one in (0, 1):
+        assert op2_toxicity.learn(docs, known.where(f"toxic = {one} and doc_id > 30"), F.lit(True)).flat == one
+    assert op2_toxicity.learn(docs, known.where("false"), F.lit(True)).flat == 0
+
+
 def _language(m, text):
     """One n-gram and one class at a time."""
     if text is None or not any(c.isalpha() for c in text):
