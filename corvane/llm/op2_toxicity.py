@@ -49,8 +49,8 @@ PREFIXES, FREQUENT = (4, 5, 6, 7, 8), 2000
 BUCKETS, SHARED, DIM, WIDTHS, FILTERS, EPOCHS, BATCH, RATE = 1 << 15, 16, 8, (1, 2, 3), 6, 4, 64, 0.08
 #: Rows of label 1 that must hold a unit, and the evidence that it must have, for an embedding of its own.
 MIN_ROWS, MIN_EVIDENCE = 3, 4.0
-#: Of the units that speak for label 1, counted over all rows, a model has the UNITS of most evidence (its size).
-UNITS = 1 << 18
+#: Of the units that speak for label 1, counted over all rows, the UNITS that start furthest have an embedding each (a model's size).
+UNITS = BUCKETS - FREQUENT
 #: About so many rows, and bytes of tokens, are seen between two averages of the weights by one task.
 SHARD_ROWS, SHARD_BYTES = 4096, 16 << 20
 #: Tokens worked on at once; units a task counts at once; parts of a unit of logit that thresholds tell apart; a sum's steps.
@@ -152,10 +152,10 @@ def _evidence(units: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nd
     return known[o], z[o]
 
 
-def _fresh(known: np.ndarray, z: np.ndarray, start: np.ndarray, share: float, rng: np.random.Generator) -> Model:
-    """An untrained model: units with their evidence, where the first component of each one's embedding starts, the share of label 1."""
+def _fresh(known: np.ndarray, bucket: np.ndarray, evidence: np.ndarray, start: np.ndarray, share: float, rng: np.random.Generator) -> Model:
+    """An untrained model: units with their buckets and evidence, where the first component of each one's embedding starts, the share of label 1."""
     m = Model(flat=None)
-    m.known, m.evidence, m.bucket = known, z.astype(np.float32), (known % np.uint64(BUCKETS)).astype(np.int32)
+    m.known, m.evidence, m.bucket = known, evidence.astype(np.float32), bucket.astype(np.int32)
     m.emb = rng.normal(0, 0.05, (BUCKETS + SHARED + 1, DIM)).astype(np.float32)
     m.emb[:, 0] = 0
     strong = np.zeros(BUCKETS)
@@ -235,7 +235,7 @@ def fit(hashes: list[np.ndarray], labels: list[int], langs: list[str | None], se
     out = np.arange(len(y)) % 5 == 0 if len(y) >= 60 else np.zeros(len(y), bool)
     taught = np.flatnonzero(~out)
     known, z = _evidence([hashes[k] for k in taught], y[taught])
-    m = _fresh(known, z, np.tanh(np.maximum(z, 0) / 10), y[taught].mean(), rng)
+    m = _fresh(known, known % np.uint64(BUCKETS), z, np.tanh(np.maximum(z, 0) / 10), y[taught].mean(), rng)
     texts, sq = [m.tokens(h) for h in hashes], Squares.of(m)
     for _ in range(EPOCHS):
         order = rng.permutation(taught)
@@ -331,19 +331,19 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _evidence_of(counts: DataFrame, na: int, nb: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As _evidence, from a table of counts: units, evidence, and how far a unit's start is from that of one without evidence.
 
-    A unit's start is its evidence times the excess of label 1 among its rows (both labels as if equally frequent), because
-    the evidence of any difference, however small, grows with the table.
+    A unit's start is its evidence (to 1) times the excess of label 1 among its rows (both labels as if equally frequent),
+    because the evidence of any difference, however small, grows with the table; units are chosen by it.
     """
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     a, b, share = F.col("a").cast("double"), F.col("b").cast("double"), (F.col("a") + F.col("b")) / (na + nb)
     g = 2 * (part(a, na * share) + part(b, nb * share) + part(na - a, na * (1 - share)) + part(nb - b, nb * (1 - share)))
     telling = counts.where((F.col("a") >= MIN_ROWS) & (a / na > b / nb)).select("unit", F.sqrt(F.greatest(g, F.lit(0.0))).alias("z"), ((a / na - b / nb) / (a / na + b / nb)).alias("excess"))
-    top = telling.where(F.col("z") >= MIN_EVIDENCE).orderBy(F.desc("z"), "unit").limit(UNITS).toArrow()
+    top = telling.where(F.col("z") >= MIN_EVIDENCE).withColumn("start", F.tanh(F.col("z") / 10) * F.col("excess")).orderBy(F.desc("start"), "unit").limit(UNITS).toArrow()
     words = counts.where("n > 0").orderBy(F.desc("n"), "unit").limit(FREQUENT).toArrow()["unit"].to_numpy().view(np.uint64)
-    units, z, excess = top["unit"].to_numpy().view(np.uint64), top["z"].to_numpy(), top["excess"].to_numpy()
+    units, z, start = top["unit"].to_numpy().view(np.uint64), top["z"].to_numpy(), top["start"].to_numpy()
     frequent = np.setdiff1d(words, units)
     none = np.zeros(len(frequent))
-    known, z, start = np.concatenate((units, frequent)), np.concatenate((z, none)), np.concatenate((np.tanh(z / 10) * excess, none))
+    known, z, start = np.concatenate((units, frequent)), np.concatenate((z, none)), np.concatenate((start, none))
     o = np.argsort(known)
     return known[o], z[o], start[o]
 
@@ -504,8 +504,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, seed: int = 2) ->
         na, nb = (n[1, False], n[0, False]) if folded else (ones, zeros)
         taught = one.where("not fold") if folded else one
         counts = step(taught.select("toxic", "text").mapInArrow(_partial_counts, "unit long, a long, b long, n long").groupBy("unit").agg(*(F.sum(c).alias(c) for c in "abn")), "counts")
-        units, z, start = _evidence_of(counts, na, nb)
-        m = _fresh(units, z, start, na / (na + nb), np.random.default_rng(seed))
+        units, _, start = _evidence_of(counts, na, nb)
+        m = _fresh(units, np.arange(len(units)), start, start, na / (na + nb), np.random.default_rng(seed))  # a bucket each
         texts = step(_tokenised(one, m), "texts")
         taught, held = (texts.where("not fold"), texts.where("fold")) if folded else (texts, texts)
         size = taught.agg(F.sum(F.octet_length("tokens"))).first()[0]

@@ -659,7 +659,7 @@ def test_toxicity_model_is_the_same_however_rows_lie(spark, monkeypatch):
     known = spark.createDataFrame([(x[0], x[4]) for x in rows] + [(None, 1), (3, 0), (7001, 1), (7002, 0), (9999, 1), (5, None)], "doc_id long, toxic int")
     a, b = (op2_toxicity.learn(d, known, F.lit(True)) for d in (docs, docs.repartition(7, "text").orderBy(F.desc("text"))))
     assert (a.emb == b.emb).all() and (a.known == b.known).all() and (a.out == b.out).all() and (a.cuts == b.cuts).all() and a.bias == b.bias
-    assert a.languages.shape[1] == 2 and np.isfinite(a.cuts).all()
+    assert a.languages.shape[1] == 2 and np.isfinite(a.cuts).all() and len(set(a.bucket.tolist())) == len(a.known)
     score = {r["doc_id"]: r["score"] for r in op2_toxicity.score(docs.where("doc_id >= 30"), a).collect()}
     assert np.mean([(score[x[0]] >= 0.5) == x[4] for x in rows if x[0] >= 30]) > 0.98
     for one in (0, 1):
