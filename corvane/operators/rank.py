@@ -120,7 +120,9 @@ def _scored_rows(items: DataFrame, few: list[Row]) -> DataFrame:
     low = low.withColumn("_hits", F.sort_array(weighed))
     part = lambda x: (-x["w"] * numbers.specificity(x["term"]) * x["n"]).cast("decimal(38,10)")
     total = F.aggregate("_hits", F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + part(x)).cast("decimal(38,10)"))
-    return low.withColumn("score", numbers.half_even(total.cast("double"), 2)).withColumn("terms", F.transform("_hits", lambda x: x["term"])).drop("_t", "_a", "_hits")
+    both = F.struct(numbers.half_even(total.cast("double"), 2).alias("score"), F.transform("_hits", lambda x: x["term"]).alias("terms"))
+    low = low.withColumn("_both", F.explode(F.array(both)))  # one row; a filter on score or terms stays above it, whereas it takes every step of a projection in, once for each place that names it
+    return low.withColumn("score", F.col("_both.score")).withColumn("terms", F.col("_both.terms")).drop("_t", "_a", "_hits", "_both")
 
 
 def _joined_matches(low: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import rank
 from corvane.plans import queries as q
@@ -44,3 +45,20 @@ def test_section_queries_read_whole_texts(spark, tmp_path):
     got = {n: {r[0]: r[1] for r in q.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("str_15_abstract_section", "str_16_conclusions_section")}
     assert got["str_15_abstract_section"] == {1: "word " * 70 + "References x", 2: "word " * 70 + "and an end"}
     assert got["str_16_conclusions_section"] == {1: ("word " * 70).strip(), 2: "word " * 70 + "and an end"}
+
+
+@pytest.mark.parametrize("name", ["agg_05_terms"])
+def test_a_filter_does_not_repeat_scoring(spark, data, name):
+    plan = q.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 and "Filter" in plan  # a title's and an abstract's, once each
+
+
+def test_filters_on_scores_keep_the_rows(spark):
+    rows = [("a", 1, "Magnon magnon", "a phonon, größe"), ("a", 2, None, None), ("b", 1, "x", "größe " * 50 + "phonon " * 200), ("b", 3, "", "none")]
+    items = spark.createDataFrame(rows, "source string, id long, title string, abstract string").withColumn("score", F.lit(-1.0))
+    got = rank.scored(items, spark.createDataFrame([("magnon", 2.0), ("phonon", 1.0), ("größe", 0.5)], "term string, weight double"))
+    assert got.columns == ["source", "id", "title", "abstract", "score", "terms"]
+    every = sorted((tuple(r) for r in got.select("source", "id", "score", "terms").collect()))
+    assert [(r[:2], r[3]) for r in every] == [(("a", 1), ["magnon", "phonon", "größe"]), (("a", 2), []), (("b", 1), ["phonon", "größe"]), (("b", 3), [])]
+    for cut, keep in (("score > 0", lambda r: r[2] > 0), ("size(terms) > 0", lambda r: r[3]), ("score <= 0 AND id > 1", lambda r: r[2] <= 0 and r[1] > 1)):
+        assert sorted(tuple(r) for r in got.where(cut).select("source", "id", "score", "terms").collect()) == [r for r in every if keep(r)]
