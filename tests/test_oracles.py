@@ -47,7 +47,7 @@ def test_section_queries_read_whole_texts(spark, tmp_path):
     assert got["str_16_conclusions_section"] == {1: ("word " * 70).strip(), 2: "word " * 70 + "and an end"}
 
 
-@pytest.mark.parametrize("name", ["agg_05_terms", "rank_01_digest"])
+@pytest.mark.parametrize("name", ["agg_05_terms", "rank_01_digest", "srt_01_survivors"])
 def test_a_filter_does_not_repeat_scoring(spark, data, name):
     plan = q.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 2 and "Filter" in plan  # a title's and an abstract's, once each
